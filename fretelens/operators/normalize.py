@@ -55,7 +55,9 @@ def _rewrite(col: Column, concept: str) -> Column:
     out = col
     for phrase, canonical, c, _ in sorted(D.SYNONYMS, key=lambda s: -len(s[0])):
         if c == concept:
-            out = F.regexp_replace(out, ci(LB + "(?:" + loose(phrase, inflect=True) + ")" + RB), canonical)
+            # "com" already in front of a phrase whose canonical form starts with "com" is absorbed
+            lead = r"(?:com\s+)?" if canonical.startswith("com ") and not phrase.startswith("com ") else ""
+            out = F.regexp_replace(out, ci(LB + lead + "(?:" + loose(phrase, inflect=True) + ")" + RB), canonical)
     return out
 
 
@@ -91,14 +93,35 @@ def normalize(df: DataFrame, query_col: str = "query") -> DataFrame:
 
 
 def concepts(col: Column) -> Column:
-    """Concept tags (``kind:value``) present in a text, for B8."""
+    """Concept tags (``kind:value``) present in a text, for B8.  Event and
+    period words inside a status phrase belong to that phrase (the longest
+    phrase wins), and "janeiro" in "Rio de Janeiro" is no month, so they are
+    read after status phrases and place names are blanked."""
+    masked = _status_and_places_masked(col)
+
+    def tag(kind: str):
+        return lambda v: F.concat(F.lit(kind + ":"), v)
+
     parts = [
-        F.transform(_concept_values(col, kind), lambda v, k=kind: F.concat(F.lit(k + ":"), v))
+        F.transform(_concept_values(masked if kind in ("event", "period") else col, kind), tag(kind))
         for kind in ("situation", "performance", "sort", "event", "period")
     ]
     return F.array_sort(F.array_distinct(F.flatten(F.array(*parts))))
 
 
+def _status_and_places_masked(col: Column) -> Column:
+    from .extract import CITY_EXPLICIT, STATE_NAME, TOWN
+    out = L.mask(L.mask(col, L.LEXICON["performance"]), L.LEXICON["situation"])
+    for p in (CITY_EXPLICIT, STATE_NAME, TOWN):
+        out = F.regexp_replace(out, p, " ")
+    return out
+
+
+def protected_events(col: Column) -> Column:
+    """The date-event code named in a text outside status phrases."""
+    return L.first_value(_status_and_places_masked(col), L.LEXICON["event"])
+
+
 def preservation_audit(df: DataFrame) -> DataFrame:
     """Concepts before vs after normalisation, lost and added per kind."""
     x = df.select(

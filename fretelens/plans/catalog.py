@@ -1,17 +1,21 @@
 """Registered queries: (spark, sf_dir) -> DataFrame, one per operator key.
 
 Every query reads the driver tables (or data Spark derives from them) in
-full.  Shared inputs are built by small cached builders per (session, dir)
-so a key never repeats another's setup code.
+full.  Dates leave as ISO text so results compare across engines.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.calendar import CALENDAR_FIELDS
 from ..functions.dictionaries import FILTER_FIELDS
+from ..operators import normalize as N
 from ..operators.link import entity_dimension
+from ..operators.outcome import all_null, render_inputs, to_filter_json
 from ..operators.parse import parse_requests
 from ..session import apply_job_conf
 from ..sources.requests import render_requests
@@ -32,24 +36,207 @@ def dimension(spark: SparkSession, sf: str) -> DataFrame:
     return entity_dimension(table(spark, sf, "customer"), table(spark, sf, "supplier"))
 
 
-def parsed(spark: SparkSession, sf: str) -> DataFrame:
-    return parse_requests(requests(spark, sf), dimension(spark, sf))
+def parsed(spark: SparkSession, sf: str, keep: bool = False) -> DataFrame:
+    return parse_requests(requests(spark, sf), dimension(spark, sf), keep=keep)
 
 
 def iso(df: DataFrame) -> DataFrame:
-    """Dates leave as ISO ``yyyy-MM-dd`` text (the service's JSON form)."""
-    return df.select(*[F.date_format(F.col(f.name), "yyyy-MM-dd").alias(f.name)
-                       if f.dataType.typeName() == "date" else F.col(f.name) for f in df.schema.fields])
+    """Dates and timestamps leave as ISO text (the service's JSON form)."""
+    out = []
+    for f in df.schema.fields:
+        t = f.dataType.typeName()
+        if t == "date":
+            out.append(F.date_format(F.col(f.name), "yyyy-MM-dd").alias(f.name))
+        elif t.startswith("timestamp"):
+            out.append(F.date_format(F.col(f.name), "yyyy-MM-dd HH:mm:ss").alias(f.name))
+        else:
+            out.append(F.col(f.name))
+    return df.select(*out)
+
+
+def project(*cols, keep: bool = False):
+    """Key that keeps some columns of the parsed table (``(src, alias)`` renames)."""
+    def q(spark, sf):
+        sel = [F.col(c) if isinstance(c, str) else F.col(c[0]).alias(c[1]) for c in cols]
+        return iso(parsed(spark, sf, keep=keep).select("request_id", *sel))
+    return q
+
+
+RECORD = [*FILTER_FIELDS, "status", "outcome"]
+
+
+# ---------------------------------------------------------------- sources --
+def q_request_scan(spark, sf):
+    """A2: the request table (id, time, user, text)."""
+    return iso(requests(spark, sf))
+
+
+def q_shipments(spark, sf):
+    """A5: the shipments view."""
+    return iso(ships(spark, sf))
+
+
+def q_filter_json(spark, sf):
+    """One JSON object per request, all 14 keys, NULLs written out."""
+    p = parsed(spark, sf)
+    return p.select("request_id", to_filter_json(p).alias("filter_json"))
+
+
+# ------------------------------------------------------------ normalising --
+def q_expand_abbrev(spark, sf):
+    """B2 (+B7): abbreviations expanded, text otherwise untouched."""
+    r = requests(spark, sf)
+    return r.select("request_id", N.expand_abbreviations(N.strip_comment(F.col("query"))).alias("expanded"))
+
+
+def q_ambiguity_guard(spark, sf):
+    """Concepts asked with two different values (left untranslated)."""
+    r = requests(spark, sf).select("request_id", N.expand_abbreviations(N.strip_comment(F.col("query"))).alias("t"))
+    return r.select("request_id", *[(F.size(N._concept_values(F.col("t"), c)) > 1).alias(f"ambiguous_{c}")
+                                    for c in ("situation", "performance", "sort")])
+
+
+def q_protected_terms(spark, sf):
+    """Event word before and after normalisation (must be equal)."""
+    p = parsed(spark, sf, keep=True)
+    return p.select("request_id", N.protected_events(F.col("query_clean")).alias("event_before"),
+                    N.protected_events(F.col("enhanced_query")).alias("event_after"))
+
+
+def q_sentence_shape(spark, sf):
+    """Normalised text starts upper-case and keeps the question mark."""
+    p = parsed(spark, sf, keep=True)
+    e = F.col("enhanced_query")
+    return p.select("request_id",
+                    (F.substring(e, 1, 1) == F.upper(F.substring(e, 1, 1))).alias("starts_upper"),
+                    e.endswith("?").alias("is_question"))
+
+
+def q_preservation_audit(spark, sf):
+    """Concept tags kept / lost / added by normalisation, per kind."""
+    return N.preservation_audit(parsed(spark, sf, keep=True))
+
+
+# --------------------------------------------------------------- calendar --
+def q_calendar_bounds(spark, sf):
+    """The ten calendar dates of every request's own date."""
+    p = parsed(spark, sf)
+    return iso(p.select("request_id", *[F.col("calendar")[c].alias(c) for c in CALENDAR_FIELDS]))
+
+
+def q_explicit_range(spark, sf):
+    """Explicit dates and day ranges."""
+    p = parsed(spark, sf, keep=True)
+    return iso(p.select("request_id", F.col("x_explicit.DE").alias("DE"), F.col("x_explicit.ATE").alias("ATE")))
+
+
+def q_extended_period(spark, sf):
+    """C2 + C4 before resolution: calendar words, amanhã, últimos N dias, months."""
+    p = parsed(spark, sf, keep=True)
+    return iso(p.select("request_id", F.col("x_named.DE").alias("DE"), F.col("x_named.ATE").alias("ATE")))
+
+
+def q_extract_event(spark, sf):
+    """Event code found in the text (before the event+period rule)."""
+    return parsed(spark, sf, keep=True).select("request_id", F.col("x_event").alias("event"))
+
+
+def q_link(kind: str):
+    def q(spark, sf):
+        p = parsed(spark, sf, keep=True)
+        return p.select("request_id", F.col(kind.capitalize()), F.col(f"linked_{kind}").alias("linked_name"))
+    q.__doc__ = f"D3/D4: {kind} name linked to its dimension (longest match)."
+    return q
+
+
+# ------------------------------------------------------------------ rules --
+def q_field_cooccurrence(spark, sf):
+    """E5: how often two filter fields are filled together (one pass)."""
+    p = parsed(spark, sf)
+    pairs = list(combinations(FILTER_FIELDS, 2))
+    agg = p.agg(*[F.count_if(F.col(a).isNotNull() & F.col(b).isNotNull()).alias(f"{a}|{b}") for a, b in pairs])
+    stacked = ", ".join(f"'{a}', '{b}', `{a}|{b}`" for a, b in pairs)
+    return (agg.select(F.expr(f"stack({len(pairs)}, {stacked}) AS (field_a, field_b, n)"))
+               .where(F.col("n") > 0))
+
+
+def q_rule_nf_exclusive(spark, sf):
+    """With an NF no other field is filled."""
+    p = parsed(spark, sf)
+    others = sum(F.col(f).isNotNull().cast("int") for f in FILTER_FIELDS if f != "NF")
+    return p.select("request_id", "NF", others.alias("n_other"))
+
+
+def q_rule_time_priority(spark, sf):
+    """Explicit dates decide DE/ATE first."""
+    p = parsed(spark, sf, keep=True)
+    return iso(p.select("request_id", "DE", "ATE", F.col("x_explicit").isNotNull().alias("explicit_used")))
+
+
+def q_rule_scope(spark, sf):
+    """Out-of-domain text yields no filter."""
+    p = parsed(spark, sf, keep=True)
+    scope = F.col("x_domain") | F.col("x_op").isNotNull() | F.col("x_nf").isNotNull() | F.col("x_cnpj").isNotNull()
+    return p.select("request_id", scope.alias("in_scope"), "outcome")
+
+
+def q_all_null(spark, sf):
+    """every filter field NULL."""
+    return parsed(spark, sf).select("request_id", all_null().alias("all_null"))
 
 
-RECORD = ["request_id", *FILTER_FIELDS, "status", "outcome"]
+def q_trace_requests(spark, sf):
+    """query, calendar, normalised query and filters per request."""
+    p = parsed(spark, sf)
+    return iso(p.select("request_id", "query", *[F.col("calendar")[c].alias(c) for c in CALENDAR_FIELDS],
+                        "enhanced_query", to_filter_json(p).alias("parsed_json")))
 
 
-def q_parse_requests(spark, sf):
-    """D12 flagship: every request -> filter record + outcome."""
-    return iso(parsed(spark, sf).select(*RECORD))
+def q_render_inputs(spark, sf):
+    """generation input rendered per request."""
+    return render_inputs(parsed(spark, sf, keep=True))
 
 
 QUERIES = {
-    "parse_requests": q_parse_requests,
+    "request_scan": q_request_scan,
+    "shipments": q_shipments,
+    "filter_json": q_filter_json,
+    "input_gate": project("blank", keep=True),
+    "expand_abbrev": q_expand_abbrev,
+    "map_synonyms": project("enhanced_query"),
+    "ambiguity_guard": q_ambiguity_guard,
+    "protected_terms": q_protected_terms,
+    "sentence_shape": q_sentence_shape,
+    "preservation_audit": q_preservation_audit,
+    "calendar_bounds": q_calendar_bounds,
+    "bind_period": project("DE", "ATE"),
+    "explicit_range": q_explicit_range,
+    "extended_period": q_extended_period,
+    "extract_nf": project("NF"),
+    "extract_event": q_extract_event,
+    "link_customer": q_link("cliente"),
+    "link_carrier": q_link("transportadora"),
+    "extract_uf": project("UFDestino"),
+    "extract_city": project("CidadeDestino"),
+    "extract_operation": project("Operacao"),
+    "extract_situation": project("SituacaoNF"),
+    "extract_performance": project("StatusAnaliseData"),
+    "extract_cnpj_root": project("CNPJRaizTransp"),
+    "extract_sort": project("SortColumn", "SortDirection"),
+    "parse_requests": project(*RECORD),
+    "rule_performance_first": project("StatusAnaliseData", "TipoData", "DE", "ATE"),
+    "rule_event_period": project("TipoData", "DE", "ATE"),
+    "rule_situation": project("SituacaoNF", "TipoData"),
+    "rule_delivered": project("TipoData", "SituacaoNF", "StatusAnaliseData"),
+    "field_cooccurrence": q_field_cooccurrence,
+    "rule_location": project("UFDestino", "CidadeDestino"),
+    "rule_negation": project(("x_negated", "negated"), "UFDestino", "SituacaoNF", "Cliente", keep=True),
+    "rule_nf_exclusive": q_rule_nf_exclusive,
+    "rule_time_priority": q_rule_time_priority,
+    "rule_sort_pair": project("SortColumn", "SortDirection"),
+    "rule_scope": q_rule_scope,
+    "all_null": q_all_null,
+    "classify_outcome": project("status", "outcome", "detail"),
+    "trace_requests": q_trace_requests,
+    "render_inputs": q_render_inputs,
 }

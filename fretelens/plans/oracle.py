@@ -95,7 +95,7 @@ BLANK_TEMPLATES = [i for i, t in enumerate(RT.TEMPLATES) if t.get("blank")]
 
 TRUTH_CTE = BASE_CTE + """,
 truth0 AS (
-  SELECT nf AS request_id, a, cod_cliente % 150 AS user_id, tpl IN ({blank}) AS blank,
+  SELECT nf AS request_id, * EXCLUDE (nf, cliente, transportadora, operacao), cod_cliente % 150 AS user_id, tpl IN ({blank}) AS blank,
     {fields}
   FROM base),
 truth AS (
@@ -110,15 +110,28 @@ truth AS (
 
 
 def with_truth(select_sql: str) -> str:
-    return "WITH " + TRUTH_CTE + "\n" + select_sql
+    """SQL with CTEs ``shipments``, ``base``, ``truth`` and ``texts`` in scope."""
+    texts = (",\ntexts AS (SELECT nf AS request_id, tpl, {q} AS query, "
+             "CASE WHEN tpl IN ({b}) THEN NULL ELSE upper(left({e}, 1)) || substr({e}, 2) END AS enhanced, "
+             "CASE WHEN tpl IN ({b}) THEN '' ELSE {x} END AS expanded FROM base)").format(
+        q=render_text_sql("text"), e=render_text_sql("enhanced"), x=render_text_sql("expanded"),
+        b=", ".join(str(i) for i in BLANK_TEMPLATES) or "-1")
+    return "WITH " + TRUTH_CTE + texts + "\n" + select_sql
+
+
+def per_template(key: str, default: str = "NULL", fn=lambda v: v) -> str:
+    """CASE over templates of a FACTS entry."""
+    whens = [f"WHEN tpl = {i} THEN {fn(f[key])}" for i, f in RT.FACTS.items() if key in f]
+    return f"CASE {' '.join(whens)} ELSE {default} END" if whens else default
 
 
 def with_shipments(select_sql: str) -> str:
     return "WITH " + SHIPMENTS_CTE + "\n" + select_sql
 
 
-def render_text_sql() -> str:
-    """DuckDB rendering of the request text (for queries that output it)."""
+def render_text_sql(variant: str = "text") -> str:
+    """DuckDB rendering of the request text, or of its expected normalised
+    (``enhanced``) or abbreviation-expanded (``expanded``) form."""
     slots = {
         "nf": "CAST(nf AS VARCHAR)", "cli": "cli", "tr": "tr", "cnpj": "cnpj", "uf": "uf",
         "state": f"({lst(D.STATE_NAMES)})[list_position({lst(D.STATES)}, uf)]", "city": "city", "op": "op",
@@ -132,8 +145,17 @@ def render_text_sql() -> str:
         "dd1": "CAST(day(data_emissao) AS VARCHAR)",
         "dd2": "CAST(least(day(data_emissao) + 4, day(last_day(data_emissao))) AS VARCHAR)",
         "month": f"({lst(D.MONTHS)})[month(data_emissao)]", "year": "CAST(year(data_emissao) AS VARCHAR)",
+        "sit_c": f"({lst(RT.SITUATIONS_CANON)})[nf % {RT.SLOT_MOD['sit']} + 1]",
+        "perf_c": f"({lst(RT.PERFORMANCE_CANON)})[nf % {RT.SLOT_MOD['perf']} + 1]",
     }
 
+    def pick(t: dict, fallback: bool) -> str:
+        pre = "fallback_" if fallback else ""
+        base = t["fallback" if fallback else "text"]
+        if variant == "text":
+            return base
+        return t.get(pre + variant, t.get(pre + "enhanced", base) if variant == "expanded" else base)
+
     def render(text: str) -> str:
         parts = [p for p in re.split(r"(\{\w+\})", text) if p]
         return "(" + " || ".join(slots[p[1:-1]] if p.startswith("{") else q(p) for p in parts) + ")"
@@ -141,6 +163,6 @@ def render_text_sql() -> str:
     whens = []
     for i, t in enumerate(RT.TEMPLATES):
         if "needs" in t:
-            whens.append(f"WHEN tpl = {i} AND {t['needs']} IS NULL THEN {render(t['fallback'])}")
-        whens.append(f"WHEN tpl = {i} THEN {render(t['text'])}")
+            whens.append(f"WHEN tpl = {i} AND {t['needs']} IS NULL THEN {render(pick(t, True))}")
+        whens.append(f"WHEN tpl = {i} THEN {render(pick(t, False))}")
     return "CASE " + " ".join(whens) + " END"
