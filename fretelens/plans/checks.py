@@ -68,7 +68,7 @@ def _cooccurrence() -> str:
     pairs = list(combinations(FILTER_FIELDS, 2))
     counts = ", ".join(f"count_if({a} IS NOT NULL AND {b} IS NOT NULL) AS \"{a}|{b}\"" for a, b in pairs)
     return with_truth(
-        f"SELECT split_part(pair, '|', 1) AS field_a, split_part(pair, '|', 2) AS field_b, n "
+        f"SELECT split_part(pair, '|', 1) AS field_a, split_part(pair, '|', 2) AS field_b, CAST(n AS BIGINT) AS n "
         f"FROM (UNPIVOT (SELECT {counts} FROM truth) ON COLUMNS(*) INTO NAME pair VALUE n) WHERE n > 0")
 
 
