@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 from ..functions.calendar import CALENDAR_FIELDS
 from ..functions.dictionaries import FILTER_FIELDS
 from ..operators import normalize as N
+from ..operators import match as M
 from ..operators.link import entity_dimension
 from ..operators.outcome import all_null, render_inputs, to_filter_json
 from ..operators.parse import parse_requests
-from ..session import apply_job_conf
+from ..session import apply_job_conf, checkpoint_dir
 from ..sources.requests import render_requests
 from ..sources.shipments import shipments
 from ..sources.tables import table
@@ -40,6 +41,18 @@ def parsed(spark: SparkSession, sf: str, keep: bool = False) -> DataFrame:
     return parse_requests(requests(spark, sf), dimension(spark, sf), keep=keep)
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut lineage into the cluster's checkpoint folder (reused inputs)."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def matches(spark: SparkSession, sf: str) -> DataFrame:
+    """Parsed requests x shipments, both materialised once."""
+    specs = materialize(parsed(spark, sf).select("request_id", "anchor", "user_id", *FILTER_FIELDS, "status"))
+    return M.match_requests(specs, materialize(ships(spark, sf)))
+
+
 def iso(df: DataFrame) -> DataFrame:
     """Dates and timestamps leave as ISO text (the service's JSON form)."""
     out = []
@@ -197,6 +210,54 @@ def q_render_inputs(spark, sf):
     return render_inputs(parsed(spark, sf, keep=True))
 
 
+# --------------------------------------------------------------- matching --
+APPLY_TEXT = "notas em trânsito para MG emitidas de 01/01/1997 até 31/12/1997"
+
+
+def q_apply_filters(spark, sf):
+    """G1: one request's filters as a pushed-down predicate on all shipments."""
+    req = spark.createDataFrame([(0, None, 0, APPLY_TEXT)], "request_id bigint, ts timestamp_ntz, "
+                                                            "user_id bigint, query string")
+    spec = parse_requests(req).first().asDict()        # one row: the record
+    out = M.apply_filters(ships(spark, sf), spec)
+    return iso(out.select("nf", "valor_nf", "data_emissao", "cliente", "uf_destino", "situacao_nf"))
+
+
+def q_event_dates(spark, sf):
+    """Six event dates per shipment as rows."""
+    from ..sources.shipments import event_dates
+    return iso(event_dates(ships(spark, sf)))
+
+
+def q_match_requests(spark, sf):
+    """Every request against every shipment."""
+    return matches(spark, sf).select("request_id", "nf")
+
+
+def q_deadline_status(spark, sf):
+    """Status of every shipment at the latest issue date."""
+    s = ships(spark, sf)
+    at = s.agg(F.max("data_emissao")).first()[0]       # one scalar
+    st = M.deadline_status(F.col("data_prevista"), F.col("data_entrega").isNotNull(), F.lit(at))
+    return s.select("nf", st.alias("status"))
+
+
+def q_ranked_results(spark, sf):
+    """Matches ranked per request in the request's sort order."""
+    return M.ranked_results(matches(spark, sf)).select("request_id", "nf", "rank")
+
+
+def q_entitled_results(spark, sf):
+    """Matches the requesting user may see."""
+    grants = M.entitlements(table(spark, sf, "events"), table(spark, sf, "customer"))
+    return M.entitled_results(matches(spark, sf), grants).select("request_id", "nf")
+
+
+def q_formatted_results(spark, sf):
+    """Ranked rows in presentation form."""
+    return M.formatted_results(M.ranked_results(matches(spark, sf)))
+
+
 QUERIES = {
     "request_scan": q_request_scan,
     "shipments": q_shipments,
@@ -239,4 +300,11 @@ QUERIES = {
     "classify_outcome": project("status", "outcome", "detail"),
     "trace_requests": q_trace_requests,
     "render_inputs": q_render_inputs,
+    "apply_filters": q_apply_filters,
+    "event_dates": q_event_dates,
+    "match_requests": q_match_requests,
+    "deadline_status": q_deadline_status,
+    "ranked_results": q_ranked_results,
+    "entitled_results": q_entitled_results,
+    "formatted_results": q_formatted_results,
 }

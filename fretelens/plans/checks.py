@@ -95,6 +95,40 @@ _PROMPT = ("'Data de referência: ' || {t} || chr(10) || {lines} || 'Texto: ' ||
     t="strftime(a, '%Y-%m-%d')",
     lines=" || ".join(f"'{c}=' || strftime({CALENDAR_SQL[c]}, '%Y-%m-%d') || chr(10)" for c in CALENDAR_FIELDS))
 
+EVENT_COL = ("CASE TipoData WHEN '1' THEN s.data_agenda WHEN '2' THEN s.data_entrega WHEN '3' THEN s.data_emissao "
+             "WHEN '4' THEN s.data_prevista WHEN '5' THEN s.data_previsao_real WHEN '6' THEN s.data_baixa "
+             "ELSE s.data_emissao END")
+
+
+def status_at(at: str) -> str:
+    return (f"CASE WHEN s.data_entrega IS NOT NULL THEN 'ENTREGUE' WHEN s.data_prevista < {at} THEN 'ATRASO' "
+            f"WHEN s.data_prevista = {at} THEN 'DO DIA' WHEN s.data_prevista = {at} + 1 THEN 'DIA SEGUINTE' "
+            f"WHEN s.data_prevista = {at} + 2 THEN 'PREVISTO PARA 2 DIAS' ELSE 'FUTURO' END")
+
+
+MATCH_CTE = (
+    "SELECT t.request_id, t.user_id, t.SortColumn, t.SortDirection, s.* FROM truth t JOIN shipments s ON "
+    "(t.NF IS NULL OR s.nf = t.NF) AND (t.Cliente IS NULL OR s.cliente = t.Cliente) "
+    "AND (t.Transportadora IS NULL OR s.transportadora = t.Transportadora) "
+    "AND (t.UFDestino IS NULL OR s.uf_destino = t.UFDestino) "
+    "AND (t.CidadeDestino IS NULL OR s.cidade_destino = t.CidadeDestino) "
+    "AND (t.Operacao IS NULL OR s.operacao = t.Operacao) AND (t.SituacaoNF IS NULL OR s.situacao_nf = t.SituacaoNF) "
+    "AND (t.CNPJRaizTransp IS NULL OR s.cnpj_raiz_transp = t.CNPJRaizTransp) "
+    f"AND (t.DE IS NULL OR {EVENT_COL} BETWEEN t.DE AND t.ATE) "
+    f"AND (t.StatusAnaliseData IS NULL OR {status_at('t.a')} = t.StatusAnaliseData) "
+    "WHERE t.status = 200")
+SORT_KEY = ("CASE WHEN SortDirection = 'DESC' THEN -1 ELSE 1 END * CASE SortColumn "
+            "WHEN 'data_entrega' THEN CAST(data_entrega - DATE '1970-01-01' AS DOUBLE) "
+            "WHEN 'valor_nf' THEN valor_nf WHEN 'data_emissao' THEN CAST(data_emissao - DATE '1970-01-01' AS DOUBLE) END")
+RANKED = (f"SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY {SORT_KEY} ASC NULLS LAST, nf ASC) "
+          f"AS rank FROM m")
+
+
+def with_matches(select_sql: str) -> str:
+    return with_truth(f", m AS ({MATCH_CTE}), r AS ({RANKED})\n" + select_sql).replace(
+        "\n, m AS", ", m AS", 1)
+
+
 ORACLE = {
     "request_scan": with_truth(
         "SELECT t.request_id, strftime(CAST(a AS TIMESTAMP), '%Y-%m-%d %H:%M:%S') AS ts, user_id, x.query "
@@ -159,6 +193,26 @@ ORACLE = {
     "trace_requests": with_truth(
         f"SELECT t.request_id, x.query, {CALENDAR_COLS}, x.enhanced AS enhanced_query, "
         f"{json_sql('t.')} AS parsed_json FROM truth t JOIN texts x USING (request_id)"),
+    "apply_filters": with_shipments(
+        "SELECT nf, valor_nf, " + iso("data_emissao") + ", cliente, uf_destino, situacao_nf FROM shipments "
+        "WHERE situacao_nf = 'TRÂNSITO' AND uf_destino = 'MG' "
+        "AND data_emissao BETWEEN DATE '1997-01-01' AND DATE '1997-12-31'"),
+    "event_dates": with_shipments(
+        "SELECT nf, tipo, strftime(dia, '%Y-%m-%d') AS dia FROM (UNPIVOT (SELECT nf, data_agenda AS \"1\", "
+        "data_entrega AS \"2\", data_emissao AS \"3\", data_prevista AS \"4\", data_previsao_real AS \"5\", "
+        "data_baixa AS \"6\" FROM shipments) ON \"1\", \"2\", \"3\", \"4\", \"5\", \"6\" "
+        "INTO NAME tipo VALUE dia) WHERE dia IS NOT NULL"),
+    "match_requests": with_matches("SELECT request_id, nf FROM m"),
+    "ranked_results": with_matches("SELECT request_id, nf, rank FROM r"),
+    "entitled_results": with_matches(
+        "SELECT request_id, nf FROM m WHERE EXISTS (SELECT 1 FROM (SELECT DISTINCT user_id FROM events) e "
+        "JOIN customer c ON e.user_id % 25 = c.c_nationkey WHERE e.user_id = m.user_id AND c.c_name = m.cliente)"),
+    "formatted_results": with_matches(
+        "SELECT request_id, rank, nf, 'R$ ' || translate(format('{:,.2f}', valor_nf), ',.', '.,') AS valor, "
+        "strftime(data_emissao, '%d/%m/%Y') AS emissao, COALESCE(strftime(data_entrega, '%d/%m/%Y'), '-') AS entrega, "
+        "situacao_nf AS situacao FROM r"),
+    "deadline_status": with_shipments(
+        "SELECT s.nf, " + status_at("(SELECT MAX(data_emissao) FROM shipments)") + " AS status FROM shipments s"),
     "render_inputs": with_truth(
         f"SELECT t.request_id, {_PROMPT} AS prompt FROM truth t JOIN texts x USING (request_id)"),
 }
