@@ -258,6 +258,103 @@ def q_formatted_results(spark, sf):
     return M.formatted_results(M.ranked_results(matches(spark, sf)))
 
 
+# ----------------------------------------------------- logs, outputs, eval --
+def q_phrase_scan(spark, sf):
+    """A1: request lines of a text corpus (documents, whole texts)."""
+    from ..sources.phrases import phrase_lines
+    return phrase_lines(table(spark, sf, "documents"), "doc_id", "text")
+
+
+def log_records(spark, sf):
+    from ..sources.logs import parse_log_records, render_log_lines
+    return parse_log_records(render_log_lines(table(spark, sf, "events")))
+
+
+def q_log_scan(spark, sf):
+    """A3: service-log records, tracebacks folded into their record."""
+    r = log_records(spark, sf)
+    return r.withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSS"))
+
+
+def outputs(spark, sf):
+    from ..sources.outputs import render_outputs
+    return render_outputs(ships(spark, sf))
+
+
+def q_recover_block(spark, sf):
+    """JSON block after the last marker of each generated text."""
+    from ..operators.outcome import recover_block
+    return outputs(spark, sf).select("request_id", recover_block(F.col("raw_text")).alias("block"))
+
+
+OUTPUT_FIELDS = ["NF", "DE", "ATE", "TipoData", "Cliente", "UFDestino", "Operacao", "SituacaoNF"]
+
+
+def q_output_parse(spark, sf):
+    """F5 (+E12): typed fields, quarantine flag and status per output."""
+    from ..operators.outcome import output_parse
+    o = output_parse(outputs(spark, sf))
+    return iso(o.select("request_id", "parse_ok", "all_null", "status",
+                        F.size("invalid_fields").alias("n_invalid"), *OUTPUT_FIELDS))
+
+
+def q_domain_report(spark, sf):
+    """Values outside their field's domain, per field."""
+    from ..operators.outcome import domain_report, output_parse
+    return domain_report(output_parse(outputs(spark, sf)))
+
+
+def q_generate_stub(spark, sf):
+    """2.J: a texts -> texts generator slot (mapInPandas) between render
+    and recovery; the local stub answers every prompt with an empty JSON."""
+    from ..operators.generate import attach_generator, empty_json_stub
+    from ..operators.outcome import output_parse, render_inputs
+    gen = attach_generator(render_inputs(parsed(spark, sf, keep=True)), empty_json_stub)
+    return output_parse(gen).select("request_id", "status")
+
+
+def q_field_accuracy(spark, sf):
+    """H1: parsed records vs the corpus labels, per field."""
+    from ..operators.evaluate import field_accuracy
+    from ..sources.requests import render_labels
+    return field_accuracy(parsed(spark, sf), render_labels(ships(spark, sf)))
+
+
+def q_field_coverage(spark, sf):
+    """H2: filled fields per outcome, rolled up."""
+    from ..operators.evaluate import field_coverage
+    return field_coverage(parsed(spark, sf))
+
+
+def q_vague_rate(spark, sf):
+    """H3: hourly vague-request rate from the service log."""
+    from ..operators.evaluate import vague_rate
+    return iso(vague_rate(log_records(spark, sf)))
+
+
+def attempts(spark, sf):
+    from ..sources.logs import attempt_log
+    return attempt_log(table(spark, sf, "events"))
+
+
+def q_latency_summary(spark, sf):
+    """H4: response time by status."""
+    from ..operators.evaluate import latency_summary
+    return latency_summary(attempts(spark, sf))
+
+
+def q_latency_quantiles(spark, sf):
+    """H4: approximate p50/p95/p99 by status."""
+    from ..operators.evaluate import latency_quantiles
+    return latency_quantiles(attempts(spark, sf))
+
+
+def q_attempt_summary(spark, sf):
+    """H5: attempts until success per request."""
+    from ..operators.evaluate import attempt_summary
+    return iso(attempt_summary(attempts(spark, sf)))
+
+
 QUERIES = {
     "request_scan": q_request_scan,
     "shipments": q_shipments,
@@ -307,4 +404,16 @@ QUERIES = {
     "ranked_results": q_ranked_results,
     "entitled_results": q_entitled_results,
     "formatted_results": q_formatted_results,
+    "phrase_scan": q_phrase_scan,
+    "log_scan": q_log_scan,
+    "recover_block": q_recover_block,
+    "output_parse": q_output_parse,
+    "domain_report": q_domain_report,
+    "generate_stub": q_generate_stub,
+    "field_accuracy": q_field_accuracy,
+    "field_coverage": q_field_coverage,
+    "vague_rate": q_vague_rate,
+    "latency_summary": q_latency_summary,
+    "latency_quantiles": q_latency_quantiles,
+    "attempt_summary": q_attempt_summary,
 }

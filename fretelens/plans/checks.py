@@ -216,3 +216,7 @@ ORACLE = {
     "render_inputs": with_truth(
         f"SELECT t.request_id, {_PROMPT} AS prompt FROM truth t JOIN texts x USING (request_id)"),
 }
+
+from .checks_io import ORACLE_IO  # noqa: E402
+
+ORACLE.update(ORACLE_IO)

@@ -88,3 +88,59 @@ def render_requests(ships: DataFrame) -> DataFrame:
         (F.col("cod_cliente") % 150).alias("user_id"),
         text.alias("query"),
     )
+
+
+def render_labels(ships: DataFrame) -> DataFrame:
+    """The structured record each rendered request was built from
+    (request_id + 14 fields): the labelled side of the generated corpus,
+    used to measure extraction quality (H1).  Built from the same slots as
+    :func:`render_requests`, never from the text."""
+    nf = F.col("nf")
+    a = F.col("data_emissao")
+    ws = F.date_sub(a, F.weekday(a))
+
+    def pick_mod(values, mod):
+        return _pick(values, nf % mod + 1)
+
+    def case_mod(exprs, mod):
+        out = None
+        for i, e in enumerate(exprs):
+            out = F.when(nf % mod == i, e) if out is None else out.when(nf % mod == i, e)
+        return out
+
+    env = {
+        "a": a, "ws": ws, "lws": F.date_sub(ws, 7), "ms": F.trunc(a, "MM"), "me": F.last_day(a),
+        "tpl": nf % RT.N_TEMPLATES, "cli": F.col("cliente"), "tr": F.col("transportadora"),
+        "cnpj": F.col("cnpj_raiz_transp"), "uf": F.col("uf_destino"), "city": F.col("cidade_destino"),
+        "op": F.col("operacao"),
+        "ev_code": pick_mod([c for _, c in RT.EVENTS], RT.SLOT_MOD["ev"]),
+        "sit_val": pick_mod([v for _, v in RT.SITUATIONS], RT.SLOT_MOD["sit"]),
+        "perf_val": pick_mod([v for _, v in RT.PERFORMANCE], RT.SLOT_MOD["perf"]),
+        "srt_col": pick_mod([x[1] for x in RT.SORTS], RT.SLOT_MOD["srt"]),
+        "srt_dir": pick_mod([x[2] for x in RT.SORTS], RT.SLOT_MOD["srt"]),
+        "city_is_state": F.col("cidade_destino").isin(D.STATE_NAMES),
+        "range_end": F.make_date(F.year(a), F.month(a),
+                                 F.least(F.dayofmonth(a) + 4, F.dayofmonth(F.last_day(a)))),
+    }
+    base = ships.withColumns(env)
+    base = base.withColumns({
+        "per_de": case_mod([F.expr(p[1]) for p in RT.PERIODS], RT.SLOT_MOD["per"]),
+        "per_ate": case_mod([F.expr(p[2]) for p in RT.PERIODS], RT.SLOT_MOD["per"]),
+        "ag_de": case_mod([F.expr(p[1]) for p in RT.AGENDA], RT.SLOT_MOD["ag"]),
+        "ag_ate": case_mod([F.expr(p[2]) for p in RT.AGENDA], RT.SLOT_MOD["ag"]),
+    })
+    types = {"NF": "bigint", "DE": "date", "ATE": "date"}
+    cols = {}
+    for field in D.FILTER_FIELDS:
+        out = None
+        for i, t in enumerate(RT.TEMPLATES):
+            branches = []
+            if "needs" in t:
+                fb = t["fallback_expect"].get(field)
+                branches.append(((F.col("tpl") == i) & F.col(t["needs"]).isNull(), F.expr(fb) if fb else F.lit(None)))
+            e = t["expect"].get(field)
+            branches.append((F.col("tpl") == i, F.expr(e) if e else F.lit(None)))
+            for cond, val in branches:
+                out = F.when(cond, val) if out is None else out.when(cond, val)
+        cols[field] = out.cast(types.get(field, "string"))
+    return base.select(nf.alias("request_id"), *[cols[f].alias(f) for f in D.FILTER_FIELDS])
