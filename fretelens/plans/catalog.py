@@ -355,6 +355,33 @@ def q_attempt_summary(spark, sf):
     return iso(attempt_summary(attempts(spark, sf)))
 
 
+# -------------------------------------------------------------- streaming --
+def q_stream_parse(spark, sf):
+    """Requests arriving as a file stream, parsed per micro-batch."""
+    from ..streaming import jobs as J
+    feed = J.land(requests(spark, sf), J.run_folder(spark, "requests"))
+    out = J.stream_parse(spark, feed, dimension(spark, sf), J.run_folder(spark, "parsed"),
+                         J.run_folder(spark, "ckpt"))
+    return iso(out.select("request_id", *RECORD))
+
+
+def q_stream_vague_rate(spark, sf):
+    """Hourly vague rate over the event stream, watermark 1 hour."""
+    from ..streaming import jobs as J
+    events = table(spark, sf, "events")
+    feed = J.land(events, J.run_folder(spark, "events"))
+    out = J.stream_vague_rate(spark, feed, events.schema, J.run_folder(spark, "rate"), J.run_folder(spark, "ckpt"))
+    return iso(out)
+
+
+def q_stream_match(spark, sf):
+    """Request stream against the static shipments."""
+    from ..streaming import jobs as J
+    feed = J.land(requests(spark, sf), J.run_folder(spark, "requests"))
+    return J.stream_match(spark, feed, dimension(spark, sf), materialize(ships(spark, sf)),
+                          J.run_folder(spark, "matched"), J.run_folder(spark, "ckpt"))
+
+
 QUERIES = {
     "request_scan": q_request_scan,
     "shipments": q_shipments,
@@ -416,4 +443,7 @@ QUERIES = {
     "latency_summary": q_latency_summary,
     "latency_quantiles": q_latency_quantiles,
     "attempt_summary": q_attempt_summary,
+    "stream_parse": q_stream_parse,
+    "stream_vague_rate": q_stream_vague_rate,
+    "stream_match": q_stream_match,
 }

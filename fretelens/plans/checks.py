@@ -220,3 +220,5 @@ ORACLE = {
 from .checks_io import ORACLE_IO  # noqa: E402
 
 ORACLE.update(ORACLE_IO)
+ORACLE["stream_parse"] = ORACLE["parse_requests"]
+ORACLE["stream_match"] = ORACLE["match_requests"]

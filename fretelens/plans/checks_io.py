@@ -107,7 +107,18 @@ def _accuracy() -> str:
 ATTEMPTS = ("a AS (SELECT user_id AS request_id, ts, CASE event_type WHEN 'error' THEN 500 WHEN 'click' THEN 429 "
             "ELSE 200 END AS status, value AS seconds FROM events)")
 
+# Append mode emits a window once the watermark (max event time - 1 hour)
+# has passed its end; the last windows stay open.
+STREAM_VAGUE_RATE = (
+    "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS n_requests, "
+    "CAST(count_if(event_type = 'signup') AS BIGINT) AS n_vague, "
+    "CAST(count_if(event_type = 'error') AS BIGINT) AS n_error, "
+    "round(count_if(event_type = 'signup') / count(*), 6) AS vague_rate FROM events "
+    "GROUP BY date_trunc('hour', ts) "
+    "HAVING date_trunc('hour', ts) + INTERVAL 2 HOUR <= (SELECT max(ts) FROM events)")
+
 ORACLE_IO = {
+    "stream_vague_rate": STREAM_VAGUE_RATE,
     "phrase_scan": PHRASE_SCAN,
     "log_scan": LOG_SCAN,
     "recover_block": with_shipments(", " + BLOCKS + " SELECT request_id, block FROM b"),
