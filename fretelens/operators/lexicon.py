@@ -81,10 +81,27 @@ LEXICON = {
 }
 
 
+def _body(pattern: str) -> str:
+    return pattern[len("(?iu)"):] if pattern.startswith("(?iu)") else pattern
+
+
+def combine(patterns) -> str:
+    """One alternation for several case-insensitive patterns (one regex pass)."""
+    return "(?iu)" + "|".join("(?:" + _body(p) + ")" for p in patterns)
+
+
+def by_value(entries):
+    """Entries grouped by value, one combined pattern per value (table order)."""
+    groups: dict[str, list[str]] = {}
+    for p, v in entries:
+        groups.setdefault(v, []).append(p)
+    return [(combine(ps), v) for v, ps in groups.items()]
+
+
 def distinct_values(col: Column, entries) -> Column:
     """ARRAY of distinct values whose pattern occurs in ``col``."""
-    found = F.array(*[F.when(col.rlike(p), F.lit(v)) for p, v in entries])
-    return F.array_distinct(F.filter(found, lambda x: x.isNotNull()))
+    found = F.array(*[F.when(col.rlike(p), F.lit(v)) for p, v in by_value(entries)])
+    return F.filter(found, lambda x: x.isNotNull())
 
 
 def single_value(col: Column, entries) -> Column:
@@ -95,12 +112,9 @@ def single_value(col: Column, entries) -> Column:
 
 def first_value(col: Column, entries) -> Column:
     """Value of the first entry (table order = priority) that occurs."""
-    return F.coalesce(*[F.when(col.rlike(p), F.lit(v)) for p, v in entries])
+    return F.coalesce(*[F.when(col.rlike(p), F.lit(v)) for p, v in by_value(entries)])
 
 
 def mask(col: Column, entries) -> Column:
-    """Blank out every phrase of the given entries."""
-    out = col
-    for p, _ in entries:
-        out = F.regexp_replace(out, p, " ")
-    return out
+    """Blank out every phrase of the given entries (longest first, one pass)."""
+    return F.regexp_replace(col, combine(p for p, _ in entries), " ")

@@ -101,7 +101,6 @@ def named_period(text: Column, cal: Column, anchor: Column) -> Column:
 
 
 def mask_periods(text: Column) -> Column:
-    out = text
-    for p in [RANGE_DMY, DAYS_OF_MONTH, SINGLE_DMY, DAY_OF_MONTH, LAST_N_DAYS, NAMED_MONTH] + [p for p, _ in _NAMED]:
-        out = F.regexp_replace(out, p, " ")
-    return out
+    """Blank every period phrase (one pass, longest alternatives first)."""
+    parts = [RANGE_DMY, DAYS_OF_MONTH, SINGLE_DMY, DAY_OF_MONTH, LAST_N_DAYS, NAMED_MONTH] + [p for p, _ in _NAMED]
+    return F.regexp_replace(text, "(?iu)" + "|".join("(?:" + p[len("(?iu)"):] + ")" for p in parts), " ")

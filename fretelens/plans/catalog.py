@@ -37,8 +37,13 @@ def dimension(spark: SparkSession, sf: str) -> DataFrame:
     return entity_dimension(table(spark, sf, "customer"), table(spark, sf, "supplier"))
 
 
+def parse_parallelism(spark: SparkSession) -> int:
+    """Tasks for the CPU-bound rule projection: two per core."""
+    return max(2 * spark.sparkContext.defaultParallelism, 8)
+
+
 def parsed(spark: SparkSession, sf: str, keep: bool = False) -> DataFrame:
-    return parse_requests(requests(spark, sf), dimension(spark, sf), keep=keep)
+    return parse_requests(requests(spark, sf), dimension(spark, sf), keep=keep, partitions=parse_parallelism(spark))
 
 
 def materialize(df: DataFrame) -> DataFrame:
