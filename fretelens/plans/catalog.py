@@ -53,9 +53,9 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 def matches(spark: SparkSession, sf: str) -> DataFrame:
-    """Parsed requests x shipments, both materialised once."""
-    specs = materialize(parsed(spark, sf).select("request_id", "anchor", "user_id", *FILTER_FIELDS, "status"))
-    return M.match_requests(specs, materialize(ships(spark, sf)))
+    """Parsed requests x shipments (inputs materialised once inside)."""
+    specs = parsed(spark, sf).select("request_id", "anchor", "user_id", *FILTER_FIELDS, "status")
+    return M.match_requests(specs, ships(spark, sf))
 
 
 def iso(df: DataFrame) -> DataFrame:
