@@ -113,61 +113,98 @@ def mask_negation(text: Column) -> Column:
     return F.regexp_replace(text, NEGATION_SCOPE, " ")
 
 
+def name_spans(text: Column) -> dict[str, Column]:
+    """Words after the customer / carrier keyword, read from a text where
+    only negated clauses and the CNPJ-root phrase are blanked (cheap: the
+    linker needs the leading words, not the other fields)."""
+    f = fold(text)
+    t = F.when(L.guard(f, ["nao", "exceto", "menos"]), mask_negation(text)).otherwise(text)
+    t = F.when(f.contains("cnpj"), F.regexp_replace(t, CNPJ_ROOT, " ")).otherwise(t)
+    none = F.array().cast("array<string>")
+    return {
+        "x_cli_tokens": F.when(L.guard(f, ["cliente", "tomador"]), _tokens(_after(t, CLIENT_KW))).otherwise(none),
+        "x_tr_tokens": F.when(L.guard(f, ["transportadora", "parceiro"]), _tokens(_after(t, CARRIER_KW)))
+                        .otherwise(none),
+    }
+
+
 def extract(df: DataFrame, text: str = "enhanced_query", anchor: str = "anchor") -> DataFrame:
-    """Adds raw field columns ``x_*`` and the row's ``calendar`` struct."""
+    """Adds raw field columns ``x_*`` and the row's ``calendar`` struct.
+
+    Every regex group runs only on rows whose folded text holds one of the
+    literals it needs (``L.guard``: plain substring tests); later texts only
+    lose words, so guards on the first text stay valid all the way down."""
     t0 = F.coalesce(F.col(text), F.lit(""))
     a = F.col(anchor)
+    df = df.withColumns({"calendar": calendar_bounds(a), "_f0": fold(t0)})
+    f0 = F.col("_f0")
+
+    def g(*words):
+        return L.guard(f0, words)
+
+    g_neg = g("nao", "exceto", "menos")
     df = df.withColumns({
-        "calendar": calendar_bounds(a),
-        "x_negated": t0.rlike(NEGATION_SCOPE),
-        "_t1": mask_negation(t0),
+        "x_negated": g_neg & t0.rlike(NEGATION_SCOPE),
+        "_t1": F.when(g_neg, mask_negation(t0)).otherwise(t0),
     })
     t1 = F.col("_t1")
+    g_op = g("bound")
     ops = F.transform(F.regexp_extract_all(t1, F.lit(OPERATION), 1),
                       lambda x: _lookup({o: o for o in D.OPERATIONS}, x))
-    df = df.withColumns({"x_op": _one(ops), "_t2": F.regexp_replace(t1, OPERATION, " ")})
+    df = df.withColumns({"x_op": F.when(g_op, _one(ops)),
+                         "_t2": F.when(g_op, F.regexp_replace(t1, OPERATION, " ")).otherwise(t1)})
     t2 = F.col("_t2")
+    g_cnpj = g("cnpj")
     cnpj = F.regexp_extract(t2, CNPJ_ROOT, 1)
-    df = df.withColumns({"x_cnpj": F.when(cnpj != "", cnpj), "_t3": F.regexp_replace(t2, CNPJ_ROOT, " ")})
+    df = df.withColumns({"x_cnpj": F.when(g_cnpj & (cnpj != ""), cnpj),
+                         "_t3": F.when(g_cnpj, F.regexp_replace(t2, CNPJ_ROOT, " ")).otherwise(t2)})
     t3 = F.col("_t3")
+    g_nf = g("nota")
+    df = df.withColumn("_t4", F.when(g_nf, F.regexp_replace(t3, NF_NUMBER, " ")).otherwise(t3))
+    t4 = F.col("_t4")
+    g_sort = g("orden", "ordem", "classific")
     df = df.withColumns({
-        "x_nf": F.regexp_extract(t3, NF_NUMBER, 1).try_cast("bigint"),
-        "_t4": F.regexp_replace(t3, NF_NUMBER, " "),
-        "_tail": F.regexp_extract(F.regexp_replace(t3, NF_NUMBER, " "), SORT_TAIL, 0),
+        "x_nf": F.when(g_nf, F.regexp_extract(t3, NF_NUMBER, 1).try_cast("bigint")),
+        "_tail": F.when(g_sort, F.regexp_extract(t4, SORT_TAIL, 0)).otherwise(F.lit("")),
     })
-    t4, tail = F.col("_t4"), F.col("_tail")
+    tail = F.col("_tail")
     has_tail = tail != ""
     head = F.when(has_tail, F.substring(t4, F.lit(1), F.length(t4) - F.length(tail))).otherwise(t4)
     df = df.withColumns({
         "x_sort_col": F.when(has_tail, L.first_value(tail, _SORT_COLUMN)),
         "x_sort_dir": F.when(has_tail, L.single_value(tail, _SORT_DIRECTION)),
-        "_t5": F.concat(head, F.lit(" "), F.regexp_replace(tail, _SORT_WORDS, " ")),
+        "_t5": F.when(has_tail, F.concat(head, F.lit(" "), F.regexp_replace(tail, _SORT_WORDS, " "))).otherwise(t4),
     })
     t5 = F.col("_t5")
+    g_perf = g(*L.GUARDS["performance"])
     df = df.withColumns({
-        "x_perf": L.single_value(t5, L.LEXICON["performance"]),
-        "_t6": L.mask(t5, L.LEXICON["performance"]),
+        "x_perf": L.single_value(t5, L.LEXICON["performance"], g_perf),
+        "_t6": L.mask(t5, L.LEXICON["performance"], g_perf),
     })
     t6 = F.col("_t6")
+    g_sit = g(*L.GUARDS["situation"])
     df = df.withColumns({
-        "x_sit_vals": L.distinct_values(t6, L.LEXICON["situation"]),
-        "_t7": L.mask(t6, L.LEXICON["situation"]),
+        "x_sit_vals": L.distinct_values(t6, L.LEXICON["situation"], g_sit),
+        "_t7": L.mask(t6, L.LEXICON["situation"], g_sit),
     })
     t7 = F.col("_t7")
+    g_cli, g_tr = g("cliente", "tomador"), g("transportadora", "parceiro")
     cli_after, tr_after = _after(t7, CLIENT_KW), _after(t7, CARRIER_KW)
+    none = F.array().cast("array<string>")
     df = df.withColumns({
-        "x_cli_raw": _raw_name(cli_after),
-        "x_cli_tokens": _tokens(cli_after),
-        "x_tr_raw": _raw_name(tr_after),
-        "x_tr_tokens": _tokens(tr_after),
-        "_t8": F.regexp_replace(t7, ENTITY_SPAN, " "),
+        "x_cli_raw": F.when(g_cli, _raw_name(cli_after)),
+        "x_cli_tokens": F.when(g_cli, _tokens(cli_after)).otherwise(none),
+        "x_tr_raw": F.when(g_tr, _raw_name(tr_after)),
+        "x_tr_tokens": F.when(g_tr, _tokens(tr_after)).otherwise(none),
+        "_t8": F.when(g_cli | g_tr, F.regexp_replace(t7, ENTITY_SPAN, " ")).otherwise(t7),
     })
     t8 = F.col("_t8")
+    g_city = g("cidade")
     city_x = F.regexp_extract(t8, CITY_EXPLICIT, 1)
     city_x_name = _lookup({c: c for c in _CITY_STATE}, city_x)
     df = df.withColumns({
-        "_city_x": F.when(city_x != "", city_x_name),
-        "_t9": F.regexp_replace(t8, CITY_EXPLICIT, " "),
+        "_city_x": F.when(g_city & (city_x != ""), city_x_name),
+        "_t9": F.when(g_city, F.regexp_replace(t8, CITY_EXPLICIT, " ")).otherwise(t8),
     })
     t9 = F.col("_t9")
     state_ufs = F.transform(F.regexp_extract_all(t9, F.lit(STATE_NAME), 1), lambda x: _lookup(_STATE_OF, x))
@@ -175,20 +212,23 @@ def extract(df: DataFrame, text: str = "enhanced_query", anchor: str = "anchor")
     no_states = F.regexp_replace(t9, STATE_NAME, " ")
     towns = F.transform(F.regexp_extract_all(no_states, F.lit(TOWN), 1), lambda x: _lookup({c: c for c in _TOWNS}, x))
     city_x_uf = F.when(F.col("_city_x").isin(list(_STATE_OF)), _lookup(_STATE_OF, F.col("_city_x")))
+    df = df.withColumn("_t9b", no_states)
     df = df.withColumns({
         "x_uf": _one(F.concat(state_ufs, code_ufs, F.array(city_x_uf))),
         "x_city": F.coalesce(F.col("_city_x"), _one(towns)),
-        "_t10": F.regexp_replace(no_states, TOWN, " "),
+        "_t10": F.regexp_replace(F.col("_t9b"), TOWN, " "),
     })
     t10 = F.col("_t10")
+    g_per = g(*L.GUARDS["period"])
     df = df.withColumns({
-        "x_has_period": t10.rlike("|".join(p for p, _ in L.LEXICON["period"])),
-        "x_explicit": explicit_range(t10, a),
-        "x_named": named_period(t10, F.col("calendar"), a),
-        "_t11": mask_periods(t10),
+        "x_has_period": g_per & t10.rlike(L.combine(p for p, _ in L.LEXICON["period"])),
+        "x_explicit": F.when(g_per, explicit_range(t10, a)),
+        "x_named": F.when(g_per, named_period(t10, F.col("calendar"), a)),
+        "_t11": F.when(g_per, mask_periods(t10)).otherwise(t10),
     })
     df = df.withColumns({
-        "x_event": L.first_value(F.col("_t11"), L.LEXICON["event"]),
+        "x_event": L.first_value(F.col("_t11"), L.LEXICON["event"], g(*L.GUARDS["event"])),
         "x_domain": t0.rlike(ci(any_word(D.DOMAIN_WORDS))),
     })
-    return df.drop("_t1", "_t2", "_t3", "_t4", "_tail", "_t5", "_t6", "_t7", "_t8", "_t9", "_t10", "_t11", "_city_x")
+    return df.drop("_f0", "_t1", "_t2", "_t3", "_t4", "_tail", "_t5", "_t6", "_t7", "_t8", "_t9", "_t9b", "_t10",
+                   "_t11", "_city_x")

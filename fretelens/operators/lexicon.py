@@ -72,6 +72,18 @@ _period = [
     (ci(word("hoje")), "today"),
 ]
 
+# Literals (folded: lower case, no accents) that every pattern of a concept
+# needs; a row without any of them cannot match, so the regexes are skipped.
+GUARDS = {
+    "situation": ["transito", "rodando", "viajando", "caminho", "retid", "bloquead", "parad", "status", "situac"],
+    "performance": ["analise", "status", "atraso", "previst", "daqui", "futur"],
+    "sort": ["ordena"],
+    "event": ["previs", "agend", "baix", "emiti", "emiss", "entreg"],
+    "period": ["ultim", "semana", "mes", "hoje", "ontem", "amanha", "/"]
+              + ["janeiro", "fevereiro", "marco", "abril", "maio", "junho", "julho", "agosto", "setembro",
+                 "outubro", "novembro", "dezembro"],
+}
+
 LEXICON = {
     "situation": _situation,
     "performance": _performance,
@@ -98,23 +110,38 @@ def by_value(entries):
     return [(combine(ps), v) for v, ps in groups.items()]
 
 
-def distinct_values(col: Column, entries) -> Column:
-    """ARRAY of distinct values whose pattern occurs in ``col``."""
-    found = F.array(*[F.when(col.rlike(p), F.lit(v)) for p, v in by_value(entries)])
-    return F.filter(found, lambda x: x.isNotNull())
+def guard(folded: Column | None, words) -> Column | None:
+    """True when the folded text holds one of ``words`` (plain substring tests)."""
+    if folded is None:
+        return None
+    out = None
+    for w in words:
+        c = folded.contains(w)
+        out = c if out is None else (out | c)
+    return out
+
+
+def distinct_values(col: Column, entries, when: Column | None = None) -> Column:
+    """ARRAY of distinct values whose pattern occurs in ``col`` (regexes only
+    run on rows where ``when`` holds)."""
+    found = F.filter(F.array(*[F.when(col.rlike(p), F.lit(v)) for p, v in by_value(entries)]),
+                     lambda x: x.isNotNull())
+    return found if when is None else F.when(when, found).otherwise(F.array().cast("array<string>"))
 
 
-def single_value(col: Column, entries) -> Column:
+def single_value(col: Column, entries, when: Column | None = None) -> Column:
     """The value when exactly one distinct value occurs, else NULL."""
-    vals = distinct_values(col, entries)
+    vals = distinct_values(col, entries, when)
     return F.when(F.size(vals) == 1, vals[0])
 
 
-def first_value(col: Column, entries) -> Column:
+def first_value(col: Column, entries, when: Column | None = None) -> Column:
     """Value of the first entry (table order = priority) that occurs."""
-    return F.coalesce(*[F.when(col.rlike(p), F.lit(v)) for p, v in by_value(entries)])
+    out = F.coalesce(*[F.when(col.rlike(p), F.lit(v)) for p, v in by_value(entries)])
+    return out if when is None else F.when(when, out)
 
 
-def mask(col: Column, entries) -> Column:
+def mask(col: Column, entries, when: Column | None = None) -> Column:
     """Blank out every phrase of the given entries (longest first, one pass)."""
-    return F.regexp_replace(col, combine(p for p, _ in entries), " ")
+    out = F.regexp_replace(col, combine(p for p, _ in entries), " ")
+    return out if when is None else F.when(when, out).otherwise(col)

@@ -54,12 +54,17 @@ def candidate_grams(parsed: DataFrame, key: str = "request_id") -> DataFrame:
     return grams.select(key, "kind", "g.n", "g.gram_key")
 
 
-def link_entities(parsed: DataFrame, dimension: DataFrame, key: str = "request_id") -> DataFrame:
-    """Adds ``linked_cliente`` and ``linked_transportadora`` (NULL = unlinked)."""
-    grams = candidate_grams(parsed, key)
+def best_links(spans: DataFrame, dimension: DataFrame, key: str = "request_id") -> DataFrame:
+    """(key, linked_cliente, linked_transportadora) for rows whose n-grams hit
+    the dimension; ``spans`` holds ``x_cli_tokens`` / ``x_tr_tokens``."""
+    grams = candidate_grams(spans, key)
     hits = grams.join(dimension, (grams.kind == dimension.kind) & (grams.gram_key == dimension.name_key))
-    best = hits.groupBy(key).agg(*[
+    return hits.groupBy(key).agg(*[
         F.max_by(F.when(grams.kind == k, F.col("name")), F.when(grams.kind == k, F.col("n"))).alias(f"linked_{k}")
         for k in KINDS
     ])
-    return parsed.join(best, key, "left")
+
+
+def link_entities(parsed: DataFrame, dimension: DataFrame, key: str = "request_id") -> DataFrame:
+    """Adds ``linked_cliente`` and ``linked_transportadora`` (NULL = unlinked)."""
+    return parsed.join(best_links(parsed, dimension, key), key, "left")

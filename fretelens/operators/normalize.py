@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dictionaries as D
-from ..functions.text import LB, RB, ci, loose, squash, word
+from ..functions.text import LB, RB, ci, fold, loose, squash, word
 from . import lexicon as L
 
 
@@ -41,11 +41,12 @@ def expand_abbreviations(col: Column) -> Column:
     out = col
     for pattern, repl in _ABBREV_RULES:
         out = F.regexp_replace(out, pattern, repl)
-    return out
+    f = fold(col)
+    return F.when(L.guard(f, ["nf", "sp", "cli", "transp", "ult"]), out).otherwise(col)
 
 
-def _concept_values(col: Column, concept: str) -> Column:
-    return L.distinct_values(col, L.LEXICON[concept])
+def _concept_values(col: Column, concept: str, folded: Column | None = None) -> Column:
+    return L.distinct_values(col, L.LEXICON[concept], L.guard(folded, L.GUARDS[concept]))
 
 
 _CONCEPT_ORDER = ("performance", "situation", "sort")
@@ -67,13 +68,16 @@ def map_synonyms(df: DataFrame, src: str, dst: str) -> DataFrame:
     left as written).  B5 holds because only the listed phrases are
     rewritten; a bare event word is never touched.  One column per concept
     keeps the expression tree linear."""
-    df = df.withColumns({f"_amb_{c}": F.size(_concept_values(F.col(src), c)) > 1 for c in _CONCEPT_ORDER})
+    df = df.withColumn("_fsyn", fold(F.col(src)))
+    folded = F.col("_fsyn")
+    df = df.withColumns({f"_amb_{c}": F.size(_concept_values(F.col(src), c, folded)) > 1 for c in _CONCEPT_ORDER})
     prev = src
     for c in _CONCEPT_ORDER:
-        df = df.withColumn(f"_syn_{c}", F.when(F.col(f"_amb_{c}"), F.col(prev)).otherwise(_rewrite(F.col(prev), c)))
+        skip = F.col(f"_amb_{c}") | ~L.guard(folded, L.GUARDS[c])
+        df = df.withColumn(f"_syn_{c}", F.when(skip, F.col(prev)).otherwise(_rewrite(F.col(prev), c)))
         prev = f"_syn_{c}"
     df = df.withColumn(dst, F.col(prev))
-    return df.drop(*[f"_amb_{c}" for c in _CONCEPT_ORDER], *[f"_syn_{c}" for c in _CONCEPT_ORDER])
+    return df.drop("_fsyn", *[f"_amb_{c}" for c in _CONCEPT_ORDER], *[f"_syn_{c}" for c in _CONCEPT_ORDER])
 
 
 def sentence_shape(col: Column) -> Column:

@@ -47,8 +47,10 @@ def filter_columns(df: DataFrame) -> dict[str, Column]:
         "DE": de,
         "ATE": ate,
         "TipoData": tipo,
-        "Cliente": F.coalesce(F.col("linked_cliente"), F.col("x_cli_raw")),
-        "Transportadora": F.coalesce(F.col("linked_transportadora"), F.col("x_tr_raw")),
+        # a link counts only where the rule text still names the entity
+        "Cliente": F.when(F.col("x_cli_raw").isNotNull(), F.coalesce(F.col("linked_cliente"), F.col("x_cli_raw"))),
+        "Transportadora": F.when(F.col("x_tr_raw").isNotNull(),
+                                 F.coalesce(F.col("linked_transportadora"), F.col("x_tr_raw"))),
         "UFDestino": F.col("x_uf"),
         "CidadeDestino": F.col("x_city"),
         "Operacao": F.col("x_op"),

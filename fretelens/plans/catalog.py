@@ -249,7 +249,7 @@ def q_deadline_status(spark, sf):
 
 def q_ranked_results(spark, sf):
     """Matches ranked per request in the request's sort order."""
-    return M.ranked_results(matches(spark, sf)).select("request_id", "nf", "rank")
+    return M.ranked_results(matches(spark, sf), ["request_id", "nf"]).select("request_id", "nf", "rank")
 
 
 def q_entitled_results(spark, sf):
@@ -366,7 +366,7 @@ def q_stream_parse(spark, sf):
     from ..streaming import jobs as J
     feed = J.land(requests(spark, sf), J.run_folder(spark, "requests"))
     out = J.stream_parse(spark, feed, dimension(spark, sf), J.run_folder(spark, "parsed"),
-                         J.run_folder(spark, "ckpt"))
+                         J.run_folder(spark, "ckpt"), files_per_batch=2, partitions=parse_parallelism(spark))
     return iso(out.select("request_id", *RECORD))
 
 
@@ -384,7 +384,8 @@ def q_stream_match(spark, sf):
     from ..streaming import jobs as J
     feed = J.land(requests(spark, sf), J.run_folder(spark, "requests"))
     return J.stream_match(spark, feed, dimension(spark, sf), materialize(ships(spark, sf)),
-                          J.run_folder(spark, "matched"), J.run_folder(spark, "ckpt"))
+                          J.run_folder(spark, "matched"), J.run_folder(spark, "ckpt"), files_per_batch=2,
+                          partitions=parse_parallelism(spark))
 
 
 QUERIES = {
