@@ -58,3 +58,44 @@ def test_rank_within_hot_group(spark):
     slices = (df.repartitionByRange(8, "g", "v", "nf").where(F.col("g") == 0)
                 .select(F.spark_partition_id().alias("p")).distinct().count())
     assert slices > 1
+
+
+def test_every_anchor_branch_equals_brute_force(spark):
+    """Hand-made records, one or more per anchor branch (incl. the salted
+    low-cardinality ones, long ranges and sort-only)."""
+    from datetime import date
+
+    from fretelens.operators.match import SPEC_FIELDS, choose_anchor, materialize, prepare_specs
+    ships = materialize(C.ships(spark, SF_SMALL))
+    one = ships.orderBy("nf").first()
+    base = {f: None for f in SPEC_FIELDS}
+    rows = [
+        {"NF": one.nf},
+        {"CNPJRaizTransp": one.cnpj_raiz_transp},
+        {"Transportadora": one.transportadora, "SituacaoNF": "ENTREGUE"},
+        {"Cliente": one.cliente},
+        {"DE": date(1996, 3, 1), "ATE": date(1996, 3, 10), "TipoData": "2"},
+        {"CidadeDestino": one.cidade_destino},
+        {"UFDestino": one.uf_destino, "SortColumn": "valor_nf", "SortDirection": "DESC"},
+        {"Operacao": "OutBound-RIO"},
+        {"StatusAnaliseData": "DO DIA"},
+        {"StatusAnaliseData": "DIA SEGUINTE", "UFDestino": "MG"},
+        {"SituacaoNF": "TRÂNSITO"},
+        {"StatusAnaliseData": "ATRASO"},
+        {"StatusAnaliseData": "ENTREGUE"},
+        {"DE": date(1995, 1, 1), "ATE": date(1997, 12, 31), "TipoData": "3"},
+        {"SortColumn": "data_emissao", "SortDirection": "ASC"},
+    ]
+    data = [(i, date(1997, 6, 15), 7, *[{**base, **r}[f] for f in SPEC_FIELDS], 200) for i, r in enumerate(rows)]
+    schema = ("request_id bigint, anchor date, user_id bigint, NF bigint, DE date, ATE date, TipoData string, "
+              "Cliente string, Transportadora string, UFDestino string, CidadeDestino string, Operacao string, "
+              "SituacaoNF string, StatusAnaliseData string, CNPJRaizTransp string, SortColumn string, "
+              "SortDirection string, status int")
+    specs = spark.createDataFrame(data, schema)
+    anchors = {r.anchor_field for r in prepare_specs(specs).select("anchor_field").collect()}
+    assert anchors == {"nf", "cnpj", "transp", "cliente", "day", "cidade", "uf", "operacao", "due", "situacao",
+                       "delivered", "month", "all"}
+    fast = match_requests(specs, ships).select("request_id", "nf")
+    slow = _brute_force(spark, specs, ships)
+    assert slow.count() > 0
+    assert fast.exceptAll(slow).count() == 0 and slow.exceptAll(fast).count() == 0
