@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +33,9 @@ def parse_requests(requests: DataFrame, dimension: DataFrame | None = None, keep
     df = normalize(df)
     df = extract(df)
     if dimension is not None:
+        # the link reads the extracted rows twice (n-grams, join-back):
+        # keep them on executor disk so the rule projection runs once
+        df = df.persist(StorageLevel.DISK_ONLY)
         df = link_entities(df, dimension)
     else:
         df = df.withColumns({"linked_cliente": F.lit(None).cast("string"),
