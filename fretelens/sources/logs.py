@@ -59,7 +59,7 @@ def render_log_lines(events: DataFrame) -> DataFrame:
 
 def read_log_files(spark, path: str) -> DataFrame:
     """(file, line_no, line) from rotated log files (each file is bounded)."""
-    files = spark.read.option("wholetext", "true").text(path).withColumn("file", F.input_file_name())
+    files = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
     x = files.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "line"))
     return x.where(F.col("line") != "")
 

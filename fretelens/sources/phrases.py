@@ -25,5 +25,5 @@ def phrase_lines(df: DataFrame, key: str, text: str) -> DataFrame:
 
 def read_phrase_files(spark: SparkSession, path: str) -> DataFrame:
     """(file, line_no, text) from UTF-8 corpus files (glob allowed)."""
-    files = spark.read.option("wholetext", "true").text(path).withColumn("file", F.input_file_name())
+    files = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
     return phrase_lines(files, "file", "value")
