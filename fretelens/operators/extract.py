@@ -98,6 +98,17 @@ TOWN = ci(LB + _alt(_TOWNS) + RB)
 CITY_EXPLICIT = ci(LB + r"cidade\s+d[eo]\s+" + _alt(list(_CITY_STATE)) + RB)
 UF_CODE = r"(?<![\p{L}\p{N}\-.#])(" + "|".join(D.STATES) + r")(?![\p{L}\p{N}\-])"
 
+# Cheap pre-checks on the folded text (plain ASCII, no case folding): a row
+# without any place name or domain word skips the accent-aware regexes.
+# (names whose folded form is a common word, "Pará" ~ "para", are checked
+# with their accent instead)
+_PLACES_FOLDED = sorted({fold_py(n) for n in [*D.STATE_NAMES, *_CITY_STATE, "cidade"]} - _COLLIDE, key=len,
+                        reverse=True)
+_COLLIDING = sorted({n.lower() for n in [*D.STATE_NAMES, *_CITY_STATE] if fold_py(n) in _COLLIDE})
+PLACE_HINT = "(?:" + "|".join(p.replace(" ", r"\s+") for p in _PLACES_FOLDED) + ")"
+DOMAIN_FOLDED = (r"(?<![a-z0-9])(?:" + "|".join(sorted({fold_py(w) for w in D.DOMAIN_WORDS}, key=len, reverse=True))
+                 + r")(?![a-z0-9])")
+
 
 def _lookup(pairs: dict, key: Column) -> Column:
     m = F.create_map(*[x for k, v in pairs.items() for x in (F.lit(fold_py(k)), F.lit(v))])
@@ -207,16 +218,23 @@ def extract(df: DataFrame, text: str = "enhanced_query", anchor: str = "anchor")
         "_t9": F.when(g_city, F.regexp_replace(t8, CITY_EXPLICIT, " ")).otherwise(t8),
     })
     t9 = F.col("_t9")
-    state_ufs = F.transform(F.regexp_extract_all(t9, F.lit(STATE_NAME), 1), lambda x: _lookup(_STATE_OF, x))
-    code_ufs = F.regexp_extract_all(t9, F.lit(UF_CODE), 1)
-    no_states = F.regexp_replace(t9, STATE_NAME, " ")
-    towns = F.transform(F.regexp_extract_all(no_states, F.lit(TOWN), 1), lambda x: _lookup({c: c for c in _TOWNS}, x))
+    low = F.lower(t0)
+    g_place = f0.rlike(PLACE_HINT)
+    for name in _COLLIDING:
+        g_place = g_place | low.contains(name)
+    none_s = F.array().cast("array<string>")
+    state_ufs = F.when(g_place, F.transform(F.regexp_extract_all(t9, F.lit(STATE_NAME), 1),
+                                            lambda x: _lookup(_STATE_OF, x))).otherwise(none_s)
+    code_ufs = F.when(t9.rlike("[A-Z]{2}"), F.regexp_extract_all(t9, F.lit(UF_CODE), 1)).otherwise(none_s)
+    no_states = F.when(g_place, F.regexp_replace(t9, STATE_NAME, " ")).otherwise(t9)
     city_x_uf = F.when(F.col("_city_x").isin(list(_STATE_OF)), _lookup(_STATE_OF, F.col("_city_x")))
-    df = df.withColumn("_t9b", no_states)
+    df = df.withColumns({"_t9b": no_states, "_g_place": g_place})
+    towns = F.when(F.col("_g_place"), F.transform(F.regexp_extract_all(F.col("_t9b"), F.lit(TOWN), 1),
+                                                  lambda x: _lookup({c: c for c in _TOWNS}, x))).otherwise(none_s)
     df = df.withColumns({
         "x_uf": _one(F.concat(state_ufs, code_ufs, F.array(city_x_uf))),
         "x_city": F.coalesce(F.col("_city_x"), _one(towns)),
-        "_t10": F.regexp_replace(F.col("_t9b"), TOWN, " "),
+        "_t10": F.when(F.col("_g_place"), F.regexp_replace(F.col("_t9b"), TOWN, " ")).otherwise(F.col("_t9b")),
     })
     t10 = F.col("_t10")
     g_per = g(*L.GUARDS["period"])
@@ -228,7 +246,7 @@ def extract(df: DataFrame, text: str = "enhanced_query", anchor: str = "anchor")
     })
     df = df.withColumns({
         "x_event": L.first_value(F.col("_t11"), L.LEXICON["event"], g(*L.GUARDS["event"])),
-        "x_domain": t0.rlike(ci(any_word(D.DOMAIN_WORDS))),
+        "x_domain": f0.rlike(DOMAIN_FOLDED),
     })
     return df.drop("_f0", "_t1", "_t2", "_t3", "_t4", "_tail", "_t5", "_t6", "_t7", "_t8", "_t9", "_t9b", "_t10",
-                   "_t11", "_city_x")
+                   "_t11", "_city_x", "_g_place")
