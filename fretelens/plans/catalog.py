@@ -198,6 +198,18 @@ def q_rule_scope(spark, sf):
     return p.select("request_id", scope.alias("in_scope"), "outcome")
 
 
+def q_rule_scope_conversations(spark, sf):
+    """E11 on real out-of-domain text: every user turn of ``conversations``
+    is parsed; none may yield a filter."""
+    conv = table(spark, sf, "conversations").where(F.col("role") == "user")
+    req = conv.select((F.col("conv_id") * 1000 + F.col("turn")).alias("request_id"),
+                      F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").alias("ts"),
+                      F.lit(0).cast("bigint").alias("user_id"), F.col("text").alias("query"))
+    p = parse_requests(req, dimension(spark, sf), partitions=parse_parallelism(spark))
+    filled = sum(F.col(f).isNotNull().cast("int") for f in FILTER_FIELDS)
+    return p.select("request_id", "outcome", filled.alias("n_filled"))
+
+
 def q_all_null(spark, sf):
     """every filter field NULL."""
     return parsed(spark, sf).select("request_id", all_null().alias("all_null"))
@@ -426,6 +438,7 @@ QUERIES = {
     "rule_time_priority": q_rule_time_priority,
     "rule_sort_pair": project("SortColumn", "SortDirection"),
     "rule_scope": q_rule_scope,
+    "rule_scope_conversations": q_rule_scope_conversations,
     "all_null": q_all_null,
     "classify_outcome": project("status", "outcome", "detail"),
     "trace_requests": q_trace_requests,

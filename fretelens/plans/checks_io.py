@@ -118,6 +118,9 @@ STREAM_VAGUE_RATE = (
     "HAVING date_trunc('hour', ts) + INTERVAL 2 HOUR <= (SELECT max(ts) FROM events)")
 
 ORACLE_IO = {
+    "rule_scope_conversations": (
+        "SELECT conv_id * 1000 + turn AS request_id, CASE WHEN trim(text) = '' THEN 'empty' ELSE 'vague' END "
+        "AS outcome, 0 AS n_filled FROM conversations WHERE role = 'user'"),
     "stream_vague_rate": STREAM_VAGUE_RATE,
     "phrase_scan": PHRASE_SCAN,
     "log_scan": LOG_SCAN,
