@@ -96,11 +96,12 @@ def with_outputs(select_sql: str) -> str:
 def _accuracy() -> str:
     rows = [
         f"SELECT '{f}' AS field, count({f}) AS n_expected, count({f}) AS n_predicted, count({f}) AS n_correct, "
-        f"count(*) AS n_agree, CASE WHEN count({f}) = 0 THEN NULL ELSE 1.0 END AS precision, "
-        f"CASE WHEN count({f}) = 0 THEN NULL ELSE 1.0 END AS recall FROM truth"
+        f"count(*) AS n_agree, CASE WHEN count({f}) = 0 THEN NULL ELSE CAST(1 AS DOUBLE) END AS precision, "
+        f"CASE WHEN count({f}) = 0 THEN NULL ELSE CAST(1 AS DOUBLE) END AS recall FROM truth"
         for f in FILTER_FIELDS
     ]
-    rows.append("SELECT '__record__', count(*), count(*), count(*), count(*), 1.0, 1.0 FROM truth")
+    rows.append("SELECT '__record__', count(*), count(*), count(*), count(*), CAST(1 AS DOUBLE), CAST(1 AS DOUBLE) "
+                "FROM truth")
     return with_truth(" UNION ALL ".join(rows))
 
 
