@@ -31,7 +31,7 @@ LOG_SCAN = (
     f"'Erro no endpoint /parse-query para a query: ' || {_QUOTED}{_NL}'Traceback (most recent call last):'"
     f"{_NL}'  File \"app/main.py\", line 168, in parse_query'{_NL}'TimeoutError: model call timed out' "
     "FROM events WHERE event_type = 'error'), "
-    "r AS (SELECT 'nt_ai_service.log.' || CAST(event_id // 2000 AS VARCHAR) AS file, line_no, ts, level, message "
+    "r AS (SELECT 'service.log.' || CAST(event_id // 2000 AS VARCHAR) AS file, line_no, ts, level, message "
     "FROM h) "
     "SELECT file, row_number() OVER (PARTITION BY file ORDER BY line_no) AS record_no, "
     "strftime(ts, '%Y-%m-%d %H:%M:%S.%g') AS ts, 'app.main' AS logger, level, message FROM r"

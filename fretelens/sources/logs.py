@@ -50,7 +50,7 @@ def render_log_lines(events: DataFrame) -> DataFrame:
     )
     x = e.select("event_id", F.explode(F.filter(lines, lambda s: s.isNotNull())).alias("l"))
     return x.select(
-        F.concat(F.lit("nt_ai_service.log."), (F.col("event_id") / EVENTS_PER_FILE).cast("bigint").cast("string"))
+        F.concat(F.lit("service.log."), (F.col("event_id") / EVENTS_PER_FILE).cast("bigint").cast("string"))
          .alias("file"),
         (F.col("event_id") * LINES_PER_EVENT + F.col("l.k")).alias("line_no"),
         F.col("l.line").alias("line"),

@@ -54,7 +54,7 @@ def test_phrase_files(spark):
 def test_log_files_fold_tracebacks(spark):
     from fretelens.sources.logs import parse_log_records, read_log_files
     d = _folder(spark, "log")
-    with open(os.path.join(d, "nt_ai_service.log"), "w", encoding="utf-8") as f:
+    with open(os.path.join(d, "service.log"), "w", encoding="utf-8") as f:
         f.write("2025-10-22 10:00:00,123 - app.main - INFO - Recebida nova requisição\n"
                 "2025-10-22 10:00:01,000 - app.main - ERROR - Erro no endpoint\n"
                 "Traceback (most recent call last):\n"
