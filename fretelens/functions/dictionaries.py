@@ -150,6 +150,13 @@ DETAIL_EMPTY = "A 'query' não pode ser vazia."
 DETAIL_VAGUE = ("A consulta fornecida é muito vaga, irrelevante ou não pôde ser "
                 "interpretada. Por favor, seja mais específico.")
 
+# Service log: line format and the messages the monitoring reads.
+LOG_LINE_FORMAT = "%(asctime)s - %(name)s - %(levelname)s - %(message)s"
+LOG_MSG_RECEIVED = "Recebida nova requisição em /parse-query para a query: "
+LOG_MSG_VAGUE = "Consulta vaga/irrelevante detectada para query: "
+LOG_MSG_VAGUE_TAIL = ". Retornando erro 400."
+LOG_MSG_ERROR = "Erro no endpoint /parse-query para a query: "
+
 # ---------------------------------------------------------------------------
 # OURS (not defined by the filter language)
 # ---------------------------------------------------------------------------

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.dictionaries import FILTER_FIELDS
+from ..functions.dictionaries import FILTER_FIELDS, LOG_MSG_RECEIVED
 
 
 def field_accuracy(predicted: DataFrame, expected: DataFrame, key: str = "request_id") -> DataFrame:
@@ -49,7 +49,7 @@ def field_coverage(parsed: DataFrame) -> DataFrame:
 def vague_rate(records: DataFrame, every: str = "1 hour") -> DataFrame:
     """H3: requests, vague (400) and failed (500) answers per time window,
     read from service-log records."""
-    is_request = (F.col("level") == "INFO") & F.col("message").startswith("Recebida")
+    is_request = (F.col("level") == "INFO") & F.col("message").startswith(LOG_MSG_RECEIVED)
     w = records.groupBy(F.window("ts", every).alias("w")).agg(
         F.count_if(is_request).alias("n_requests"),
         F.count_if(F.col("level") == "WARNING").alias("n_vague"),

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from ..functions.dictionaries import FILTER_FIELDS, OPERATIONS
+from ..functions.dictionaries import (FILTER_FIELDS, LOG_MSG_ERROR, LOG_MSG_RECEIVED, LOG_MSG_VAGUE,
+                                      LOG_MSG_VAGUE_TAIL, OPERATIONS)
 from .oracle import q, with_shipments, with_truth
 
 # ---- A1 phrase scan --------------------------------------------------------
@@ -23,12 +24,12 @@ _NL = " || chr(10) || "
 LOG_SCAN = (
     "WITH h AS ("
     "SELECT event_id * 5 AS line_no, event_id, ts, 'INFO' AS level, "
-    f"'Recebida nova requisição em /parse-query para a query: ' || {_QUOTED} || '...' AS message FROM events "
+    f"{q(LOG_MSG_RECEIVED)} || {_QUOTED} || '...' AS message FROM events "
     "UNION ALL SELECT event_id * 5 + 1, event_id, ts, 'WARNING', "
-    f"'Consulta vaga/irrelevante detectada para query: ' || {_QUOTED} || '. Retornando erro 400.' FROM events "
+    f"{q(LOG_MSG_VAGUE)} || {_QUOTED} || {q(LOG_MSG_VAGUE_TAIL)} FROM events "
     "WHERE event_type = 'signup' "
     "UNION ALL SELECT event_id * 5 + 1, event_id, ts, 'ERROR', "
-    f"'Erro no endpoint /parse-query para a query: ' || {_QUOTED}{_NL}'Traceback (most recent call last):'"
+    f"{q(LOG_MSG_ERROR)} || {_QUOTED}{_NL}'Traceback (most recent call last):'"
     f"{_NL}'  File \"app/main.py\", line 168, in parse_query'{_NL}'TimeoutError: model call timed out' "
     "FROM events WHERE event_type = 'error'), "
     "r AS (SELECT 'service.log.' || CAST(event_id // 2000 AS VARCHAR) AS file, line_no, ts, level, message "

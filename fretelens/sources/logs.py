@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import dictionaries as D
+
 EVENTS_PER_FILE = 2000
 LINES_PER_EVENT = 5
 HEADER = r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2},\d{3}) - (\S+) - (DEBUG|INFO|WARNING|ERROR|CRITICAL) - (.*)$"
@@ -33,14 +35,13 @@ def render_log_lines(events: DataFrame) -> DataFrame:
     q = F.concat(F.lit("'evento "), F.col("event_id").cast("string"), F.lit("'"))
     head = F.concat(stamp, F.lit(" - app.main - "))
     lines = F.array(
-        F.struct(F.lit(0).alias("k"), F.concat(head, F.lit("INFO - Recebida nova requisição em /parse-query "
-                                                          "para a query: "), q, F.lit("...")).alias("line")),
+        F.struct(F.lit(0).alias("k"), F.concat(head, F.lit("INFO - " + D.LOG_MSG_RECEIVED), q, F.lit("..."))
+                 .alias("line")),
         F.when(F.col("event_type") == "signup", F.struct(
-            F.lit(1).alias("k"), F.concat(head, F.lit("WARNING - Consulta vaga/irrelevante detectada para query: "),
-                                          q, F.lit(". Retornando erro 400.")).alias("line"))),
+            F.lit(1).alias("k"), F.concat(head, F.lit("WARNING - " + D.LOG_MSG_VAGUE), q,
+                                          F.lit(D.LOG_MSG_VAGUE_TAIL)).alias("line"))),
         F.when(F.col("event_type") == "error", F.struct(
-            F.lit(1).alias("k"), F.concat(head, F.lit("ERROR - Erro no endpoint /parse-query para a query: "),
-                                          q).alias("line"))),
+            F.lit(1).alias("k"), F.concat(head, F.lit("ERROR - " + D.LOG_MSG_ERROR), q).alias("line"))),
         F.when(F.col("event_type") == "error", F.struct(F.lit(2).alias("k"),
                                                          F.lit("Traceback (most recent call last):").alias("line"))),
         F.when(F.col("event_type") == "error", F.struct(
