@@ -99,3 +99,15 @@ def test_every_anchor_branch_equals_brute_force(spark):
     slow = _brute_force(spark, specs, ships)
     assert slow.count() > 0
     assert fast.exceptAll(slow).count() == 0 and slow.exceptAll(fast).count() == 0
+
+
+def test_scans_are_column_pruned(spark):
+    import re
+    plan = C.parsed(spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    schemas = re.findall(r"ReadSchema: struct<([^>]*)>", plan)
+    orders = [s for s in schemas if "o_orderkey" in s]
+    lineitem = [s for s in schemas if "l_orderkey" in s]
+    assert orders and all(set(x.split(":")[0] for x in s.split(",")) <= {"o_orderkey", "o_custkey", "o_orderdate"}
+                          for s in orders)
+    assert lineitem and all(set(x.split(":")[0] for x in s.split(",")) <= {"l_orderkey", "l_suppkey"}
+                            for s in lineitem)
