@@ -1,8 +1,9 @@
 """Entity linking (D3, D4): names after "cliente"/"transportadora" joined to
 the customer and carrier dimensions.
 
-The words after the keyword are cut into leading n-grams (1..all words of the
-clause), folded, and equi-joined to folded dimension names; the longest hit
+The words after the keyword are cut into leading n-grams (1..the word count
+of the longest dimension name, an exact bound), folded, and equi-joined to
+folded dimension names; the longest hit
 per request and kind wins ("Acme do Brasil" over "Acme").  Only requests
 that carry a keyword produce n-gram rows, and those rows are narrow.  The
 dimension grows with the data, so the join is left to the planner: AQE turns
@@ -35,8 +36,16 @@ def entity_dimension(customer: DataFrame, supplier: DataFrame) -> DataFrame:
              .groupBy("kind", "name_key").agg(F.min("name").alias("name")))
 
 
-def candidate_grams(parsed: DataFrame, key: str = "request_id") -> DataFrame:
-    """(key, kind, n, gram_key) for every leading n-gram after a keyword."""
+def longest_name(dimension: DataFrame) -> int:
+    """Words in the longest dimension name (one scalar): a longer n-gram can
+    never match, so n-grams stop there - an exact bound, not a cap."""
+    n = dimension.agg(F.max(F.size(F.split("name_key", " "))).alias("n")).first()["n"]
+    return int(n or 1)
+
+
+def candidate_grams(parsed: DataFrame, key: str = "request_id", max_words: int | None = None) -> DataFrame:
+    """(key, kind, n, gram_key) for every leading n-gram after a keyword
+    (up to ``max_words`` words when given)."""
     spans = parsed.select(
         key,
         F.explode(F.array(
@@ -44,10 +53,11 @@ def candidate_grams(parsed: DataFrame, key: str = "request_id") -> DataFrame:
             F.struct(F.lit("transportadora").alias("kind"), F.col("x_tr_tokens").alias("tokens")),
         )).alias("s"),
     ).select(key, "s.kind", "s.tokens").where(F.size("tokens") > 0)
+    upto = F.size("tokens") if max_words is None else F.least(F.size("tokens"), F.lit(max_words))
     grams = spans.select(
         key, "kind",
         F.explode(F.transform(
-            F.sequence(F.lit(1), F.size("tokens")),
+            F.sequence(F.lit(1), upto),
             lambda n: F.struct(n.alias("n"), name_key(F.array_join(F.slice("tokens", 1, n), " ")).alias("gram_key")),
         )).alias("g"),
     )
@@ -57,7 +67,7 @@ def candidate_grams(parsed: DataFrame, key: str = "request_id") -> DataFrame:
 def best_links(spans: DataFrame, dimension: DataFrame, key: str = "request_id") -> DataFrame:
     """(key, linked_cliente, linked_transportadora) for rows whose n-grams hit
     the dimension; ``spans`` holds ``x_cli_tokens`` / ``x_tr_tokens``."""
-    grams = candidate_grams(spans, key)
+    grams = candidate_grams(spans, key, longest_name(dimension))
     hits = grams.join(dimension, (grams.kind == dimension.kind) & (grams.gram_key == dimension.name_key))
     return hits.groupBy(key).agg(*[
         F.max_by(F.when(grams.kind == k, F.col("name")), F.when(grams.kind == k, F.col("n"))).alias(f"linked_{k}")
