@@ -137,4 +137,8 @@ EDGE = [
     ("notas com operação OutBound-BAR-MAT.PRIMA", {"Operacao": "OutBound-BAR-MAT.PRIMA"}),
     ("o que foi entregue de 31/02/2025 até 10/03/2025", {}),
     ("nf nf 123", {"NF": 123}),
+    ("notas rodando ordenadas por cliente", {"SituacaoNF": "TRÂNSITO"}),
+    ("notas com operação OutBound-SPO para SP", {"Operacao": "OutBound-SPO", "UFDestino": "SP"}),
+    ("notas do tomador Acme", {"Cliente": "Acme"}),
+    ("notas em trânsito que não sejam do estado de Minas Gerais", {"SituacaoNF": "TRÂNSITO"}),
 ]
