@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from fretelens.llm.ann_hilbert import op1_hilbert_ann
 from fretelens.llm.mix_sources import op3_mix_sources
+from fretelens.llm.pack_best_fit import op8_best_fit_packing
 from fretelens.llm.topk_norms import OP10_SQL, op10_norm_topk
 
 QUERIES = {
     "op1_hilbert_ann": op1_hilbert_ann,
     "op3_mix_sources": op3_mix_sources,
+    "op8_best_fit_packing": op8_best_fit_packing,
     "op10_norm_topk": op10_norm_topk,
 }
 ORACLE = {
