@@ -5,6 +5,7 @@ from __future__ import annotations
 from fretelens.llm.ann_hilbert import op1_hilbert_ann
 from fretelens.llm.html_region import op4_html_region
 from fretelens.llm.lang_kernel import op6_language_kernel
+from fretelens.llm.lm_automaton import op7_backoff_automaton
 from fretelens.llm.mix_sources import op3_mix_sources
 from fretelens.llm.pack_best_fit import op8_best_fit_packing
 from fretelens.llm.topk_norms import OP10_SQL, op10_norm_topk
@@ -14,6 +15,7 @@ QUERIES = {
     "op3_mix_sources": op3_mix_sources,
     "op4_html_region": op4_html_region,
     "op6_language_kernel": op6_language_kernel,
+    "op7_backoff_automaton": op7_backoff_automaton,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op10_norm_topk": op10_norm_topk,
 }
