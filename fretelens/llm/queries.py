@@ -8,6 +8,7 @@ from fretelens.llm.lang_kernel import op6_language_kernel
 from fretelens.llm.lm_automaton import op7_backoff_automaton
 from fretelens.llm.mix_sources import op3_mix_sources
 from fretelens.llm.pack_best_fit import op8_best_fit_packing
+from fretelens.llm.suffix_dedup import op9_suffix_dedup
 from fretelens.llm.topk_norms import OP10_SQL, op10_norm_topk
 
 QUERIES = {
@@ -17,6 +18,7 @@ QUERIES = {
     "op6_language_kernel": op6_language_kernel,
     "op7_backoff_automaton": op7_backoff_automaton,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_norm_topk": op10_norm_topk,
 }
 ORACLE = {
