@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from fretelens.llm.ann_hilbert import op1_hilbert_ann
 from fretelens.llm.html_region import op4_html_region
+from fretelens.llm.jaccard_join import op2_jaccard_join
 from fretelens.llm.lang_kernel import op6_language_kernel
+from fretelens.llm.line_dedup import op5_line_minhash
 from fretelens.llm.lm_automaton import op7_backoff_automaton
 from fretelens.llm.mix_sources import op3_mix_sources
 from fretelens.llm.pack_best_fit import op8_best_fit_packing
@@ -13,8 +15,10 @@ from fretelens.llm.topk_norms import OP10_SQL, op10_norm_topk
 
 QUERIES = {
     "op1_hilbert_ann": op1_hilbert_ann,
+    "op2_jaccard_join": op2_jaccard_join,
     "op3_mix_sources": op3_mix_sources,
     "op4_html_region": op4_html_region,
+    "op5_line_minhash": op5_line_minhash,
     "op6_language_kernel": op6_language_kernel,
     "op7_backoff_automaton": op7_backoff_automaton,
     "op8_best_fit_packing": op8_best_fit_packing,
