@@ -28,7 +28,7 @@ from fretelens.llm.suffix_dedup import planes, unplanes
 #: Link if 100 * intersection >= PERCENT * union; words of a shingle.
 PERCENT, WIDTH = 80, 5
 #: Bytes of text of a unit and of a count bucket; documents that one task joins; pivots and rounds of a division.
-UNIT, BUCKET, BLOCK, PIVOTS, ROUNDS = 24 << 20, 16 << 20, 256, 16, 4
+UNIT, BUCKET, BLOCK, PIVOTS, ROUNDS = 8 << 20, 16 << 20, 256, 16, 4
 _KEY_BITS = 40
 
 

@@ -27,7 +27,7 @@ from fretelens.llm.common import _MULT, materialize, mix, table, text_steps, wor
 from fretelens.llm.lang_kernel import held_out
 
 #: Bytes of text of a unit and of a count bucket; weight of the root under every state.
-UNIT, BUCKET, MU = 24 << 20, 16 << 20, 500.0
+UNIT, BUCKET, MU = 8 << 20, 16 << 20, 500.0
 _END = np.uint64(0x5BD1E995A4B3C2D1)
 _WORD, _PAIR = 0, 1
 _PAIR_BYTES = 6
