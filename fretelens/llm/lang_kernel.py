@@ -82,12 +82,14 @@ def fit(texts: list[str], languages: list[str], seed: int = 6) -> Model:
 def training_sample(docs: DataFrame, usable: Column, per_language: int = PER_LANGUAGE, id_col: str = "doc_id") -> pd.DataFrame:
     """At most ``per_language`` usable texts of every language, by the smallest hashes of their ids."""
     rows = docs.where(usable & F.col("lang").isNotNull() & F.coalesce(F.rlike("text", F.lit(r"\p{L}")), F.lit(False)))
-    rows = rows.select("lang", "text", F.xxhash64(F.lit(6), id_col).alias("h"))
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    rows = rows.withColumns({"_h": F.xxhash64(F.lit(6), id_col), "_t": F.xxhash64("text")})
+    narrow = rows.select("lang", "_h", "_t")
+    counts = narrow.groupBy("lang").agg(F.count("*").alias("n"))
     # a hash threshold first, so that the ranking sees about twice the sample and no whole language
-    near = rows.join(counts, "lang").where(F.col("h") <= F.lit(-(2.0**63)) + F.lit(2.0**64) * F.least(F.lit(1.0), F.lit(2.0 * per_language + 20) / F.col("n")))
-    best = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
-    return near.withColumn("r", best).where(F.col("r") <= per_language).orderBy("lang", "r").select("lang", "text").toPandas()
+    near = narrow.join(counts, "lang").where(F.col("_h") <= F.lit(-(2.0**63)) + F.lit(2.0**64) * F.least(F.lit(1.0), F.lit(2.0 * per_language + 20) / F.col("n")))
+    best = F.row_number().over(Window.partitionBy("lang").orderBy("_h", "_t"))
+    picked = near.withColumn("r", best).where(F.col("r") <= per_language).groupBy("lang", "_h", "_t").agg(F.min("r").alias("r"))
+    return rows.join(picked, ["lang", "_h", "_t"]).groupBy("lang", "r").agg(F.min("text").alias("text")).orderBy("lang", "r").select("lang", "text").toPandas()
 
 
 def predict(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:

@@ -24,14 +24,10 @@ RUN, BINS = 4096, 1024
 _PRIMES = (2915696333923769447, 3157959166272196927, 3717807861252345293, 3955185134989381889, 3978157896551575967, 4219262503184953739)
 
 
-def sized(docs: DataFrame, keep: bool = False) -> DataFrame:
-    """Documents with ``size`` (words) and a place ``at`` in the order of source, doc_id and text.
-
-    With ``keep``, the whole row travels along as the struct ``doc``.
-    """
-    more = [F.struct(*(docs[c] for c in docs.columns)).alias("doc")] if keep else []
-    d = docs.select("doc_id", "source", *more, F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64("text").alias("h"))
-    return with_position(d, F.asc_nulls_last("source"), F.asc_nulls_last("doc_id"), "h", "size", name="at").drop("h")
+def sized(docs: DataFrame) -> DataFrame:
+    """Documents with ``size`` (words), a hash ``h`` of the text and a place ``at`` in the order of source, doc_id and text."""
+    d = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64("text").alias("h"))
+    return with_position(d, F.asc_nulls_last("source"), F.asc_nulls_last("doc_id"), "h", "size", name="at")
 
 
 def _running(df: DataFrame, value: str, order: str, by: list[str], name: str) -> DataFrame:
@@ -121,9 +117,9 @@ def segments(sizes: DataFrame, sources: DataFrame, block: int = BLOCK) -> DataFr
     return d.select("at", "source_no", "block", (lo - F.col("off")).alias("start"), (hi - lo).alias("n"))
 
 
-def plan(docs: DataFrame, block: int = BLOCK, keep: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+def plan(docs: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents with size and place, sources with targets, slots of the mix)."""
-    sizes = materialize(_running(sized(docs, keep), "size", "at", [], "before"))
+    sizes = materialize(_running(sized(docs), "size", "at", [], "before"))
     sources = materialize(source_targets(sizes, block=block))
     return sizes, sources, mixed_slots(sources)
 
@@ -147,22 +143,33 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """The mix itself, in the columns of ``docs``: one row per document and pass with the words taken, in order.
 
     A document taken whole keeps its text as it is; of others the taken words
-    are joined by single spaces.  n_chars, if there, follows the text.
+    are joined by single spaces.  n_chars, if there, follows the text.  Texts
+    stay where they are until what is taken of them is known; of rows that
+    share doc_id and text, any one lends its other columns to each.
     """
-    sizes, sources, slots = plan(docs, block, keep=True)
+    sizes, sources, slots = plan(docs, block)
     parts = segments(sizes, sources, block).join(slots.select("source_no", "block", "pass"), ["source_no", "block"])
     parts = parts.groupBy("at", "pass").agg(F.sort_array(F.collect_list(F.struct("start", "n"))).alias("parts"), F.sum("n").alias("got"))
-    whole = sizes.select("at", "size", "doc").join(parts, "at")
+    taken = sizes.select("at", F.col("doc_id").alias("_d"), F.col("h").alias("_h"), "size").join(parts, "at")
+    whole = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("doc"))
+    whole = whole.join(taken, F.col("doc.doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("doc.text") == F.col("_h")))
+    if not sizes.groupBy("doc_id", "h").count().where("count > 1").isEmpty():
+        whole = whole.dropDuplicates(["at", "pass"])
     found = F.regexp_extract_all("doc.text", F.lit(WORD), F.lit(0))
     cut = F.array_join(F.flatten(F.transform("parts", lambda p: F.slice("_words", p["start"].cast("int") + 1, p["n"].cast("int")))), " ")
-    whole = whole.withColumn("_words", F.when(F.col("got") < F.col("size"), found)).withColumn("_text", F.when(F.col("got") < F.col("size"), cut).otherwise(F.col("doc.text")))
-    as_they_are = {c: F.col("doc").getField(c) for c in docs.columns}
-    as_they_are["text"] = F.col("_text")
+    part = F.col("got") < F.col("size")
+    whole = whole.withColumn("_words", F.when(part, found)).withColumn("_text", F.when(part, cut).otherwise(F.col("doc.text")))
+    as_they_are = {c: F.col("doc").getField(c) for c in docs.columns} | {"text": F.col("_text")}
     if "n_chars" in as_they_are:
         as_they_are["n_chars"] = F.length("_text").cast(docs.schema["n_chars"].dataType)
     return whole.select(*(v.alias(c) for c, v in as_they_are.items()))
 
 
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: the mix of the documents."""
+    return mixed_documents(docs)
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All `documents` mixed to 150 % of their words at source weights 3, 1, 2."""
     return mix_sources(table(spark, sf_dir, "documents"))

@@ -238,3 +238,8 @@ def pack(docs: DataFrame, path: str | None = None, ranks: str | None = None, siz
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All `documents` packed into sequences of at most 2,048 tokens."""
     return pack(table(spark, sf_dir, "documents"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: the documents as packed pieces, with their ids."""
+    return pack(docs, with_ids=True)
