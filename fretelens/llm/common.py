@@ -198,4 +198,5 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         before = now
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
-    return cur.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node")
+    found = cur.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node")
+    return found.unionByName(found.select(F.col("component").alias("node"), "component").distinct())

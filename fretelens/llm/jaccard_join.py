@@ -219,7 +219,7 @@ def joined_tasks(regions: DataFrame, sets: DataFrame, percent: int = PERCENT, bl
             chosen = large.withColumn("r", near).where(F.col("r") <= pivots).select("region", "members", "print").join(sets, "print")
             parts = F.expr(f"cast(ceil(members / {block}) as int)")
             dealt = large.withColumn("salt", F.pmod(F.xxhash64("print"), parts)).join(sets.select("print", "n", "shared"), "print")
-            chosen = chosen.withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1))).select(F.col("region").alias("at_region"), F.col("salt").cast("long").alias("at_salt"), "print", "n", "shared")
+            chosen = chosen.withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1))).select("region", F.col("salt").cast("long"), "print", "n", "shared").toDF("at_region", "at_salt", "print", "n", "shared")
             divided = materialize(dealt.select("region", F.col("salt").cast("long").alias("salt"), "print", "n", "shared").groupBy("region", "salt").cogroup(
                 chosen.groupBy("at_region", "at_salt")).applyInArrow(lambda a, b: _divide(a, b, percent), "region long, print long"))
             if divided.count() <= 2 * large.count():
