@@ -42,7 +42,7 @@ def test_query_matches_oracle(spark, con, key):
 
 def test_every_query_has_oracle_or_is_declared():
     rows_only = {"generate_stub", "latency_quantiles"}
-    missing = set(E.queries()) - set(E.oracle_sql()) - rows_only
+    missing = set(E.QUERIES) - set(E.oracle_sql()) - rows_only
     assert not missing
 
 
