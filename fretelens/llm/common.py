@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import uuid
 from collections.abc import Iterator
 
@@ -13,9 +12,10 @@ from pyspark.sql import functions as F
 
 from fretelens.session import checkpoint_dir
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that one vectorised step works on (a longer text makes its own step).
-STEP_BYTES = 2 << 20
+STEP_BYTES = 512 << 10
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0xD6E8FEB86659FD93
@@ -33,13 +33,26 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    # what the finished job shuffled is freed once the driver's JVM sees that nothing refers to it
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    # nothing else uses what this job shuffles, so its files go when it ends
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def perhaps_in(df: DataFrame, key: str, need: DataFrame, bits: int = 20) -> DataFrame:
+    """Rows of ``df`` whose key may be in ``need`` (none that is gets lost), before an exact join.
+
+    What is broadcast is a set of at most 2**bits hash slots, whatever the
+    data; once ``need`` fills them all, the join after it does all the work.
+    """
+    slot = F.pmod(F.xxhash64(key), F.lit(1 << bits)).alias("_slot")
+    return df.select("*", slot).join(F.broadcast(need.select(slot).distinct()), "_slot", "left_semi").drop("_slot")
+
+
 def partitions_for(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
