@@ -17,11 +17,18 @@ from ..functions import dictionaries as D
 from ..functions.calendar import calendar_bounds
 from ..functions.text import LB, RB, any_word, ci, fold, fold_py, loose, squash
 from . import lexicon as L
-from .periods import explicit_range, mask_periods, named_period
+from .periods import ISO_DATE, explicit_range, invalid_range, mask_periods, named_period
 
-# --- E7: negation scope = negation word up to the next clause boundary ----
+# --- E7: a negation word governs the next phrase only: its linking words, one
+# word, and what follows up to a clause boundary or the start of another filter
 _NEG = "|".join(loose(w) for w in sorted(D.NEGATION_WORDS, key=len, reverse=True))
-NEGATION_SCOPE = ci(LB + "(?:" + _NEG + r")" + RB + r"[^,;.!?]*?(?=\s+(?:e|mas|ordenad\w*)\s|[,;.!?]|$)")
+_LINKING = ("(?:" + "|".join(loose(w) for w in (
+    "para", "as", "os", "a", "o", "estado", "cidade", "de", "do", "da", "dos", "das", "em", "no", "na", "com", "que", "sejam", "seja",
+    "estejam", "esteja", "estão", "está", "são", "foram", "foi", "for", "cliente", "tomador", "transportadora", "parceiro", "status",
+    "situação", "logística", "análise", "operação")) + ")" + RB)
+_NEXT_FILTER = (r"(?:e|mas|ordenad\w*|emitid[ao]s?|entregues?|baixad[ao]s?|previst[ao]s?|agendad[ao]s?|retid[ao]s?|bloquead[ao]s?|com|para|que|cuj[ao]|"
+                r"(?:d|n|pel)[ao]s?\s+(?:cliente|tomador|transportadora|parceiro|estado|cidade|opera[cç][aã]o|nota)|em\s+tr[aâ]nsito)" + RB)
+NEGATION_SCOPE = ci(LB + "(?:" + _NEG + r")" + RB + r"(?:\s+" + _LINKING + r")*(?:\s+[^\s,;!?]+(?:\s+(?!" + _NEXT_FILTER + r")[^\s,;!?]+)*)?")
 
 # --- D7: operation codes, longest first, never split ----------------------
 _OPS = sorted(D.OPERATIONS, key=len, reverse=True)
@@ -31,10 +38,12 @@ OPERATION = ci(r"(?<![\p{L}\p{N}\-.])(" + "|".join(o.replace(".", r"\.").replace
 # --- D10 / D1 -------------------------------------------------------------
 CNPJ_ROOT = ci(LB + r"(?:cnpj(?:\s+raiz)?|raiz\s+do\s+cnpj)(?:\s+d[ao]\s+(?:transportadora|parceiro))?"
                r"\s*(?:[:=]|[eé])?\s*(\d{8})" + RB)
-NF_NUMBER = ci(LB + r"(?:notas?\s+fisca(?:l|is)|nota)\s*(?:n[º°o]\.?\s*|n[uú]mero\s+|#\s*)?(\d{1,18})" + RB)
+NF_NUMBER = ci(LB + r"(?:notas?\s+fisca(?:l|is)|nota)\s*(?:n[º°o]\.?\s*|n[uú]mero\s+|#\s*)?(\d+)" + RB)
 
-# --- D11: sort clause = from the sort verb to the end ---------------------
+# --- D11: sort clause = from the sort verb to the end, or a phrase that needs no verb
 SORT_TAIL = ci(LB + r"(?:orden\w*|ordem|classific\w*)" + RB + ".*$")
+SORT_PHRASE = ci(LB + r"(?:(?:com\s+)?(?:o\s+)?(?:maior|menor)(?:es)?\s+valor(?:es)?|mais\s+(?:car|barat)[ao]s?|"
+                 r"(?:d[ao]\s+)?(?:data\s+de\s+)?(?:entrega|emiss[aã]o)\s+mais\s+(?:recentes?|antig[ao]s?)|mais\s+nov[ao]s)" + RB)
 _SORT_COLUMN = [
     (ci(LB + r"(?:data\s+de\s+entrega|entrega\s+mais\s+(?:recentes?|antig[ao]s?))" + RB), "data_entrega"),
     (ci(LB + r"(?:data\s+de\s+emiss[aã]o|emiss[aã]o\s+mais\s+(?:recentes?|antig[ao]s?)|mais\s+nov[ao]s?)" + RB),
@@ -59,11 +68,22 @@ NAME_AFTER = r"(?u)^(" + _NAME + ")"
 ENTITY_SPAN = r"(?u)(?<![\p{L}\p{N}])(?:" + CLIENT_KW + "|" + CARRIER_KW + r")\s+" + _NAME
 
 
+#: Stands for a linked name in the text that the other fields are read from.
+LINKED = "§"
+
+
 def _after(text: Column, kw: str) -> Column:
     return F.regexp_extract(text, r"(?u)(?<![\p{L}\p{N}])" + kw + r"\s+([^,;!?]*)", 1)
 
 
-def _raw_name(after: Column) -> Column:
+def _raw_name(text: Column, kw: str, after: Column) -> Column:
+    """The name after the keyword; NULL if the keyword names two different ones."""
+    words = F.regexp_extract_all(text, F.lit(r"(?u)(?<![\p{L}\p{N}])" + kw + r"\s+(" + _NAME + ")"), 1)
+    several = F.size(F.array_distinct(F.transform(words, fold))) > 1
+    return F.when(~several, _first_name(after))
+
+
+def _first_name(after: Column) -> Column:
     name = F.regexp_replace(F.regexp_extract(after, NAME_AFTER, 1), r"[.'\"]+$", "")
     return F.when(name != "", name)
 
@@ -96,6 +116,9 @@ STATE_NAME = ci(LB + _alt(D.STATE_NAMES) + RB)
 _TOWNS = [c for c in _CITY_STATE if c not in _STATE_OF]
 TOWN = ci(LB + _alt(_TOWNS) + RB)
 CITY_EXPLICIT = ci(LB + r"cidade\s+d[eo]\s+" + _alt(list(_CITY_STATE)) + RB)
+_WITH_CODE = r"(?:(?:para|em|uf|estado(?:\s+d[eoa])?)\s+(?:o\s+|a\s+)?(?:estado\s+(?:d[eoa]\s+)?)?)"
+# in lower case only after a word that asks for a place ("se", a common word, only after "uf" or "estado")
+UF_LOWER = ci(LB + "(?:" + _WITH_CODE + "(" + "|".join(s.lower() for s in D.STATES if s != "SE") + r")|(?:uf|estado(?:\s+d[eo])?)\s+(se))(?![\p{L}\p{N}\-])")
 UF_CODE = r"(?<![\p{L}\p{N}\-.#])(" + "|".join(D.STATES) + r")(?![\p{L}\p{N}\-])"
 
 # Cheap pre-checks on the folded text (plain ASCII, no case folding): a row
@@ -132,6 +155,7 @@ def name_spans(text: Column) -> dict[str, Column]:
     t = F.when(L.guard(f, ["nao", "exceto", "menos"]), mask_negation(text)).otherwise(text)
     t = F.when(f.contains("cnpj"), F.regexp_replace(t, CNPJ_ROOT, " ")).otherwise(t)
     none = F.array().cast("array<string>")
+    t = F.regexp_replace(t, OPERATION, " ")
     return {
         "x_cli_tokens": F.when(L.guard(f, ["cliente", "tomador"]), _tokens(_after(t, CLIENT_KW))).otherwise(none),
         "x_tr_tokens": F.when(L.guard(f, ["transportadora", "parceiro"]), _tokens(_after(t, CARRIER_KW)))
@@ -145,9 +169,15 @@ def extract(df: DataFrame, text: str = "enhanced_query", anchor: str = "anchor")
     Every regex group runs only on rows whose folded text holds one of the
     literals it needs (``L.guard``: plain substring tests); later texts only
     lose words, so guards on the first text stay valid all the way down."""
-    t0 = F.coalesce(F.col(text), F.lit(""))
+    t0 = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), ISO_DATE, "$3/$2/$1")
+    for kind in ("cliente", "transportadora"):
+        if f"name_{kind}" in df.columns:  # a linked name's own words say nothing else
+            name = F.col(f"name_{kind}")
+            t0 = F.when(name.isNotNull(), F.replace(t0, name, F.lit(LINKED))).otherwise(t0)
     a = F.col(anchor)
-    df = df.withColumns({"calendar": calendar_bounds(a), "_f0": fold(t0)})
+    df = df.withColumns({"calendar": calendar_bounds(a), "_t0": t0})
+    t0 = F.col("_t0")
+    df = df.withColumn("_f0", fold(t0))
     f0 = F.col("_f0")
 
     def g(*words):
@@ -174,13 +204,18 @@ def extract(df: DataFrame, text: str = "enhanced_query", anchor: str = "anchor")
     df = df.withColumn("_t4", F.when(g_nf, F.regexp_replace(t3, NF_NUMBER, " ")).otherwise(t3))
     t4 = F.col("_t4")
     g_sort = g("orden", "ordem", "classific")
+    g_phrase = g("mais ", "maior", "menor")
     df = df.withColumns({
         "x_nf": F.when(g_nf, F.regexp_extract(t3, NF_NUMBER, 1).try_cast("bigint")),
         "_tail": F.when(g_sort, F.regexp_extract(t4, SORT_TAIL, 0)).otherwise(F.lit("")),
     })
+    df = df.withColumn("_bare", (F.col("_tail") == "") & g_phrase & t4.rlike(SORT_PHRASE))
+    bare = F.col("_bare")
+    df = df.withColumn("_tail", F.when(bare, F.regexp_extract(t4, SORT_PHRASE, 0)).otherwise(F.col("_tail")))
     tail = F.col("_tail")
     has_tail = tail != ""
-    head = F.when(has_tail, F.substring(t4, F.lit(1), F.length(t4) - F.length(tail))).otherwise(t4)
+    head = F.when(bare, F.regexp_replace(t4, SORT_PHRASE, " ")) \
+            .when(has_tail, F.substring(t4, F.lit(1), F.length(t4) - F.length(tail))).otherwise(t4)
     df = df.withColumns({
         "x_sort_col": F.when(has_tail, L.first_value(tail, _SORT_COLUMN)),
         "x_sort_dir": F.when(has_tail, L.single_value(tail, _SORT_DIRECTION)),
@@ -203,9 +238,9 @@ def extract(df: DataFrame, text: str = "enhanced_query", anchor: str = "anchor")
     cli_after, tr_after = _after(t7, CLIENT_KW), _after(t7, CARRIER_KW)
     none = F.array().cast("array<string>")
     df = df.withColumns({
-        "x_cli_raw": F.when(g_cli, _raw_name(cli_after)),
+        "x_cli_raw": F.when(g_cli, _raw_name(t7, CLIENT_KW, cli_after)),
         "x_cli_tokens": F.when(g_cli, _tokens(cli_after)).otherwise(none),
-        "x_tr_raw": F.when(g_tr, _raw_name(tr_after)),
+        "x_tr_raw": F.when(g_tr, _raw_name(t7, CARRIER_KW, tr_after)),
         "x_tr_tokens": F.when(g_tr, _tokens(tr_after)).otherwise(none),
         "_t8": F.when(g_cli | g_tr, F.regexp_replace(t7, ENTITY_SPAN, " ")).otherwise(t7),
     })
@@ -225,7 +260,10 @@ def extract(df: DataFrame, text: str = "enhanced_query", anchor: str = "anchor")
     none_s = F.array().cast("array<string>")
     state_ufs = F.when(g_place, F.transform(F.regexp_extract_all(t9, F.lit(STATE_NAME), 1),
                                             lambda x: _lookup(_STATE_OF, x))).otherwise(none_s)
-    code_ufs = F.when(t9.rlike("[A-Z]{2}"), F.regexp_extract_all(t9, F.lit(UF_CODE), 1)).otherwise(none_s)
+    codes = F.when(t9.rlike("[A-Z]{2}"), F.regexp_extract_all(t9, F.lit(UF_CODE), 1)).otherwise(none_s)
+    lower = F.concat(F.regexp_extract_all(t9, F.lit(UF_LOWER), 1), F.regexp_extract_all(t9, F.lit(UF_LOWER), 2))
+    lower = F.transform(F.filter(lower, lambda x: x != ""), lambda x: F.upper(x))
+    code_ufs = F.concat(codes, F.when(g("para", "em ", "uf", "estado"), lower).otherwise(none_s))
     no_states = F.when(g_place, F.regexp_replace(t9, STATE_NAME, " ")).otherwise(t9)
     city_x_uf = F.when(F.col("_city_x").isin(list(_STATE_OF)), _lookup(_STATE_OF, F.col("_city_x")))
     df = df.withColumns({"_t9b": no_states, "_g_place": g_place})
@@ -241,6 +279,7 @@ def extract(df: DataFrame, text: str = "enhanced_query", anchor: str = "anchor")
     df = df.withColumns({
         "x_has_period": g_per & t10.rlike(L.combine(p for p, _ in L.LEXICON["period"])),
         "x_explicit": F.when(g_per, explicit_range(t10, a)),
+        "x_range_invalid": F.when(g_per, invalid_range(t10, explicit_range(t10, a))).otherwise(F.lit(False)),
         "x_named": F.when(g_per, named_period(t10, F.col("calendar"), a)),
         "_t11": F.when(g_per, mask_periods(t10)).otherwise(t10),
     })
@@ -248,5 +287,5 @@ def extract(df: DataFrame, text: str = "enhanced_query", anchor: str = "anchor")
         "x_event": L.first_value(F.col("_t11"), L.LEXICON["event"], g(*L.GUARDS["event"])),
         "x_domain": f0.rlike(DOMAIN_FOLDED),
     })
-    return df.drop("_f0", "_t1", "_t2", "_t3", "_t4", "_tail", "_t5", "_t6", "_t7", "_t8", "_t9", "_t9b", "_t10",
+    return df.drop("_t0", "_f0", "_bare", "_t1", "_t2", "_t3", "_t4", "_tail", "_t5", "_t6", "_t7", "_t8", "_t9", "_t9b", "_t10",
                    "_t11", "_city_x", "_g_place")

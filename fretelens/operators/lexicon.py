@@ -42,7 +42,8 @@ for _phrase, _canon, _concept, _v in D.SYNONYMS:
 _performance.append((ci(word("em data futura")), "FUTURO"))
 
 _sort = [
-    (ci(word(p, inflect=True)), v) for p, _, c, v in D.SYNONYMS if c == "sort"
+    (ci(LB + loose(p.split(" ", 1)[0][:-1]) + r"(?:r|d[ao]s?|ndo)?\s+pel[ao]s?\s+" + loose(p.split(" ", 2)[2]) + "s?" + RB), v)
+    for p, _, c, v in D.SYNONYMS if c == "sort"
 ] + [
     (ci(word("ordenadas pelo maior valor", inflect=True)), "valor_nf DESC"),
     (ci(word("ordenadas pelo menor valor", inflect=True)), "valor_nf ASC"),

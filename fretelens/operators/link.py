@@ -43,38 +43,36 @@ def longest_name(dimension: DataFrame) -> int:
     return int(n or 1)
 
 
-def candidate_grams(parsed: DataFrame, key: str = "request_id", max_words: int | None = None) -> DataFrame:
-    """(key, kind, n, gram_key) for every leading n-gram after a keyword
-    (up to ``max_words`` words when given)."""
-    spans = parsed.select(
-        key,
-        F.explode(F.array(
-            F.struct(F.lit("cliente").alias("kind"), F.col("x_cli_tokens").alias("tokens")),
-            F.struct(F.lit("transportadora").alias("kind"), F.col("x_tr_tokens").alias("tokens")),
-        )).alias("s"),
-    ).select(key, "s.kind", "s.tokens").where(F.size("tokens") > 0)
-    upto = F.size("tokens") if max_words is None else F.least(F.size("tokens"), F.lit(max_words))
-    grams = spans.select(
-        key, "kind",
-        F.explode(F.transform(
-            F.sequence(F.lit(1), upto),
-            lambda n: F.struct(n.alias("n"), name_key(F.array_join(F.slice("tokens", 1, n), " ")).alias("gram_key")),
-        )).alias("g"),
-    )
-    return grams.select(key, "kind", "g.n", "g.gram_key")
-
-
-def best_links(spans: DataFrame, dimension: DataFrame, key: str = "request_id") -> DataFrame:
-    """(key, linked_cliente, linked_transportadora) for rows whose n-grams hit
-    the dimension; ``spans`` holds ``x_cli_tokens`` / ``x_tr_tokens``."""
-    grams = candidate_grams(spans, key, longest_name(dimension))
-    hits = grams.join(dimension, (grams.kind == dimension.kind) & (grams.gram_key == dimension.name_key))
-    return hits.groupBy(key).agg(*[
-        F.max_by(F.when(grams.kind == k, F.col("name")), F.when(grams.kind == k, F.col("n"))).alias(f"linked_{k}")
-        for k in KINDS
-    ])
-
-
-def link_entities(parsed: DataFrame, dimension: DataFrame, key: str = "request_id") -> DataFrame:
-    """Adds ``linked_cliente`` and ``linked_transportadora`` (NULL = unlinked)."""
-    return parsed.join(best_links(parsed, dimension, key), key, "left")
+def linked_names(keys: DataFrame, dimension: DataFrame, most_words: int) -> DataFrame:
+    """(kind, words, name, n_words) for the distinct (kind, words) whose leading n-grams hit the dimension."""
+    tokens = F.split("words", " ")
+    upto = F.least(F.size(tokens), F.lit(most_words))
+    grams = keys.select("kind", "words", F.explode(F.transform(
+        F.sequence(F.lit(1), upto),
+        lambda n: F.struct(n.alias("n"), name_key(F.array_join(F.slice(tokens, 1, n), " ")).alias("gram_key")))).alias("g"))
+    hits = grams.select("kind", "words", "g.n", F.col("g.gram_key").alias("name_key")).join(dimension, ["kind", "name_key"])
+    return hits.groupBy("kind", "words").agg(F.max_by("name", "n").alias("name"), F.max("n").alias("n_words"))
+
+
+def link_entities(df: DataFrame, dimension: DataFrame, spans: dict[str, Column], most_words: int | None = None) -> DataFrame:
+    """Adds ``linked_<kind>`` (the dimension's name, NULL = unlinked) and ``name_<kind>`` (the name as written).
+
+    ``spans`` gives, per kind, the words after the keyword.  What a name links
+    to depends on those words alone, so they are the join key: no row needs an
+    id of its own, requests that repeat an id stay apart, and equal words are
+    linked once.  ``most_words`` (the longest dimension name) can be given to
+    spare streams the scan of the dimension.
+    """
+    most = most_words or longest_name(dimension)
+    for kind, tokens in spans.items():
+        df = df.withColumn(f"_words_{kind}", F.when(F.size(tokens) > 0, F.array_join(F.slice(tokens, 1, most), " ")))
+    keys = df.select(F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"_words_{k}").alias("words")) for k in spans])).alias("s"))
+    links = linked_names(keys.select("s.kind", "s.words").where(F.col("words").isNotNull()).distinct(), dimension, most)
+    for kind in spans:
+        mine = links.where(F.col("kind") == kind).select(F.col("words").alias(f"_on_{kind}"), F.col("name").alias(f"linked_{kind}"), F.col("n_words").alias(f"_n_{kind}"))
+        # rows without a name spread over all partitions instead of meeting on one null key
+        on = F.coalesce(F.col(f"_words_{kind}"), F.concat(F.lit("\u0000"), F.xxhash64("request_id", "ts").cast("string")))
+        df = df.withColumn(f"_key_{kind}", on).join(mine, F.col(f"_key_{kind}") == F.col(f"_on_{kind}"), "left")
+        written = F.array_join(F.slice(F.split(f"_words_{kind}", " "), 1, F.col(f"_n_{kind}")), " ")
+        df = df.withColumn(f"name_{kind}", F.when(F.col(f"_n_{kind}").isNotNull(), F.regexp_replace(written, r"[.'\"]+$", "")))
+    return df.drop(*[f"_{what}_{k}" for k in spans for what in ("words", "on", "n", "key")])

@@ -16,8 +16,8 @@ from . import lexicon as L
 
 
 def strip_comment(col: Column) -> Column:
-    """Drop an inline ``# ...`` note and squash whitespace."""
-    return squash(F.regexp_replace(col, r"\s#.*$", ""))
+    """Drop an inline ``# ...`` note (never a number sign before a digit) and squash whitespace."""
+    return squash(F.regexp_replace(col, r"\s#(?!\s*\p{N}).*$", ""))
 
 
 def is_blank(col: Column) -> Column:
@@ -57,6 +57,11 @@ def _rewrite(col: Column, concept: str) -> Column:
     for phrase, canonical, c, _ in sorted(D.SYNONYMS, key=lambda s: -len(s[0])):
         if c == concept:
             # "com" already in front of a phrase whose canonical form starts with "com" is absorbed
+            if concept == "sort":  # any form of the verb stands for the listed one
+                verb, rest = phrase.split(" ", 1)
+                body = loose(verb[:-1]).rstrip() + r"(?:r|d[ao]s?|ndo)?\s+" + loose(rest).replace(loose("pelo"), r"pel[ao]s?")
+                out = F.regexp_replace(out, ci(LB + body + r"s?" + RB), canonical)
+                continue
             lead = r"(?:com\s+)?" if canonical.startswith("com ") and not phrase.startswith("com ") else ""
             out = F.regexp_replace(out, ci(LB + lead + "(?:" + loose(phrase, inflect=True) + ")" + RB), canonical)
     return out

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dictionaries import FILTER_FIELDS
-from .extract import extract
+from .extract import extract, name_spans
 from .link import link_entities
 from .normalize import normalize
 from .outcome import classify_outcome
@@ -15,7 +14,7 @@ from .resolve import resolve
 
 
 def parse_requests(requests: DataFrame, dimension: DataFrame | None = None, keep: bool = False,
-                   partitions: int | None = None) -> DataFrame:
+                   partitions: int | None = None, most_words: int | None = None) -> DataFrame:
     """Normalise, bind calendar, extract, link, resolve and classify.
 
     ``requests`` needs ``request_id``, ``ts`` and ``query``.  With
@@ -31,13 +30,13 @@ def parse_requests(requests: DataFrame, dimension: DataFrame | None = None, keep
         requests = requests.repartition(partitions)
     df = requests.withColumn("anchor", F.to_date("ts"))
     df = normalize(df)
-    df = extract(df)
     if dimension is not None:
-        # the link reads the extracted rows twice (n-grams, join-back):
-        # keep them on executor disk so the rule projection runs once
-        df = df.persist(StorageLevel.DISK_ONLY)
-        df = link_entities(df, dimension)
+        # names first: a linked name's own words (places, dates, statuses) must not fill other fields
+        spans = name_spans(F.col("enhanced_query"))
+        df = link_entities(df, dimension, {"cliente": spans["x_cli_tokens"], "transportadora": spans["x_tr_tokens"]}, most_words)
+        df = extract(df)
     else:
+        df = extract(df)
         df = df.withColumns({"linked_cliente": F.lit(None).cast("string"),
                              "linked_transportadora": F.lit(None).cast("string")})
     df = resolve(df)

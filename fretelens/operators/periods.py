@@ -10,9 +10,12 @@ from ..functions.text import LB, RB, ci, fold, fold_py, loose
 
 _MONTH_ALT = "(" + "|".join(loose(m) for m in D.MONTHS) + ")"
 _DMY = r"(\d{1,2}/\d{1,2}/\d{4})"
-_TO = r"(?:at[eé]|a|e)"
+_TO = r"(?:at[eé]|ao?|e)"
 
-RANGE_DMY = ci(LB + r"(?:de|desde|entre|do\s+dia)\s+" + _DMY + r"\s+" + _TO + r"\s+(?:o\s+dia\s+)?" + _DMY + RB)
+RANGE_DMY = ci(LB + r"(?:de|desde|entre|do\s+dia)\s+" + _DMY + r"\s+" + _TO + r"\s+(?:(?:o\s+)?dia\s+)?" + _DMY + RB)
+FROM_DMY = ci(LB + r"(?:a\s+partir\s+d[eo]|desde|depois\s+d[eo])\s+(?:o\s+)?(?:dia\s+)?" + _DMY + RB)
+UNTIL_DMY = ci(LB + r"(?:at[eé]|antes\s+d[eo])\s+(?:o\s+)?(?:dia\s+)?" + _DMY + RB)
+ISO_DATE = r"(?<!\d)(\d{4})-(\d{2})-(\d{2})(?!\d)"
 SINGLE_DMY = ci(LB + _DMY + RB)
 DAYS_OF_MONTH = ci(LB + r"(?:entre|de|do)\s+(?:os\s+dias\s+|o\s+dia\s+|dia\s+)?(\d{1,2})\s+" + _TO
                    + r"\s+(\d{1,2})\s+de\s+" + _MONTH_ALT + r"(?:\s+de\s+(\d{4}))?" + RB)
@@ -56,24 +59,37 @@ def _year_for(month: Column, year_txt: Column, anchor: Column) -> Column:
 
 
 def explicit_range(text: Column, anchor: Column) -> Column:
-    """Explicit dates.  STRUCT(DE, ATE) or NULL."""
+    """Explicit dates.  STRUCT(DE, ATE) or NULL; an open range leaves its other end NULL.  What is
+    written as a range never collapses to one of its dates."""
     r1 = _span(_dmy(F.regexp_extract(text, RANGE_DMY, 1)), _dmy(F.regexp_extract(text, RANGE_DMY, 2)))
     m2 = _month_no(F.regexp_extract(text, DAYS_OF_MONTH, 3))
     y2 = _year_for(m2, F.regexp_extract(text, DAYS_OF_MONTH, 4), anchor)
     r2 = _span(_ymd(y2, m2, F.regexp_extract(text, DAYS_OF_MONTH, 1)),
                _ymd(y2, m2, F.regexp_extract(text, DAYS_OF_MONTH, 2)))
-    d3 = _dmy(F.regexp_extract(text, SINGLE_DMY, 1))
+    from_d = _dmy(F.regexp_extract(text, FROM_DMY, 1))
+    until_d = _dmy(F.regexp_extract(text, UNTIL_DMY, 1))
+    single = F.array_distinct(F.regexp_extract_all(text, F.lit(SINGLE_DMY), 1))
+    d3 = F.when(F.size(single) == 1, _dmy(single[0]))  # two dates that no range word joins name no period
     m4 = _month_no(F.regexp_extract(text, DAY_OF_MONTH, 2))
     d4 = _ymd(_year_for(m4, F.regexp_extract(text, DAY_OF_MONTH, 3), anchor), m4,
               F.regexp_extract(text, DAY_OF_MONTH, 1))
+    open_end = F.lit(None).cast("date")
     return (
-        F.when(text.rlike(RANGE_DMY) & r1.DE.isNotNull() & r1.ATE.isNotNull(), r1)
-        .when(text.rlike(DAYS_OF_MONTH) & r2.DE.isNotNull() & r2.ATE.isNotNull(), r2)
-        .when(text.rlike(SINGLE_DMY) & d3.isNotNull(), _span(d3, d3))
+        F.when(text.rlike(RANGE_DMY), F.when(r1.DE <= r1.ATE, r1))
+        .when(text.rlike(DAYS_OF_MONTH), F.when(r2.DE <= r2.ATE, r2))
+        .when(text.rlike(FROM_DMY), F.when(from_d.isNotNull(), _span(from_d, open_end)))
+        .when(text.rlike(UNTIL_DMY), F.when(until_d.isNotNull(), _span(open_end, until_d)))
+        .when(text.rlike(SINGLE_DMY), F.when(d3.isNotNull(), _span(d3, d3)))
         .when(text.rlike(DAY_OF_MONTH) & d4.isNotNull(), _span(d4, d4))
     )
 
 
+def invalid_range(text: Column, explicit: Column) -> Column:
+    """An explicit range or date is written, but gives no period (an impossible date, ends out of order, two loose dates)."""
+    written = text.rlike(RANGE_DMY) | text.rlike(DAYS_OF_MONTH) | text.rlike(SINGLE_DMY)
+    return written & explicit.isNull()
+
+
 def named_period(text: Column, cal: Column, anchor: Column) -> Column:
     """C2 + C4: calendar words, last N days, a named month."""
     spans = {
@@ -86,6 +102,8 @@ def named_period(text: Column, cal: Column, anchor: Column) -> Column:
         "today": _span(cal.today, cal.today),
     }
     n = F.regexp_extract(text, LAST_N_DAYS, 1).try_cast("int")
+    # no date lies before year 1
+    n = F.when(n <= F.datediff(anchor, F.lit("0001-01-01").cast("date")), n)
     last_n = _span(F.date_sub(anchor, n - 1), anchor)
     mm = _month_no(F.regexp_extract(text, NAMED_MONTH, 1))
     yy = _year_for(mm, F.regexp_extract(text, NAMED_MONTH, 2), anchor)
@@ -102,5 +120,5 @@ def named_period(text: Column, cal: Column, anchor: Column) -> Column:
 
 def mask_periods(text: Column) -> Column:
     """Blank every period phrase (one pass, longest alternatives first)."""
-    parts = [RANGE_DMY, DAYS_OF_MONTH, SINGLE_DMY, DAY_OF_MONTH, LAST_N_DAYS, NAMED_MONTH] + [p for p, _ in _NAMED]
+    parts = [RANGE_DMY, DAYS_OF_MONTH, FROM_DMY, UNTIL_DMY, SINGLE_DMY, DAY_OF_MONTH, LAST_N_DAYS, NAMED_MONTH] + [p for p, _ in _NAMED]
     return F.regexp_replace(text, "(?iu)" + "|".join("(?:" + p[len("(?iu)"):] + ")" for p in parts), " ")

@@ -2,8 +2,8 @@
 
 Rules run in a fixed order inside one projection:
 E9 explicit time first, E4 "entregue" without a period is the situation,
-E2 an event needs a period, E1 a time-relative performance status drops the
-event and its period, E10 sort pair, E11 out-of-domain -> all null, and E8
+E2 an event needs a period, E1 a time-relative performance status drops a
+period that no other event asks for, E10 sort pair, E11 out-of-domain -> all null, and E8
 NF exclusive last.
 """
 
@@ -37,8 +37,9 @@ def filter_columns(df: DataFrame) -> dict[str, Column]:
     sit_vals = F.when(bare_delivered, F.array_union(F.col("x_sit_vals"), F.array(F.lit("ENTREGUE")))) \
                 .otherwise(F.col("x_sit_vals"))
     perf = F.col("x_perf")
-    relative = F.coalesce(perf.isin(TIME_RELATIVE), F.lit(False))                 # E1
-    tipo = F.when(~relative & period.isNotNull(), event)                           # E2
+    # A time-relative status owns the period, unless an event outside the status phrase asks for it
+    relative = F.coalesce(perf.isin(TIME_RELATIVE), F.lit(False)) & event.isNull()
+    tipo = F.when(period.isNotNull(), event)                                       # E2
     de = F.when(~relative, period.DE)
     ate = F.when(~relative, period.ATE)
     sort_col = F.col("x_sort_col")

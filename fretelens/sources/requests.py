@@ -20,14 +20,20 @@ REQUEST_SCHEMA = T.StructType([
 
 
 def read_requests(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
-    """A2: one request per row.  JSON bodies whose ``query`` is missing or not
-    a string land in ``_corrupt_record`` / NULL ``query`` and are rejected
-    by the B1 gate downstream instead of failing the job."""
-    if fmt == "json":
-        schema = REQUEST_SCHEMA.add(T.StructField("_corrupt_record", T.StringType()))
-        return (spark.read.schema(schema).option("mode", "PERMISSIVE")
-                .option("columnNameOfCorruptRecord", "_corrupt_record").json(path))
-    return spark.read.schema(REQUEST_SCHEMA).format(fmt).load(path)
+    """A2: one request per row.  A JSON body whose ``query`` is missing or no
+    string, or that is no JSON object, keeps its line in ``_corrupt_record``
+    and a NULL ``query``, which the B1 gate rejects downstream; the job goes on."""
+    if fmt != "json":
+        return spark.read.schema(REQUEST_SCHEMA).format(fmt).load(path)
+    # a schema of its own for every call: StructType.add changes its object in place
+    schema = T.StructType([*REQUEST_SCHEMA.fields, T.StructField("_corrupt_record", T.StringType())])
+    body = spark.read.text(path).select("value", F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("r"))
+    kind = F.get_json_object("value", "$.query")
+    # the parser turns numbers and objects into text; only a quoted value is a string
+    text = F.rlike("value", F.lit(r'"query"\s*:\s*"')) & kind.isNotNull()
+    fields = [F.col(f"r.{f.name}").alias(f.name) for f in REQUEST_SCHEMA.fields if f.name != "query"]
+    return body.select(*fields, F.when(text, F.col("r.query")).alias("query"),
+                       F.coalesce(F.col("r._corrupt_record"), F.when(~text, F.col("value"))).alias("_corrupt_record"))
 
 
 def _pick(values, one_based: Column) -> Column:

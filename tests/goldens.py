@@ -120,7 +120,7 @@ FEW_SHOT = [
 # Rewrite goldens: input -> key fragments the normalised text must carry.
 REWRITES = [
     ("quais notas foram entregues hoje?", ["entregues hoje"]),
-    ("notas rodando ordenadas pelo mais caro", ["em trânsito", "mais caro"]),
+    ("notas rodando ordenadas pelo mais caro", ["notas em trânsito ordenadas pelo maior valor"]),
     ("nf do cli acme transp veloz com atraso",
      ["nota fiscal do cliente acme da transportadora veloz", "com status de análise ATRASO"]),
     ("o que foi baixado na ult sem", ["baixado na última semana"]),
@@ -142,3 +142,27 @@ EDGE = [
     ("notas do tomador Acme", {"Cliente": "Acme"}),
     ("notas em trânsito que não sejam do estado de Minas Gerais", {"SituacaoNF": "TRÂNSITO"}),
 ]
+
+# Phrases that once lost a filter without a signal.
+PROBES = [
+    ("nf #12345", {"NF": 12345}),
+    ("nota #777", {"NF": 777}),
+    ("nota fiscal 1234567890123456789", {"NF": 1234567890123456789}),
+    ("o que foi entregue de 01/09/2025 ao dia 10/09/2025", {"TipoData": "2", "DE": D(2025, 9, 1), "ATE": D(2025, 9, 10)}),
+    ("notas emitidas a partir de 01/09/2025", {"TipoData": "3", "DE": D(2025, 9, 1)}),
+    ("notas emitidas até 10/09/2025", {"TipoData": "3", "ATE": D(2025, 9, 10)}),
+    ("o que foi entregue de 10/03/2025 até 31/02/2025 do cliente Acme", {"Cliente": "Acme"}),
+    ("notas emitidas de 10/09/2025 até 01/09/2025 do cliente Acme", {"Cliente": "Acme"}),
+    ("notas emitidas de 2025-09-01 até 2025-09-10", {"TipoData": "3", "DE": D(2025, 9, 1), "ATE": D(2025, 9, 10)}),
+    ("notas do cliente Acme emitidas nos últimos 2000000000 dias", {"Cliente": "Acme"}),
+    ("notas do cliente Acme e do cliente Beta em trânsito", {"SituacaoNF": "TRÂNSITO"}),
+    ("notas exceto para SP emitidas hoje", {"TipoData": "3", **P(TODAY)}),
+    ("notas que não sejam de SP do cliente Acme", {"Cliente": "Acme"}),
+    ("notas emitidas hoje exceto retidas para o cliente Acme", {"TipoData": "3", **P(TODAY), "Cliente": "Acme"}),
+    ("notas baixadas na semana passada e com status DO DIA", {"TipoData": "6", **P(LAST_WEEK), "StatusAnaliseData": "DO DIA"}),
+    ("me mostre as notas mais caras", {"SortColumn": "valor_nf", "SortDirection": "DESC"}),
+    ("notas com maior valor", {"SortColumn": "valor_nf", "SortDirection": "DESC"}),
+    ("notas do cliente Acme da entrega mais recente", {"Cliente": "Acme", "SortColumn": "data_entrega", "SortDirection": "DESC"}),
+    ("notas para mg", {"UFDestino": "MG"}),
+    ("notas para o rj", {"UFDestino": "RJ"}),
+]

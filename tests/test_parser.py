@@ -19,7 +19,7 @@ def _parse(spark, phrases):
     return parse_requests(df).orderBy("request_id").collect()
 
 
-@pytest.mark.parametrize("suite", ["CORPUS", "FEW_SHOT", "EDGE"])
+@pytest.mark.parametrize("suite", ["CORPUS", "FEW_SHOT", "EDGE", "PROBES"])
 def test_golden_records(spark, suite):
     cases = getattr(G, suite)
     out = _parse(spark, [q for q, _ in cases])
