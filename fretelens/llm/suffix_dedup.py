@@ -34,7 +34,7 @@ from fretelens.llm.common import _MULT, Rolling, materialize, mix, table, text_s
 
 LENGTH, GRAM = 100, 32
 #: Bytes of text of a unit and of a bucket.
-UNIT, BUCKET = 8 << 20, 24 << 20
+UNIT, BUCKET = 4 << 20, 8 << 20
 _PHRASE, _SUFFIX = 1, 2
 _LAST_ID = np.iinfo(np.int64).max
 
