@@ -68,37 +68,66 @@ def recover_block(raw: Column) -> Column:
     return F.when(block != "", block).otherwise(F.lit("{}"))
 
 
+def no_object(raw: Column) -> Column:
+    """The output holds no JSON object of its own: null, no braces, cut off before the last one, or a list."""
+    tail = F.element_at(F.split(raw, r"(?i)JSON FINAL\s*:?"), -1)
+    cut_off = ~F.rlike(tail, F.lit(r"(?s)\{.*\}"))
+    listed = F.rlike(tail, F.lit(r"(?s)^[^{]*\[\s*\{"))
+    return raw.isNull() | cut_off | listed
+
+
 def output_parse(df: DataFrame, raw: str = "raw_text") -> DataFrame:
     """F5 + E12: parse recovered JSON into typed fields.
 
-    ``parse_ok`` is false for text that is not a JSON object (the service
+    ``parse_ok`` is false for text without a complete JSON object (the service
     would ask the model again; here the row is quarantined with status 500).
-    Enum values outside their domain become NULL and are listed in
-    ``invalid_fields``.
+    Values outside their domain, and values that are no number, date or CNPJ
+    root of their field's type, become NULL and are listed in
+    ``invalid_fields``; so are a range with its ends out of order and a sort
+    direction without a column.  Numbers and sort pairs follow the same rules
+    as parsed requests (E8, E10).  What is vague is judged on the typed record.
     """
     block = recover_block(F.col(raw))
     m = F.from_json(block, "map<string,string>")
-    is_object = F.ltrim(block).startswith("{") & m.isNotNull()
-    df = df.withColumns({"block": block, "_m": m, "parse_ok": is_object})
+    is_object = ~no_object(F.col(raw)) & F.ltrim(block).startswith("{") & m.isNotNull() & balanced(block)
+    df = df.withColumns({"block": block, "_m": m, "parse_ok": F.coalesce(is_object, F.lit(False))})
+    written = {f: F.when(F.trim(F.col("_m")[f]) != "", F.col("_m")[f]) for f in D.FILTER_FIELDS}
     typed = {}
     for f in D.FILTER_FIELDS:
-        v = F.col("_m")[f]
+        v = written[f]
         if FIELD_TYPES[f] == "bigint":
             v = v.try_cast("bigint")
         elif FIELD_TYPES[f] == "date":
             v = F.try_to_date(v, "yyyy-MM-dd")
+        elif f in ENUMS:
+            v = F.when(v.isin(ENUMS[f]), v)
+        elif f == "CNPJRaizTransp":
+            v = F.when(v.rlike(r"^\d{8}$"), v)
         typed[f] = v
-    invalid = F.array(*[F.when(typed[f].isNotNull() & ~typed[f].isin(ENUMS[f]), F.lit(f)) for f in ENUMS])
-    invalid = F.filter(invalid, lambda x: x.isNotNull())
-    values = F.filter(F.map_values(F.col("_m")), lambda x: x.isNotNull())
-    df = df.withColumns({
-        "invalid_fields": invalid,
-        "all_null": F.col("parse_ok") & (F.size(values) == 0),
-    })
-    out = {f: F.when(F.col("parse_ok") & ~F.array_contains(F.col("invalid_fields"), f), typed[f])
-           for f in D.FILTER_FIELDS}
-    out["status"] = F.when(~F.col("parse_ok"), F.lit(500)).when(F.col("all_null"), F.lit(400)).otherwise(F.lit(200))
-    return df.withColumns(out).drop("_m")
+    bad = {f: written[f].isNotNull() & typed[f].isNull() for f in D.FILTER_FIELDS}
+    backwards = typed["DE"] > typed["ATE"]
+    bad["DE"] = bad["DE"] | F.coalesce(backwards, F.lit(False))
+    bad["ATE"] = bad["ATE"] | F.coalesce(backwards, F.lit(False))
+    bad["SortDirection"] = bad["SortDirection"] | (typed["SortDirection"].isNotNull() & typed["SortColumn"].isNull())
+    invalid = F.filter(F.array(*[F.when(bad[f], F.lit(f)) for f in D.FILTER_FIELDS]), lambda x: x.isNotNull())
+    df = df.withColumn("invalid_fields", F.when(F.col("parse_ok"), invalid).otherwise(F.array().cast("array<string>")))
+    has_nf = typed["NF"].isNotNull()
+    out = {}
+    for f in D.FILTER_FIELDS:
+        v = F.when(F.col("parse_ok") & ~F.array_contains(F.col("invalid_fields"), f), typed[f])
+        out[f] = v if f == "NF" else F.when(~has_nf, v)
+    df = df.withColumns(out).withColumn("all_null", F.col("parse_ok") & all_null())
+    status = F.when(~F.col("parse_ok"), F.lit(500)).when(F.col("all_null"), F.lit(400)).otherwise(F.lit(200))
+    return df.withColumn("status", status).drop("_m")
+
+
+def balanced(block: Column) -> Column:
+    """One JSON object and nothing else: outside its strings, the braces close for the first time at the end."""
+    bare = F.regexp_replace(block, r'"(?:[^"\\\\]|\\\\.)*"', "")
+    # innermost pairs vanish step by step; flat objects, and nested ones up to four deep, become one mark
+    for _ in range(4):
+        bare = F.regexp_replace(bare, r"\{[^{}]+\}(?=.*\})", "x")
+    return F.rlike(F.trim(bare), F.lit(r"(?s)^\{[^{}]*\}$"))
 
 
 def domain_report(parsed_outputs: DataFrame) -> DataFrame:

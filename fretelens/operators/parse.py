@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dictionaries import FILTER_FIELDS
+from ..session import written
 from .extract import extract, name_spans
 from .link import link_entities
 from .normalize import normalize
@@ -33,6 +34,10 @@ def parse_requests(requests: DataFrame, dimension: DataFrame | None = None, keep
     if dimension is not None:
         # names first: a linked name's own words (places, dates, statuses) must not fill other fields
         spans = name_spans(F.col("enhanced_query"))
+        # a written table: the link reads the normalised rows more than once, and
+        # the optimizer would else inline one rule projection into the other
+        df = written(df.withColumns({"_cli_tokens": spans["x_cli_tokens"], "_tr_tokens": spans["x_tr_tokens"]}))
+        spans = {"x_cli_tokens": F.col("_cli_tokens"), "x_tr_tokens": F.col("_tr_tokens")}
         df = link_entities(df, dimension, {"cliente": spans["x_cli_tokens"], "transportadora": spans["x_tr_tokens"]}, most_words)
         df = extract(df)
     else:

@@ -18,7 +18,7 @@ from ..operators import match as M
 from ..operators.link import entity_dimension
 from ..operators.outcome import all_null, render_inputs, to_filter_json
 from ..operators.parse import parse_requests
-from ..session import apply_job_conf, checkpoint_dir
+from ..session import apply_job_conf, written
 from ..sources.requests import render_requests
 from ..sources.shipments import shipments
 from ..sources.tables import table
@@ -47,9 +47,8 @@ def parsed(spark: SparkSession, sf: str, keep: bool = False) -> DataFrame:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage into the cluster's checkpoint folder (reused inputs)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut lineage into the cluster's shared folder (reused inputs)."""
+    return written(df)
 
 
 def matches(spark: SparkSession, sf: str) -> DataFrame:

@@ -63,7 +63,7 @@ BLOCKS = (
     f"o AS ({RAW_OUTPUTS}), "
     r"b0 AS (SELECT request_id, regexp_extract(regexp_split_to_array(raw_text, '(?i)JSON FINAL\s*:?')[-1], "
     r"'(?s)\{.*\}', 0) AS blk FROM o), "
-    "b AS (SELECT request_id, CASE WHEN blk = '' THEN '{}' ELSE blk END AS block FROM b0)"
+    "b AS (SELECT request_id, blk <> '' AS found, CASE WHEN blk = '' THEN '{}' ELSE blk END AS block FROM b0)"
 )
 
 
@@ -73,7 +73,7 @@ def _get(key: str, cast: str | None = None) -> str:
 
 
 PARSED = (
-    "p00 AS (SELECT request_id, block, CASE WHEN json_valid(block) THEN json_type(block) = 'OBJECT' ELSE false END "
+    "p00 AS (SELECT request_id, block, CASE WHEN found AND json_valid(block) THEN json_type(block) = 'OBJECT' ELSE false END "
     "AS parse_ok FROM b), "
     "p0 AS (SELECT *, CASE WHEN parse_ok THEN block ELSE '{}' END AS jb FROM p00), "
     f"p1 AS (SELECT request_id, parse_ok, {_get('NF', 'BIGINT')} AS NF, {_get('DE', 'DATE')} AS DE, "

@@ -27,3 +27,18 @@ def test_longest_match_and_unlinked(spark):
     assert out[4].Transportadora == "Rápido Log Transportes"
     assert out[5].Cliente == "BEXX" and out[5].cliente_unlinked
     assert out[6].Cliente is None
+
+
+def test_repeated_ids_places_in_names_and_two_names(spark):
+    customers = spark.createDataFrame([(1, "Acme", 0), (2, "Casa de Carnes São Paulo", 0), (3, "Lojas do Rio de Janeiro", 0)], "c_custkey bigint, c_name string, c_nationkey int")
+    suppliers = spark.createDataFrame([(1, "Veloz")], "s_suppkey bigint, s_name string")
+    rows = [(1, "notas do cliente Acme"), (1, "notas do cliente Casa de Carnes São Paulo"), (2, "notas do cliente Lojas do Rio de Janeiro emitidas hoje"),
+            (3, "notas do cliente Acme da transportadora Veloz para SP"), (None, "notas do cliente Acme")]
+    df = spark.createDataFrame([(i, datetime(2025, 10, 22), 0, q) for i, q in rows], "request_id bigint, ts timestamp_ntz, user_id bigint, query string")
+    out = parse_requests(df, entity_dimension(customers, suppliers)).collect()
+    assert len(out) == 5
+    by = {r.query: r for r in out if r.request_id}
+    assert by[rows[0][1]].Cliente == "Acme" and by[rows[1][1]].Cliente == "Casa de Carnes São Paulo" and by[rows[1][1]].UFDestino is None
+    assert by[rows[2][1]].Cliente == "Lojas do Rio de Janeiro" and by[rows[2][1]].UFDestino is None and by[rows[2][1]].TipoData == "3"
+    assert (by[rows[3][1]].Cliente, by[rows[3][1]].Transportadora, by[rows[3][1]].UFDestino) == ("Acme", "Veloz", "SP")
+    assert not spark.sparkContext._jsc.getPersistentRDDs()

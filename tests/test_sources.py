@@ -64,3 +64,19 @@ def test_log_files_fold_tracebacks(spark):
     assert [r.level for r in rec] == ["INFO", "ERROR", "WARNING"]
     assert rec[1].message == "Erro no endpoint\nTraceback (most recent call last):\nValueError: x"
     assert rec[0].ts.microsecond == 123000
+
+
+def test_reader_twice_and_rejected_bodies(spark, tmp_path):
+    from fretelens.operators.normalize import is_blank
+    from fretelens.sources.requests import REQUEST_SCHEMA, read_requests
+    from pyspark.sql import functions as F
+
+    path = str(tmp_path / "r.json")
+    with open(path, "w") as f:
+        f.write('{"request_id": 1, "query": "nf 1"}\n{"request_id": 2, "query": 55}\n{"request_id": 3}\n{"request_id": 4, "query": {"a": "b"}}\nno json\n{"request_id": 6, "query": "a \\"b\\""}\n')
+    before = REQUEST_SCHEMA.simpleString()
+    for _ in range(2):
+        got = read_requests(spark, path).withColumn("blank", is_blank(F.col("query"))).collect()
+        assert {r.request_id: r.query for r in got if not r.blank} == {1: "nf 1", 6: 'a "b"'}
+        assert sum(r.blank and r._corrupt_record is not None for r in got) == 4
+    assert REQUEST_SCHEMA.simpleString() == before
