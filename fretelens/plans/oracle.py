@@ -146,6 +146,7 @@ def render_text_sql(variant: str = "text") -> str:
         "dd2": "CAST(least(day(data_emissao) + 4, day(last_day(data_emissao))) AS VARCHAR)",
         "month": f"({lst(D.MONTHS)})[month(data_emissao)]", "year": "CAST(year(data_emissao) AS VARCHAR)",
         "sit_c": f"({lst(RT.SITUATIONS_CANON)})[nf % {RT.SLOT_MOD['sit']} + 1]",
+        "srt_c": f"({lst(RT.SORTS_CANON)})[nf % {RT.SLOT_MOD['srt']} + 1]",
         "perf_c": f"({lst(RT.PERFORMANCE_CANON)})[nf % {RT.SLOT_MOD['perf']} + 1]",
     }
 

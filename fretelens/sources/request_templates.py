@@ -44,6 +44,8 @@ SORTS = [("pela data de entrega mais recente", "data_entrega", "DESC"),
          ("pela data de emissão mais antiga", "data_emissao", "ASC"),
          ("por valor decrescente", "valor_nf", "DESC"), ("por valor crescente", "valor_nf", "ASC"),
          ("pelas mais novas", "data_emissao", None)]
+# Their normalised forms: a sort by price is rewritten to a sort by value.
+SORTS_CANON = [{"pelo mais caro": "pelo maior valor", "pelo mais barato": "pelo menor valor"}.get(p, p) for p, _, _ in SORTS]
 
 # Which modulus drives each phrase slot.
 SLOT_MOD = {"ev": 6, "per": 7, "ag": 3, "sit": 8, "perf": 8, "srt": 11}
@@ -79,6 +81,7 @@ TEMPLATES = [
     {"text": "notas do cliente {cli} para {city} em {state}",
      "expect": {**CLI, "UFDestino": "uf", "CidadeDestino": "CASE WHEN city_is_state THEN NULL ELSE city END"}},
     {"text": "notas do cliente {cli} ordenadas {srt}",
+     "enhanced": "notas do cliente {cli} ordenadas {srt_c}", "expanded": "notas do cliente {cli} ordenadas {srt}",
      "expect": {**CLI, "SortColumn": "srt_col", "SortDirection": "srt_dir"}},
     {"text": "o que foi entregue de {d1} até {d2}",
      "expect": {"TipoData": "'2'", "DE": "data_emissao", "ATE": "data_prevista"}},
@@ -137,7 +140,7 @@ FACTS = {
     6: {"tags": {"situation": 1}},
     7: {"tags": {"performance": 1}},
     14: {"event": _SORT_EMISSION, "event_in_sort": True,
-         "tags": {"sort": f"CASE WHEN request_id % {SLOT_MOD['srt']} IN (2, 3) THEN 1 ELSE 0 END",
+         "tags": {"sort": f"CASE WHEN request_id % {SLOT_MOD['srt']} IN (2, 3, 4, 5) THEN 1 ELSE 0 END",
                   "event": f"CASE WHEN request_id % {SLOT_MOD['srt']} IN (6, 7) THEN 1 ELSE 0 END"}},
     15: {"event": "'2'", "explicit": ("data_emissao", "data_prevista"), "tags": {"event": 1, "period": 1}},
     16: {"event": "'4'", "explicit": ("data_emissao", "range_end"), "named": ("ms", "me"),

@@ -58,6 +58,7 @@ def _slots(nf: Column) -> dict[str, Column]:
         "ag": _pick([p[0] for p in RT.AGENDA], nf % RT.SLOT_MOD["ag"] + 1),
         "sit": _pick([p for p, _ in RT.SITUATIONS], nf % RT.SLOT_MOD["sit"] + 1),
         "sit_c": _pick(RT.SITUATIONS_CANON, nf % RT.SLOT_MOD["sit"] + 1),
+        "srt_c": _pick(RT.SORTS_CANON, nf % RT.SLOT_MOD["srt"] + 1),
         "perf_c": _pick(RT.PERFORMANCE_CANON, nf % RT.SLOT_MOD["perf"] + 1),
         "perf": _pick([p for p, _ in RT.PERFORMANCE], nf % RT.SLOT_MOD["perf"] + 1),
         "srt": _pick([p[0] for p in RT.SORTS], nf % RT.SLOT_MOD["srt"] + 1),
