@@ -27,8 +27,12 @@ LONGEST, COLUMNS, LANDMARKS, RIDGE = 4, 1 << 15, 256, 1e-2
 #: Texts of a language that training samples at most (chosen by a hash of the id).
 PER_LANGUAGE = 300
 UNKNOWN = "und"
-#: The pipeline keeps a document from this score on.
-KEEP_FROM = 0.25
+#: The pipeline drops a text whose familiarity lies under this share of the RARE quantile of labelled texts of its
+#: size and whose margin lies under that quantile of their margins.
+SHARE, RARE = 0.9, 0.01
+#: Characters of the beginnings of labelled texts that stand for shorter ones; classes of sizes (two a doubling);
+#: texts of a class from which it has a quantile of its own.
+BEGINNINGS, CLASSES, OWN = (8, 16, 32, 64, 128, 256, 512, 1024, 2048, 4096), 40, 20
 
 
 def presence(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -59,6 +63,70 @@ class Model:
         return (x @ self.weights) / np.sqrt(np.maximum(1, x.sum(axis=1)))[:, None]
 
 
+@dataclass
+class Known:
+    """What texts of the learned languages look like, by the labelled texts themselves."""
+
+    common: np.ndarray  # columns x languages: the share of a language's texts that hold an n-gram
+    floors: np.ndarray  # least familiarity of a text, by the class of its size
+    margin: float  # from this margin between best and second language on, a text is known whatever it holds
+
+    def holds(self, x: np.ndarray, s: np.ndarray) -> np.ndarray:
+        n, seen = familiarity(x, self.common)
+        return (seen >= self.floors[n]) | (margins(s) >= self.margin)
+
+
+def familiarity(x: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Size class of texts, and how common their n-grams are, on average, in the language that holds them most."""
+    n = np.maximum(1, x.sum(axis=1))
+    return np.minimum(2 * np.log2(n), CLASSES - 1).astype(int), (x @ common).max(axis=1) / n
+
+
+def margins(s: np.ndarray) -> np.ndarray:
+    if s.shape[1] < 2:
+        return np.full(len(s), -np.inf)
+    best = np.sort(s, axis=1)
+    return best[:, -1] - best[:, -2]
+
+
+def _presences(texts: list[str]) -> Iterator[np.ndarray]:
+    for _, _, data, offsets in text_steps(pa.array(texts, pa.string())):
+        yield presence(data, offsets)
+
+
+def _common(texts: list[str], languages: list[str], names: list[str]) -> np.ndarray:
+    """The share of each language's texts that hold an n-gram."""
+    out = np.zeros((COLUMNS, len(names)), dtype=np.float32)
+    for i, name in enumerate(names):
+        mine = [t for t, x in zip(texts, languages) if x == name]
+        for x in _presences(mine):
+            out[:, i] += x.sum(axis=0) / len(mine)
+    return out
+
+
+def known(texts: list[str], languages: list[str]) -> Known:
+    """Bounds from labelled texts and their beginnings, each half of them scored by what the other half teaches."""
+    names, sizes, seen, margin = sorted(set(languages)), [], [], []
+    for half in (0, 1):
+        other, said, mine = texts[1 - half :: 2], languages[1 - half :: 2], texts[half::2]
+        if not other or not mine:
+            continue
+        common, model = _common(other, said, names), fit(other, said)
+        for x in _presences(mine):
+            margin.append(margins(model.score(x)))
+        for size in (*BEGINNINGS, None):
+            for x in _presences([t[:size] for t in mine]):
+                n, f = familiarity(x, common)
+                sizes.append(n)
+                seen.append(f)
+    floors = np.zeros(CLASSES)
+    if sizes:
+        n, f = np.concatenate(sizes), np.concatenate(seen)
+        full = np.flatnonzero(np.bincount(n, minlength=CLASSES) >= min(OWN, np.bincount(n).max()))
+        floors = SHARE * np.interp(np.arange(CLASSES), full, [np.quantile(f[n == c], RARE) for c in full])
+    return Known(_common(texts, languages, names), floors, float(np.quantile(np.concatenate(margin), RARE)) if margin else -np.inf)
+
+
 def fit(texts: list[str], languages: list[str], seed: int = 6) -> Model:
     """One-versus-rest kernel ridge regression in the Nystroem space of the landmarks."""
     names = sorted(set(languages))
@@ -66,8 +134,7 @@ def fit(texts: list[str], languages: list[str], seed: int = 6) -> Model:
     pick = np.sort(np.random.default_rng(seed).permutation(len(texts))[:LANDMARKS])
 
     def rows(which) -> Iterator[np.ndarray]:
-        for _, _, data, offsets in text_steps(pa.array([texts[i] for i in which], pa.string())):
-            x = presence(data, offsets)
+        for x in _presences([texts[i] for i in which]):
             yield x / np.sqrt(np.maximum(1, x.sum(axis=1)))[:, None]
 
     marks = np.vstack(list(rows(pick)))
@@ -92,8 +159,8 @@ def training_sample(docs: DataFrame, usable: Column, per_language: int = PER_LAN
     return rows.join(picked, ["lang", "_h", "_t"]).groupBy("lang", "r").agg(F.min("text").alias("text")).orderBy("lang", "r").select("lang", "text").toPandas()
 
 
-def predict(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
-    """Columns ``keep`` of the documents, lang_pred and score; ``und`` and 0 where a text is null or has no letter."""
+def predict(docs: DataFrame, model: Model | None, keep: list[str], of: Known | None = None) -> DataFrame:
+    """Columns ``keep`` of the documents, lang_pred and score; ``und`` and 0 where a text is null or has no letter, or isn't known by ``of``."""
     letter = F.coalesce(F.rlike("text", F.lit(r"\p{L}")), F.lit(False))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,7 +171,10 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
                 if model is None:
                     names, best = np.full(z - a, UNKNOWN, dtype=object), np.zeros(z - a)
                 else:
-                    s = model.score(presence(data, offsets))
+                    x = presence(data, offsets)
+                    s = model.score(x)
+                    if of is not None:
+                        has = has & of.holds(x, s)
                     names = np.where(has, np.array(model.languages, dtype=object)[s.argmax(axis=1)], UNKNOWN)
                     best = np.where(has, np.clip((s.max(axis=1) + 1) / 2, 0, 1), 0.0)
                 kept = [part.column(c) for c in keep]
@@ -140,5 +210,7 @@ def op6_language_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents whose language is recognised, in their own columns."""
-    scored = identify(docs, F.lit(True), docs.columns)
-    return scored.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= KEEP_FROM)).select(*docs.columns)
+    sample = training_sample(docs, F.lit(True))
+    texts, languages = sample["text"].tolist(), sample["lang"].tolist()
+    scored = predict(docs, fit(texts, languages), docs.columns, known(texts, languages)) if texts else predict(docs, None, docs.columns)
+    return scored.where(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
