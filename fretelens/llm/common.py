@@ -43,6 +43,11 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, name: str = "_row") -> DataFrame:
+    """Written table of ``df`` with a number of its own for every row, rising in the order of its partitions."""
+    return materialize(df.withColumn(name, F.monotonically_increasing_id()))
+
+
 def perhaps_in(df: DataFrame, key: str, need: DataFrame, bits: int = 20) -> DataFrame:
     """Rows of ``df`` whose key may be in ``need`` (none that is gets lost), before an exact join.
 

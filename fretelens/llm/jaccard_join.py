@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fretelens.llm.common import components, materialize, mix, shingles, table, text_steps
+from fretelens.llm.common import components, materialize, mix, numbered, shingles, table, text_steps
 from fretelens.llm.suffix_dedup import planes, unplanes
 
 #: Link if 100 * intersection >= PERCENT * union; words of a shingle.
@@ -284,6 +284,11 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document of each component stays, the one with the smallest doc_id (rows without one stay)."""
-    gone = jaccard_classes(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Pipeline stage: one row of each component stays, the earliest of those with the smallest doc_id (no doc_id comes last)."""
+    rows = numbered(docs)
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")
+    classes = jaccard_classes(rows.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id")
+    each = materialize(rows.select("_row", place.alias("place")).join(classes, "_row"))
+    best = each.groupBy("component_id").agg(F.min("place").alias("best"), F.count("*").alias("n")).where("n > 1")
+    gone = each.join(best, "component_id").where("_row <> best._row").select("_row")
+    return rows.join(gone, "_row", "left_anti").select(*docs.columns)

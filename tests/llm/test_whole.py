@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from fretelens.llm import lang_kernel
+from fretelens.llm import jaccard_join, lang_kernel, line_dedup
 
 
 def test_foreign_scripts_and_gibberish_are_no_known_language(spark):
@@ -13,3 +13,28 @@ def test_foreign_scripts_and_gibberish_are_no_known_language(spark):
     kept = {r["doc_id"] for r in lang_kernel.known_language(spark, both, "").collect()}
     assert not [i for i in kept if i < 0]
     assert len(kept) >= 0.998 * d.select("doc_id").distinct().count()
+
+
+def prose(rng, n):
+    return " ".join("".join(rng.choice(list("abcdefghilmnoprstuv"), rng.integers(4, 9))) for _ in range(n))
+
+
+def test_lines_of_rows_that_share_an_id(spark):
+    """A copied line of one row takes no line of another row with its id; copies at equal places go."""
+    rng = np.random.default_rng(1)
+    a, b, c, d, e = (prose(rng, 12) for _ in range(5))
+    texts = [(1, a), (None, f"{b}\n{a}"), (None, f"{c}\n{d}"), (None, f"{e}\n{d}"), (7, f"{a}\n{a}"), (7, prose(rng, 12)), (8, None), (8, " \n")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
+    got = sorted((str(r["doc_id"]), r["n_lines"], r["removed_lines"]) for r in line_dedup.line_dedup(docs).collect())
+    assert got == sorted([("1", 1, []), ("None", 2, [1]), ("None", 2, []), ("None", 2, [1]), ("7", 2, [0, 1]), ("7", 1, []), ("8", 0, []), ("8", 0, [])])
+    left = sorted(r["text"] for r in line_dedup.without_repeated_lines(spark, docs, "").collect())
+    assert left == sorted([a, b, f"{c}\n{d}", e, texts[5][1]])
+
+
+def test_documents_that_share_an_id(spark):
+    """One row of each component stays, whatever the ids of the rows are."""
+    rng = np.random.default_rng(2)
+    a, b, c, d = (prose(rng, 30) for _ in range(4))
+    docs = spark.createDataFrame([(1, a), (2, a), (2, b), (None, c), (None, c), (3, d), (3, d), (None, a)], "doc_id long, text string")
+    left = sorted((str(r["doc_id"]), r["text"]) for r in jaccard_join.one_of_each(spark, docs, "").collect())
+    assert left == sorted([("1", a), ("2", b), ("None", c), ("3", d)])
