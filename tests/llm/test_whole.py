@@ -1,6 +1,7 @@
 """Inputs on which an operator once did less than its whole job."""
 
 import numpy as np
+from brute import line_links
 
 from fretelens.llm import jaccard_join, lang_kernel, line_dedup
 
@@ -38,3 +39,18 @@ def test_documents_that_share_an_id(spark):
     docs = spark.createDataFrame([(1, a), (2, a), (2, b), (None, c), (None, c), (3, d), (3, d), (None, a)], "doc_id long, text string")
     left = sorted((str(r["doc_id"]), r["text"]) for r in jaccard_join.one_of_each(spark, docs, "").collect())
     assert left == sorted([("1", a), ("2", b), ("None", c), ("3", d)])
+
+
+def test_templated_lines(spark):
+    """Many lines of one template share bands without all being near: every pair that meets is decided."""
+    rng = np.random.default_rng(3)
+    word = lambda n: "".join(rng.choice(list("abcdefghilmnoprstuv"), n))
+    base, lines = [word(6) for _ in range(20)], []
+    for _ in range(300):
+        w = list(base)
+        w[4], w[15] = word(rng.integers(1, 13)), word(rng.integers(1, 13))
+        lines.append(" ".join(w))
+    docs = [(i, x) for i, x in enumerate(lines)]
+    want = {d for d, gone in line_links(docs).items() if gone}
+    got = {r["doc_id"] for r in line_dedup.line_dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect() if r["n_removed"]}
+    assert 100 < len(want) < 200 and got <= want and len(want - got) <= 0.03 * len(want)
