@@ -4,7 +4,10 @@ Every curve projects the vectors onto a few random directions, shifts the
 grid, and orders the cells along a Hilbert curve.  Spark range-partitions each
 ordering; a query meets the rows of its own block of the ordering and of both
 neighbouring blocks, and what the curves find is merged and reranked by the
-exact inner product.
+exact inner product.  How long a block has to be depends on the data and grows
+with it, so it is measured: the exact nearest of a few queries are found by
+one scan, and the block is the shortest in which they reach the recall aimed
+at.
 
 Largest inner products become nearest neighbours by the usual lift: a
 candidate x becomes (x, sqrt(M^2 - |x|^2)) / M with M the largest length, a
@@ -24,10 +27,12 @@ from pyspark.sql import functions as F
 from fretelens.llm.common import materialize, table, with_position
 from fretelens.llm.vectors import clean_vectors, matrix
 
-#: Curves, rows of a block, projected dimensions, bits a dimension.  Measured:
-#: 18 curves of 1,024 rows find 95 % of the 20 nearest of 51,282 structureless
-#: 64-dimensional vectors (the hardest case: no low-dimensional structure).
+#: Curves, least rows of a block, projected dimensions, bits a dimension.
 CURVES, BLOCK, DIMS, BITS = 18, 1024, 8, 6
+#: Recall the block is chosen for, queries it is measured on, growth of the block from try to try.
+RECALL, PROBES, GROWTH = 0.95, 200, 1.25
+#: Rows that a task holds of a block (a longer block is several), queries it multiplies at once.
+HELD, AT_ONCE = 16384, 256
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -78,6 +83,51 @@ def _moments(vectors: DataFrame, longest: float, d: int) -> tuple[np.ndarray, np
     return mean, sums[d + 1 :].reshape(d + 1, d + 1) / n - np.outer(mean, mean)
 
 
+def _long_enough(vectors: DataFrame, ordered: DataFrame, d: int, k: int, block: int) -> int:
+    """The shortest block, from ``block`` on, whose window finds ``RECALL`` of the k nearest of some queries.
+
+    The driver gets ``PROBES`` queries, their k nearest and the places of both
+    on every curve.
+    """
+    n = vectors.count()
+    zero = F.forall("v", lambda c: c == 0)
+    probes = vectors.where(F.col("q") & ~zero).orderBy(F.xxhash64(F.lit(1), "id"), "id").limit(PROBES).select("id", "v").toPandas()
+    if n <= block or not len(probes):
+        return block
+    mine, q = probes["id"].to_numpy(), matrix(probes["v"], d)
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ids = b.column("id").to_numpy()
+            s = matrix(b.column("v").to_pandas(), d) @ q.T
+            s[ids[:, None] == mine[None, :]] = -np.inf
+            top = np.argsort(-s, axis=0, kind="stable")[:k]
+            row, col = top.ravel(), np.tile(np.arange(len(mine)), len(top))
+            real = s[row, col] > -np.inf
+            yield pa.RecordBatch.from_pydict({"query_id": mine[col][real], "id": ids[row][real], "s": s[row, col][real]})
+
+    found = vectors.select("id", "v").mapInArrow(nearest, "query_id long, id long, s double")
+    best = F.slice(F.sort_array(F.collect_set(F.struct((-F.col("s")).alias("s"), "id"))), 1, k)
+    pairs = materialize(found.groupBy("query_id").agg(best.alias("best")).select("query_id", F.explode("best.id").alias("id")))
+    pairs = pairs.toPandas().drop_duplicates()
+    spark = vectors.sparkSession
+    wanted = [(int(i), True) for i in set(pairs["query_id"])] + [(int(i), False) for i in set(pairs["id"])]
+    if not wanted:
+        return block
+    at = ordered.join(F.broadcast(spark.createDataFrame(wanted, "id long, query boolean")), ["id", "query"]).select("curve", "id", "query", "position").toPandas()
+    at = at.drop_duplicates(["curve", "id", "query"])
+    left = pairs.merge(at[at["query"]].rename(columns={"id": "query_id", "position": "from"})[["query_id", "curve", "from"]], on="query_id")
+    both = left.merge(at[~at["query"]][["id", "curve", "position"]], on=["id", "curve"])
+    while block < 2 * n * (int(at["curve"].max()) + 1):  # by then the block holds every row
+        near = (both["from"] // block - both["position"] // block).abs() <= 1
+        if near.groupby([both["query_id"], both["id"]]).any().mean() >= RECALL:
+            break
+        block = int(block * GROWTH) + 1
+    return block
+
+
 def hilbert_search(vectors: DataFrame, is_query, k: int = 20, curves: int = CURVES, block: int = BLOCK,
                    dims: int = DIMS, bits: int = BITS, seed: int = 1) -> DataFrame:
     """(query_id, rank, vec_id, score): the k largest inner products found for each query.
@@ -85,9 +135,9 @@ def hilbert_search(vectors: DataFrame, is_query, k: int = 20, curves: int = CURV
     ``vectors`` is (id, v) as ``clean_vectors`` gives it; ``is_query`` a
     condition on it.  A query's own id is no candidate.  Ties go to the
     smaller id.  Fewer than k candidates: all that exist are found when they
-    fit the window.  No vectors or no queries: an empty result.  Recall falls
-    slowly as unstructured data grows under a fixed block; ``curves`` and
-    ``block`` are the dials.
+    fit the window.  No vectors or no queries: an empty result.  ``block`` is
+    the least block; it grows until ``RECALL`` is reached on ``PROBES`` of the
+    queries, if need be to the whole table.
     """
     spark = vectors.sparkSession
     out = "query_id long, rank int, vec_id long, score double"
@@ -124,23 +174,26 @@ def hilbert_search(vectors: DataFrame, is_query, k: int = 20, curves: int = CURV
 
     ordered = with_position(vectors.mapInArrow(keys, "curve int, key long, id long, query boolean, v binary"), "curve", "key", "id", "query")
     # a block holds the rows of one curve only, as the group key has the curve
-    ordered = ordered.withColumn("block", F.expr(f"position div {block}"))
-    met = ordered.where("not query").unionByName(ordered.where("query").withColumn("block", F.explode(F.array(*(F.col("block") + i for i in (-1, 0, 1))))))
+    block = _long_enough(vectors, ordered, d, k, block)
+    parts = -(-block // HELD)  # a block is so many pieces, each met on its own
+    ordered = ordered.withColumn("block", F.expr(f"position div {-(-block // parts)}"))
+    met = ordered.where("not query").unionByName(ordered.where("query").withColumn("block", F.explode(F.expr(f"sequence(block - {parts}, block + {parts})"))))
 
     def score(g: pd.DataFrame) -> pd.DataFrame:
         qs, xs = g[g["query"]], g[~g["query"]]
         rows = []
         if len(qs) and len(xs):
             ids, x = xs["id"].to_numpy(), matrix(xs["v"])
-            near = matrix(qs["v"]) @ x.T
             slack = 1e-9 * longest * longest
-            for qid, q, s in zip(qs["id"].to_numpy(), matrix(qs["v"]), near):
-                s[ids == qid] = -np.inf
-                cut = np.partition(s, len(s) - k)[len(s) - k] if len(s) > k else -np.inf
-                at = np.flatnonzero((s >= cut - slack) & (s > -np.inf))
-                exact = (x[at] * q).sum(axis=1)  # the same sum for equal vectors, wherever they lie
-                best = np.lexsort((ids[at], -exact))[:k]
-                rows.append((qid, ids[at][best], exact[best]))
+            for a in range(0, len(qs), AT_ONCE):
+                some = matrix(qs["v"].iloc[a : a + AT_ONCE])
+                for qid, q, s in zip(qs["id"].to_numpy()[a : a + AT_ONCE], some, some @ x.T):
+                    s[ids == qid] = -np.inf
+                    cut = np.partition(s, len(s) - k)[len(s) - k] if len(s) > k else -np.inf
+                    at = np.flatnonzero((s >= cut - slack) & (s > -np.inf))
+                    exact = (x[at] * q).sum(axis=1)  # the same sum for equal vectors, wherever they lie
+                    best = np.lexsort((ids[at], -exact))[:k]
+                    rows.append((qid, ids[at][best], exact[best]))
         return pd.DataFrame(rows, columns=["query_id", "ids", "scores"])
 
     found = met.select("curve", "block", "id", "query", "v").groupBy("curve", "block").applyInPandas(score, "query_id long, ids array<long>, scores array<double>")

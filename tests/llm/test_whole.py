@@ -2,8 +2,9 @@
 
 import numpy as np
 from brute import line_links
+from pyspark.sql import functions as F
 
-from fretelens.llm import jaccard_join, lang_kernel, line_dedup
+from fretelens.llm import ann_hilbert, jaccard_join, lang_kernel, line_dedup
 
 
 def test_foreign_scripts_and_gibberish_are_no_known_language(spark):
@@ -67,3 +68,17 @@ def test_short_lines(spark):
     want = {d for d, gone in line_links(docs).items() if gone}
     got = {r["doc_id"] for r in line_dedup.line_dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect() if r["n_removed"]}
     assert len(want) > 250 and got <= want and len(want - got) <= 0.01 * len(want)
+
+
+def test_recall_of_structureless_vectors(spark):
+    """A table of many blocks without clusters: the block follows the rows."""
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((6000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, v array<double>")
+    got = {}
+    for r in ann_hilbert.hilbert_search(v, F.col("id") % 20 == 0, block=32).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    s = x[::20] @ x.T
+    s[np.arange(300), np.arange(0, 6000, 20)] = -np.inf
+    assert np.mean([len(got[20 * i] & set(np.argsort(-r)[:20])) / 20 for i, r in enumerate(s)]) >= 0.9
