@@ -113,21 +113,24 @@ def learn(pages: list[str]) -> dict[str, float]:
 def best_region(found: list[Piece], weights: dict[str, float]) -> tuple[int, int]:
     """Start and past of the contiguous pieces with the largest score; the first such region, (0, 0) if none is above 0.
 
-    Where a page marks its content, words outside it count against a region
-    and tags inside it cost the least.
+    The learned weights alone choose it.  A mark only trims it: where most of
+    its words stand in ``article`` or ``main`` elements, it ends with them.
     """
-    marked = any(p.main and p.kind == "text" and p.words for p in found)
     word = weights.get("", 1.0)
     best, region, run, start = 0.0, (0, 0), 0.0, 0
     for i, p in enumerate(found):
         if p.kind == "tag":
-            run += -LEAST if p.main and marked else weights.get(p.value, -UNSEEN)
+            run += weights.get(p.value, -UNSEEN)
         elif p.kind == "text":
-            run += p.words * (word if p.main or not marked else -word)
+            run += p.words * word
         if run <= 0:
             run, start = 0.0, i + 1
         elif run > best:
             best, region = run, (start, i + 1)
+    a, z = region
+    marked = [i for i in range(a, z) if found[i].kind == "text" and found[i].main and found[i].words]
+    if 2 * sum(found[i].words for i in marked) > sum(p.words for p in found[a:z] if p.kind == "text"):
+        region = marked[0], marked[-1] + 1
     return region
 
 

@@ -4,7 +4,7 @@ import numpy as np
 from brute import line_links
 from pyspark.sql import functions as F
 
-from fretelens.llm import ann_hilbert, jaccard_join, lang_kernel, line_dedup
+from fretelens.llm import ann_hilbert, html_region, jaccard_join, lang_kernel, line_dedup
 
 
 def test_foreign_scripts_and_gibberish_are_no_known_language(spark):
@@ -82,3 +82,16 @@ def test_recall_of_structureless_vectors(spark):
     s = x[::20] @ x.T
     s[np.arange(300), np.arange(0, 6000, 20)] = -np.inf
     assert np.mean([len(got[20 * i] & set(np.argsort(-r)[:20])) / 20 for i, r in enumerate(s)]) >= 0.9
+
+
+def test_pages_are_scored_by_the_learned_weights():
+    """A body without a mark beside marked cards is the text; a list of links at the end of main isn't."""
+    train = ["<html><body><nav><a href=x>Home</a></nav><ul><li><a href=y>News</a></li><li><a href=z>Sport</a></li></ul><article><h1>Title</h1><p>" + "some words that make an article " * 5
+             + "<p>more of them</article><ul><li><a href=y>About</a></li></ul><div><a href=z>Legal</a></div></body></html>"] * 20
+    w = html_region.learn(train)
+    body = "one two three four five six seven eight nine ten " * 6
+    cards = "<ul><li><article><a href=1>A card</a></article></li><li><article><a href=2>Next card</a></article></li></ul>"
+    page = f"<body><div><h1>Head</h1><p>{body}<p>{body}</div>{cards}</body>"
+    assert html_region.main_text(page, w).startswith(f"Head\n{body.strip()}\n{body.strip()}")
+    links = "<ul>" + "".join(f"<li><a href={i}>Link</a></li>" for i in range(6)) + "</ul>"
+    assert html_region.main_text(f"<body><main><h1>Head</h1><p>{body}</p>{links}</main></body>", w) == f"Head\n{body.strip()}"
