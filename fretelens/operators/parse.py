@@ -14,14 +14,32 @@ from .outcome import classify_outcome
 from .resolve import resolve
 
 
+RESULT = ["anchor", "calendar", "enhanced_query", *FILTER_FIELDS, "status", "outcome", "detail",
+          "cliente_unlinked", "transportadora_unlinked"]
+
+
+def settled(df: DataFrame, own: list[str], columns: list[str]) -> DataFrame:
+    """``own`` as they are and ``columns`` behind a boundary that no predicate crosses.
+
+    The optimizer moves a filter below a projection by putting the projection's
+    expressions into it, layer by layer; through the rule layers that grows
+    exponentially.  Generator output stays where it is, so a filter on a
+    resolved field costs no planning time; filters on ``own`` still go down.
+    """
+    return df.select(*own, F.inline(F.array(F.struct(*columns))))
+
+
 def parse_requests(requests: DataFrame, dimension: DataFrame | None = None, keep: bool = False,
-                   partitions: int | None = None, most_words: int | None = None) -> DataFrame:
+                   partitions: int | None = None, most_words: int | None = None,
+                   columns: list[str] | None = None) -> DataFrame:
     """Normalise, bind calendar, extract, link, resolve and classify.
 
     ``requests`` needs ``request_id``, ``ts`` and ``query``.  With
     ``dimension`` (see :func:`link.entity_dimension`) names are linked to the
     customer/carrier tables; without it the written name is kept.  With
-    ``keep`` the intermediate columns stay (trace use).
+    ``keep`` the intermediate columns stay (trace use); ``columns`` names the
+    result or intermediate columns wanted beside the request's own, so that
+    nothing else is computed.
 
     The rule projection costs CPU, not bytes: after a join AQE would fold a
     small request table into one or two partitions.  ``partitions`` spreads
@@ -45,11 +63,9 @@ def parse_requests(requests: DataFrame, dimension: DataFrame | None = None, keep
         df = df.withColumns({"linked_cliente": F.lit(None).cast("string"),
                              "linked_transportadora": F.lit(None).cast("string")})
     df = resolve(df)
-    df = classify_outcome(df)
-    if keep:
-        return df
-    base = [c for c in requests.columns]
-    return df.select(*base, "anchor", "calendar", "enhanced_query", *FILTER_FIELDS, "status", "outcome", "detail",
-                     (F.col("linked_cliente").isNull() & F.col("Cliente").isNotNull()).alias("cliente_unlinked"),
-                     (F.col("linked_transportadora").isNull() & F.col("Transportadora").isNotNull())
-                     .alias("transportadora_unlinked"))
+    df = classify_outcome(df).withColumns({
+        "cliente_unlinked": F.col("linked_cliente").isNull() & F.col("Cliente").isNotNull(),
+        "transportadora_unlinked": F.col("linked_transportadora").isNull() & F.col("Transportadora").isNotNull()})
+    if not columns:
+        columns = [c for c in df.columns if c not in requests.columns] if keep else RESULT
+    return settled(df, requests.columns, columns)

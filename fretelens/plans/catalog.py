@@ -42,8 +42,8 @@ def parse_parallelism(spark: SparkSession) -> int:
     return max(2 * spark.sparkContext.defaultParallelism, 8)
 
 
-def parsed(spark: SparkSession, sf: str, keep: bool = False) -> DataFrame:
-    return parse_requests(requests(spark, sf), dimension(spark, sf), keep=keep, partitions=parse_parallelism(spark))
+def parsed(spark: SparkSession, sf: str, keep: bool = False, columns: list[str] | None = None) -> DataFrame:
+    return parse_requests(requests(spark, sf), dimension(spark, sf), keep=keep, partitions=parse_parallelism(spark), columns=columns)
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -71,11 +71,12 @@ def iso(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
-def project(*cols, keep: bool = False):
+def project(*cols):
     """Key that keeps some columns of the parsed table (``(src, alias)`` renames)."""
     def q(spark, sf):
         sel = [F.col(c) if isinstance(c, str) else F.col(c[0]).alias(c[1]) for c in cols]
-        return iso(parsed(spark, sf, keep=keep).select("request_id", *sel))
+        names = [c if isinstance(c, str) else c[0] for c in cols]
+        return iso(parsed(spark, sf, columns=names).select("request_id", *sel))
     return q
 
 
@@ -115,14 +116,14 @@ def q_ambiguity_guard(spark, sf):
 
 def q_protected_terms(spark, sf):
     """Event word before and after normalisation (must be equal)."""
-    p = parsed(spark, sf, keep=True)
+    p = parsed(spark, sf, columns=["query_clean", "enhanced_query"])
     return p.select("request_id", N.protected_events(F.col("query_clean")).alias("event_before"),
                     N.protected_events(F.col("enhanced_query")).alias("event_after"))
 
 
 def q_sentence_shape(spark, sf):
     """Normalised text starts upper-case and keeps the question mark."""
-    p = parsed(spark, sf, keep=True)
+    p = parsed(spark, sf, columns=["enhanced_query"])
     e = F.col("enhanced_query")
     return p.select("request_id",
                     (F.substring(e, 1, 1) == F.upper(F.substring(e, 1, 1))).alias("starts_upper"),
@@ -143,24 +144,24 @@ def q_calendar_bounds(spark, sf):
 
 def q_explicit_range(spark, sf):
     """Explicit dates and day ranges."""
-    p = parsed(spark, sf, keep=True)
+    p = parsed(spark, sf, columns=["x_explicit"])
     return iso(p.select("request_id", F.col("x_explicit.DE").alias("DE"), F.col("x_explicit.ATE").alias("ATE")))
 
 
 def q_extended_period(spark, sf):
     """C2 + C4 before resolution: calendar words, amanhã, últimos N dias, months."""
-    p = parsed(spark, sf, keep=True)
+    p = parsed(spark, sf, columns=["x_named"])
     return iso(p.select("request_id", F.col("x_named.DE").alias("DE"), F.col("x_named.ATE").alias("ATE")))
 
 
 def q_extract_event(spark, sf):
     """Event code found in the text (before the event+period rule)."""
-    return parsed(spark, sf, keep=True).select("request_id", F.col("x_event").alias("event"))
+    return parsed(spark, sf, columns=["x_event"]).select("request_id", F.col("x_event").alias("event"))
 
 
 def q_link(kind: str):
     def q(spark, sf):
-        p = parsed(spark, sf, keep=True)
+        p = parsed(spark, sf, columns=[kind.capitalize(), f"linked_{kind}"])
         return p.select("request_id", F.col(kind.capitalize()), F.col(f"linked_{kind}").alias("linked_name"))
     q.__doc__ = f"D3/D4: {kind} name linked to its dimension (longest match)."
     return q
@@ -186,13 +187,13 @@ def q_rule_nf_exclusive(spark, sf):
 
 def q_rule_time_priority(spark, sf):
     """Explicit dates decide DE/ATE first."""
-    p = parsed(spark, sf, keep=True)
+    p = parsed(spark, sf, columns=["DE", "ATE", "x_explicit"])
     return iso(p.select("request_id", "DE", "ATE", F.col("x_explicit").isNotNull().alias("explicit_used")))
 
 
 def q_rule_scope(spark, sf):
     """Out-of-domain text yields no filter."""
-    p = parsed(spark, sf, keep=True)
+    p = parsed(spark, sf, columns=["x_domain", "x_op", "x_nf", "x_cnpj", "outcome"])
     scope = F.col("x_domain") | F.col("x_op").isNotNull() | F.col("x_nf").isNotNull() | F.col("x_cnpj").isNotNull()
     return p.select("request_id", scope.alias("in_scope"), "outcome")
 
@@ -223,7 +224,7 @@ def q_trace_requests(spark, sf):
 
 def q_render_inputs(spark, sf):
     """generation input rendered per request."""
-    return render_inputs(parsed(spark, sf, keep=True))
+    return render_inputs(parsed(spark, sf))
 
 
 # --------------------------------------------------------------- matching --
@@ -325,7 +326,7 @@ def q_generate_stub(spark, sf):
     and recovery; the local stub answers every prompt with an empty JSON."""
     from ..operators.generate import attach_generator, empty_json_stub
     from ..operators.outcome import output_parse, render_inputs
-    gen = attach_generator(render_inputs(parsed(spark, sf, keep=True)), empty_json_stub)
+    gen = attach_generator(render_inputs(parsed(spark, sf)), empty_json_stub)
     return output_parse(gen).select("request_id", "status")
 
 
@@ -403,7 +404,7 @@ QUERIES = {
     "request_scan": q_request_scan,
     "shipments": q_shipments,
     "filter_json": q_filter_json,
-    "input_gate": project("blank", keep=True),
+    "input_gate": project("blank"),
     "expand_abbrev": q_expand_abbrev,
     "map_synonyms": project("enhanced_query"),
     "ambiguity_guard": q_ambiguity_guard,
@@ -432,7 +433,7 @@ QUERIES = {
     "rule_delivered": project("TipoData", "SituacaoNF", "StatusAnaliseData"),
     "field_cooccurrence": q_field_cooccurrence,
     "rule_location": project("UFDestino", "CidadeDestino"),
-    "rule_negation": project(("x_negated", "negated"), "UFDestino", "SituacaoNF", "Cliente", keep=True),
+    "rule_negation": project(("x_negated", "negated"), "UFDestino", "SituacaoNF", "Cliente"),
     "rule_nf_exclusive": q_rule_nf_exclusive,
     "rule_time_priority": q_rule_time_priority,
     "rule_sort_pair": project("SortColumn", "SortDirection"),

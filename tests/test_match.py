@@ -12,7 +12,7 @@ from fretelens.plans import catalog as C
 def _brute_force(spark, specs, ships):
     """Every pair tested with the plain predicate (small fixture only)."""
     from fretelens.operators.match import materialize, prepare_shipments, prepare_specs
-    sp = materialize(prepare_specs(specs).drop("anchor_field"))
+    sp = materialize(prepare_specs(specs))
     return sp.crossJoin(materialize(prepare_shipments(ships))).where(spec_predicate()).select("request_id", "nf")
 
 
@@ -25,6 +25,17 @@ def test_match_equals_brute_force(spark):
     assert fast.exceptAll(slow).count() == 0 and slow.exceptAll(fast).count() == 0
 
 
+def test_filter_on_the_parse_output_plans_fast(spark):
+    """A predicate on a resolved field stays above the rule projections."""
+    import time
+    p = C.parsed(spark, SF_SMALL)
+    for cond in (F.col("SituacaoNF") == "RETIDA", (F.col("status") == 200) & F.col("DE").isNotNull()):
+        t0 = time.time()
+        p.where(cond)._jdf.queryExecution().executedPlan()
+        assert time.time() - t0 < 10
+    assert 0 < p.where(F.col("SituacaoNF") == "RETIDA").count() < p.count()
+
+
 def test_match_plan_has_no_nested_loop(spark):
     specs = C.parsed(spark, SF_SMALL).select("request_id", "anchor", "user_id", *C.FILTER_FIELDS, "status")
     plan = match_requests(specs, C.ships(spark, SF_SMALL))._jdf.queryExecution().executedPlan().toString()
@@ -60,12 +71,14 @@ def test_rank_within_hot_group(spark):
     assert slices > 1
 
 
-def test_every_anchor_branch_equals_brute_force(spark):
-    """Hand-made records, one or more per anchor branch (incl. the salted
-    low-cardinality ones, long ranges and sort-only)."""
+def test_every_mask_equals_brute_force(spark):
+    """Hand-made records of many masks (due dates, long and open ranges,
+    sort-only), with the chosen key sets, with none but the empty one, and
+    with salted cells."""
     from datetime import date
 
-    from fretelens.operators.match import SPEC_FIELDS, choose_anchor, materialize, prepare_specs
+    from fretelens.operators import mask_join
+    from fretelens.operators.match import SPEC_FIELDS, match_pairs, match_prepared, materialize, plan_match, prepare_shipments, prepare_specs
     ships = materialize(C.ships(spark, SF_SMALL))
     one = ships.orderBy("nf").first()
     base = {f: None for f in SPEC_FIELDS}
@@ -92,18 +105,38 @@ def test_every_anchor_branch_equals_brute_force(spark):
               "SituacaoNF string, StatusAnaliseData string, CNPJRaizTransp string, SortColumn string, "
               "SortDirection string, status int")
     specs = spark.createDataFrame(data, schema)
-    anchors = {r.anchor_field for r in prepare_specs(specs).select("anchor_field").collect()}
-    assert anchors == {"nf", "cnpj", "transp", "cliente", "day", "cidade", "uf", "operacao", "due", "situacao",
-                       "delivered", "month", "all"}
-    fast = match_requests(specs, ships).select("request_id", "nf")
-    slow = _brute_force(spark, specs, ships)
-    assert slow.count() > 0
-    assert fast.exceptAll(slow).count() == 0 and slow.exceptAll(fast).count() == 0
+    specs = materialize(specs)
+    slow = {tuple(r) for r in _brute_force(spark, specs, ships).collect()}
+    assert slow
+    sp, sh = materialize(prepare_specs(specs)), materialize(prepare_shipments(ships))
+    plan = plan_match(sp, sh)
+    assert len({r.k_mask for r in sp.select("k_mask").collect()}) >= 14
+    plans = [plan, mask_join.KeyPlan((mask_join.KeySet((), 5, 0.0),), plan.first, plan.last),
+             mask_join.KeyPlan(tuple(mask_join.KeySet(s.fields, 3, s.per_record) for s in plan.sets), plan.first, plan.last)]
+    pairs = []
+    for p in plans:
+        got = [tuple(r) for r in match_prepared(sp, sh, p).select("request_id", "nf").collect()]
+        assert len(got) == len(set(got)) and set(got) == slow
+        pairs.append(match_pairs(sp, sh, p))
+    assert pairs[0] == pairs[2] < pairs[1] == len(rows) * ships.count()
+
+
+def test_key_sets_follow_the_counts():
+    """A set is kept while the pairs it saves outnumber the rows it adds."""
+    from fretelens.operators.mask_join import choose_key_sets
+    masks = {("cliente", "day2"): (1000, 5.0), ("cliente",): (1000, 1.0), ("uf",): (1, 1.0), ("nf",): (5000, 1.0)}
+    stats = {"n": 100_000, "distinct": {("cliente", "day2"): 90_000, ("cliente",): 1000, ("uf",): 25, ("nf",): 100_000},
+             "most": {"cliente": 40_000, "day2": 100, "uf": 5000, "nf": 1}}
+    sets = choose_key_sets(masks, stats, 100)
+    assert [s.fields for s in sets] == [("nf",), ("cliente",), ()]        # day2 saves 94,444 pairs, fewer than the rows; uf serves one record
+    assert [s.salt for s in sets] == [1, 40, 100]
+    masks["cliente", "day2"] = (5000, 5.0)
+    assert ("cliente", "day2") in [s.fields for s in choose_key_sets(masks, stats, 100)]
 
 
 def test_scans_are_column_pruned(spark):
     import re
-    plan = C.parsed(spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    plan = C.requests(spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
     schemas = re.findall(r"ReadSchema: struct<([^>]*)>", plan)
     orders = [s for s in schemas if "o_orderkey" in s]
     lineitem = [s for s in schemas if "l_orderkey" in s]
