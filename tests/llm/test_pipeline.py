@@ -27,7 +27,7 @@ def test_stages(spark):
 
 def test_registered():
     names = E.queries()
-    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 11)) and set(QUERIES) <= set(names) and "pipeline" in names
+    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 14)) and set(QUERIES) <= set(names) and "pipeline" in names
 
 
 def test_components_of_a_chain_and_a_star(spark):
