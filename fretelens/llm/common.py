@@ -175,9 +175,10 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def shingles(data: np.ndarray, offsets: np.ndarray, width: int = 5) -> Iterator[np.ndarray]:
     """Per text: the sorted distinct hashes of its word shingles (the whole sequence if it has fewer words)."""
     w, _, _, first = words(data, offsets)
-    rolled = np.zeros(max(0, len(w) - width + 1), dtype=np.uint64)
+    n = max(0, len(w) - width + 1)
+    rolled = np.zeros(n, dtype=np.uint64)
     for j in range(width):
-        rolled = rolled * _MULT + w[j : len(w) - width + 1 + j]
+        rolled = rolled * _MULT + w[j : j + n]
     rolled = mix(rolled)
     for a, b in zip(first[:-1], first[1:]):
         if b - a >= width:
