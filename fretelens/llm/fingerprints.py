@@ -8,8 +8,8 @@ all the text has).  Two sketches are compared below the smaller of their
 thresholds, where both are complete, so shares of hashes there estimate shares
 of shingles.
 
-A sketch is text: its threshold and its hashes in ascending order, 40 bits
-each, in hexadecimal.
+A sketch is written as its threshold and its hashes in ascending order, 32 bits
+each: as bytes between stages, in hexadecimal in the result.
 """
 
 from __future__ import annotations
@@ -28,9 +28,8 @@ from fretelens.llm.common import materialize, partitions_for, shingles, table, t
 #: Share of the hash range that is kept, hashes kept at least, and words of a shingle.
 FRACTION, LEAST, WIDTH = 1 / 8, 16, 5
 #: Hashes count as numbers of this many bits.
-BITS = 40
+BITS = 32
 _TOP = (1 << BITS) - 1
-_DIGITS = BITS // 4
 #: Bytes of text that one sorted slice holds, on average, at most.
 SLICE = 64 << 20
 
@@ -54,13 +53,13 @@ def sketches(texts: pa.Array) -> Iterator[Sketch]:
             yield sketch_of(h)
 
 
-def written_form(s: Sketch) -> str:
-    return f"{s[0]:0{_DIGITS}x}" + "".join(f"{h:0{_DIGITS}x}" for h in s[1].tolist())
+def written_form(s: Sketch) -> bytes:
+    return np.concatenate([[np.uint64(s[0])], s[1]]).astype(">u4").tobytes()
 
 
-def read_form(text: str) -> Sketch:
-    n = [int(text[i : i + _DIGITS], 16) for i in range(0, len(text), _DIGITS)]
-    return n[0], np.array(n[1:], dtype=np.uint64)
+def read_form(hexadecimal: str) -> Sketch:
+    n = np.frombuffer(bytes.fromhex(hexadecimal), dtype=">u4").astype(np.uint64)
+    return int(n[0]), n[1:]
 
 
 def merged(a: Sketch, b: Sketch) -> Sketch:
@@ -95,15 +94,15 @@ def edited(text: str, donor: str) -> str:
     return text[: len(text) - k] + donor[:k]
 
 
-_OUT = pa.schema([("at", pa.int32()), ("first", pa.bool_()), ("last", pa.bool_()), ("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()),
-                  ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("text", pa.string())])
+_OUT = pa.schema([("at", pa.int32()), ("first", pa.bool_()), ("last", pa.bool_()), ("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.binary()),
+                  ("fingerprint", pa.binary()), ("edited_fingerprint", pa.binary()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("text", pa.string())])
 
 
 def _answers(pairs: list[tuple], edits: list[str]) -> list[dict]:
     """Result fields of (row, sketch, next sketch), with the edited texts."""
     out = []
     for (_, s, after), e, es in zip(pairs, edits, sketches(pa.array(edits, pa.string()))):
-        out.append({"edited_sha256": hashlib.sha256(e.encode()).hexdigest(), "fingerprint": written_form(s), "edited_fingerprint": written_form(es),
+        out.append({"edited_sha256": hashlib.sha256(e.encode()).digest(), "fingerprint": written_form(s), "edited_fingerprint": written_form(es),
                     "near_edited": likeness(s, es), "near_next": likeness(s, after)})
     return out
 
@@ -155,7 +154,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     slices = max(partitions_for(docs), -(-size // SLICE))
     dealt = d.repartitionByRange(slices, *order, F.monotonically_increasing_id()).sortWithinPartitions(*order).select("doc_id", "text")
     names = [f.name for f in _OUT]
-    types = "at int, first boolean, last boolean, doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, text string"
+    types = "at int, first boolean, last boolean, doc_id long, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double, text string"
     rows = materialize(dealt.mapInArrow(lambda batches: along(TaskContext.get().partitionId(), batches), types))
     ends = rows.where("last").select("at", "doc_id", "n_chars", "text")
     # one number a slice
@@ -172,7 +171,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_pylist([row | _answers([(row, s, after)], [edited(r["text"], r["donor"])])[0]], schema=_OUT)
 
     done = rows.where("not first and not last").unionByName(met.mapInArrow(finish, types))
-    return done.select(F.col("doc_id").cast(kind).alias("doc_id"), *names[4:-1])
+    hexed = {c: F.lower(F.hex(c)) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")}
+    return done.select(F.col("doc_id").cast(kind).alias("doc_id"), *(hexed.get(c, F.col(c)).alias(c) for c in names[4:-1]))
 
 
 def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
