@@ -36,7 +36,8 @@ def text_checks(docs: DataFrame) -> DataFrame:
 
 def later_copies(checks: DataFrame) -> DataFrame:
     """Row numbers whose text a smaller doc_id has too (equal by 128 bits of hash); a null id has no smaller one and is none."""
-    first = checks.groupBy("h1", "h2").agg(F.min("doc_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1")
+    # written, so that the join deals it anew and can split a text that many rows share
+    first = materialize(checks.groupBy("h1", "h2").agg(F.min("doc_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1"))
     return checks.join(first, ["h1", "h2"]).where(F.col("doc_id") > F.col("_first")).select("row")
 
 
