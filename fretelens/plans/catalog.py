@@ -330,6 +330,17 @@ def q_generate_stub(spark, sf):
     return output_parse(gen).select("request_id", "status")
 
 
+def q_regenerate_outputs(spark, sf):
+    """F5 + 2.J: outputs that don't parse go back to the generator, three passes at most."""
+    from ..operators.generate import regenerate
+    from ..sources.outputs import answering
+    sh = materialize(ships(spark, sf))
+    prompts = render_inputs(materialize(parsed(spark, sf, columns=["calendar", "enhanced_query"])))
+    out = regenerate(prompts.withColumn("prompt", F.coalesce("prompt", F.lit(""))), answering(sh))
+    return iso(out.select("request_id", "attempts", "parse_ok", "status", "error",
+                          F.size("invalid_fields").alias("n_invalid"), *OUTPUT_FIELDS))
+
+
 def q_field_accuracy(spark, sf):
     """H1: parsed records vs the corpus labels, per field."""
     from ..operators.evaluate import field_accuracy
@@ -456,6 +467,7 @@ QUERIES = {
     "output_parse": q_output_parse,
     "domain_report": q_domain_report,
     "generate_stub": q_generate_stub,
+    "regenerate_outputs": q_regenerate_outputs,
     "field_accuracy": q_field_accuracy,
     "field_coverage": q_field_coverage,
     "vague_rate": q_vague_rate,

@@ -119,7 +119,18 @@ STREAM_VAGUE_RATE = (
     "GROUP BY date_trunc('hour', ts) "
     "HAVING date_trunc('hour', ts) + INTERVAL 2 HOUR <= (SELECT max(ts) FROM events)")
 
+_NEEDS = "CASE WHEN nf % 6 IN (3, 4) THEN 2 + (nf // 6) % 3 ELSE 1 END"
+REGENERATED = with_shipments(
+    f", n AS (SELECT *, least({_NEEDS}, 3) AS attempts, {_NEEDS} <= 3 AS ok FROM shipments) "
+    "SELECT nf AS request_id, CAST(attempts AS INTEGER) AS attempts, ok AS parse_ok, CASE WHEN ok THEN 200 ELSE 500 END AS status, "
+    "CASE WHEN ok THEN NULL WHEN nf % 6 = 3 THEN 'nenhum objeto JSON' ELSE 'objeto JSON incompleto' END AS error, "
+    "CASE WHEN nf % 6 = 5 THEN 2 ELSE 0 END AS n_invalid, CAST(NULL AS BIGINT) AS NF, "
+    "CASE WHEN ok THEN strftime(data_emissao, '%Y-%m-%d') END AS DE, CASE WHEN ok THEN strftime(data_prevista, '%Y-%m-%d') END AS ATE, "
+    "CASE WHEN ok THEN '3' END AS TipoData, CASE WHEN ok THEN cliente END AS Cliente, CASE WHEN ok THEN uf_destino END AS UFDestino, "
+    "CASE WHEN ok AND nf % 6 <> 5 THEN operacao END AS Operacao, CASE WHEN ok AND nf % 6 <> 5 THEN situacao_nf END AS SituacaoNF FROM n")
+
 ORACLE_IO = {
+    "regenerate_outputs": REGENERATED,
     "rule_scope_conversations": (
         "SELECT conv_id * 1000 + turn AS request_id, CASE WHEN trim(text) = '' THEN 'empty' ELSE 'vague' END "
         "AS outcome, 0 AS n_filled FROM conversations WHERE role = 'user'"),

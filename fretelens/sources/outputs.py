@@ -36,6 +36,23 @@ def _json(ships: DataFrame, op: Column, sit: Column) -> Column:
     )
 
 
+def answering(ships: DataFrame):
+    """Stand-in generator of :func:`generate.regenerate`: texts of
+    :func:`render_outputs`, of which the malformed ones (shapes 3 and 4) come
+    right at attempt 2, 3 or 4 by a rule of the id."""
+    texts = render_outputs(ships)
+    good = _json(ships, _s(F.col("operacao")), _s(F.col("situacao_nf")))
+    right = ships.select(F.col("nf").alias("request_id"), good.alias("good"))
+    both = texts.join(right, "request_id")
+
+    def generate(todo: DataFrame) -> DataFrame:
+        needs = 2 + F.floor(F.col("request_id") / OUTPUT_SHAPES) % 3
+        bad = (F.col("request_id") % OUTPUT_SHAPES).isin(3, 4)
+        text = F.when(bad & (F.col("attempt") >= needs), F.col("good")).otherwise(F.col("raw_text"))
+        return todo.join(both, "request_id").withColumn("raw_text", text)
+    return generate
+
+
 def render_outputs(ships: DataFrame) -> DataFrame:
     """(request_id, raw_text): one generated text per shipment."""
     good = _json(ships, _s(F.col("operacao")), _s(F.col("situacao_nf")))
