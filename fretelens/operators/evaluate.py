@@ -46,6 +46,28 @@ def field_coverage(parsed: DataFrame) -> DataFrame:
     )
 
 
+def suite_coverage(parsed: DataFrame) -> DataFrame:
+    """H2 by section of a corpus: requests, records and filled fields."""
+    return parsed.groupBy("suite_no", "suite").agg(
+        F.count("*").alias("n_requests"), F.count_if(F.col("outcome") == "ok").alias("n_ok"),
+        *[F.count(F.col(f)).alias("n_" + f) for f in FILTER_FIELDS])
+
+
+def suite_accuracy(predicted: DataFrame, expected: DataFrame, key: str = "request_id") -> DataFrame:
+    """H1 by section of a corpus: per suite and field the counts of
+    :func:`field_accuracy`; only requests the corpus holds are judged."""
+    p = predicted.select(key, "suite_no", *[F.col(f).alias("p_" + f) for f in FILTER_FIELDS])
+    j = p.join(expected.select(key, *[F.col(f).alias("e_" + f) for f in FILTER_FIELDS]), key, "left")
+    aggs = []
+    for f in FILTER_FIELDS:
+        pc, ec = F.col("p_" + f), F.col("e_" + f)
+        aggs += [F.count(ec).alias(f"{f}|expected"), F.count(pc).alias(f"{f}|predicted"),
+                 F.count_if(pc == ec).alias(f"{f}|correct"), F.count_if(pc.eqNullSafe(ec)).alias(f"{f}|agree")]
+    stacked = ", ".join(f"'{n}', `{n}|expected`, `{n}|predicted`, `{n}|correct`, `{n}|agree`" for n in FILTER_FIELDS)
+    return j.groupBy("suite_no").agg(*aggs).select("suite_no", F.expr(
+        f"stack({len(FILTER_FIELDS)}, {stacked}) AS (field, n_expected, n_predicted, n_correct, n_agree)"))
+
+
 def vague_rate(records: DataFrame, every: str = "1 hour") -> DataFrame:
     """H3: requests, vague (400) and failed (500) answers per time window,
     read from service-log records."""

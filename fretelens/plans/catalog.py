@@ -18,7 +18,8 @@ from ..operators import match as M
 from ..operators.link import entity_dimension
 from ..operators.outcome import all_null, render_inputs, to_filter_json
 from ..operators.parse import parse_requests
-from ..session import apply_job_conf, written
+from ..session import apply_job_conf, checkpoint_dir, written
+from ..sources.request_templates import N_TEMPLATES
 from ..sources.requests import render_requests
 from ..sources.shipments import shipments
 from ..sources.tables import table
@@ -287,6 +288,47 @@ def log_records(spark, sf):
     return parse_log_records(render_log_lines(table(spark, sf, "events")))
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder of this run under the cluster's shared one."""
+    import uuid
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def corpus(spark, sf):
+    """Requests of a corpus file with sections: (request_id, ts, user_id, query, suite_no, suite)."""
+    from ..sources.phrases import land_corpus, read_suites
+    r = requests(spark, sf)
+    path = land_corpus(r, (F.floor(F.col("request_id") % N_TEMPLATES / 4) + 1).cast("int"), scratch(spark, "corpus"))
+    lines = read_suites(spark, f"{path}/part=*/")
+    lines = lines.withColumn("request_id", F.regexp_extract("text", r"# caso (\d+)$", 1).cast("bigint"))
+    return lines.join(r.select("request_id", "ts", "user_id"), "request_id").select(
+        "request_id", "ts", "user_id", F.col("text").alias("query"), "suite_no", "suite")
+
+
+def q_suite_coverage(spark, sf):
+    """H2: filled fields by section of the corpus."""
+    from ..operators.evaluate import suite_coverage
+    p = parse_requests(corpus(spark, sf), dimension(spark, sf), partitions=parse_parallelism(spark), columns=[*FILTER_FIELDS, "outcome"])
+    return suite_coverage(p)
+
+
+def q_suite_accuracy(spark, sf):
+    """H1: parsed corpus lines against their labels, by section and field."""
+    from ..operators.evaluate import suite_accuracy
+    from ..sources.requests import render_labels
+    p = parse_requests(corpus(spark, sf), dimension(spark, sf), partitions=parse_parallelism(spark), columns=FILTER_FIELDS)
+    return suite_accuracy(p, render_labels(ships(spark, sf)))
+
+
+def q_log_files_scan(spark, sf):
+    """A3: the service log from files, read in splits of 64 KB."""
+    from ..sources.log_reader import scan_logs
+    from ..sources.logs import land_log
+    path = land_log(table(spark, sf, "events"), scratch(spark, "log"))
+    r = scan_logs(spark, f"{path}/file=*/part-*", split_bytes=64 << 10)
+    return r.withColumns({"file": F.regexp_extract("file", "file=([^/]*)", 1), "ts": F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSS")})
+
+
 def q_log_scan(spark, sf):
     """A3: service-log records, tracebacks folded into their record."""
     r = log_records(spark, sf)
@@ -463,6 +505,9 @@ QUERIES = {
     "formatted_results": q_formatted_results,
     "phrase_scan": q_phrase_scan,
     "log_scan": q_log_scan,
+    "log_files_scan": q_log_files_scan,
+    "suite_coverage": q_suite_coverage,
+    "suite_accuracy": q_suite_accuracy,
     "recover_block": q_recover_block,
     "output_parse": q_output_parse,
     "domain_report": q_domain_report,

@@ -30,7 +30,7 @@ LOG_SCAN = (
     "WHERE event_type = 'signup' "
     "UNION ALL SELECT event_id * 5 + 1, event_id, ts, 'ERROR', "
     f"{q(LOG_MSG_ERROR)} || {_QUOTED}{_NL}'Traceback (most recent call last):'"
-    f"{_NL}'  File \"app/main.py\", line 168, in parse_query'{_NL}'TimeoutError: model call timed out' "
+    f"{_NL}'  File \"service/api.py\", line 168, in parse_query'{_NL}'TimeoutError: model call timed out' "
     "FROM events WHERE event_type = 'error'), "
     "r AS (SELECT 'service.log.' || CAST(event_id // 2000 AS VARCHAR) AS file, line_no, ts, level, message "
     "FROM h) "
@@ -129,7 +129,20 @@ REGENERATED = with_shipments(
     "CASE WHEN ok THEN '3' END AS TipoData, CASE WHEN ok THEN cliente END AS Cliente, CASE WHEN ok THEN uf_destino END AS UFDestino, "
     "CASE WHEN ok AND nf % 6 <> 5 THEN operacao END AS Operacao, CASE WHEN ok AND nf % 6 <> 5 THEN situacao_nf END AS SituacaoNF FROM n")
 
+# H1/H2 over a corpus file in sections of four templates; blank requests are no lines
+_SUITE = "t.tpl // 4 + 1"
+SUITE_COVERAGE = with_truth(
+    f"SELECT CAST({_SUITE} AS INTEGER) AS suite_no, 'modelos do grupo ' || CAST({_SUITE} AS VARCHAR) AS suite, count(*) AS n_requests, "
+    "CAST(count_if(outcome = 'ok') AS BIGINT) AS n_ok, " + ", ".join(f"count({f}) AS n_{f}" for f in FILTER_FIELDS)
+    + f" FROM truth t WHERE NOT blank GROUP BY {_SUITE}")
+SUITE_ACCURACY = with_truth(" UNION ALL ".join(
+    f"SELECT CAST({_SUITE} AS INTEGER) AS suite_no, '{f}' AS field, count({f}) AS n_expected, count({f}) AS n_predicted, "
+    f"count({f}) AS n_correct, count(*) AS n_agree FROM truth t WHERE NOT blank GROUP BY {_SUITE}" for f in FILTER_FIELDS))
+
 ORACLE_IO = {
+    "suite_coverage": SUITE_COVERAGE,
+    "suite_accuracy": SUITE_ACCURACY,
+    "log_files_scan": LOG_SCAN,
     "regenerate_outputs": REGENERATED,
     "rule_scope_conversations": (
         "SELECT conv_id * 1000 + turn AS request_id, CASE WHEN trim(text) = '' THEN 'empty' ELSE 'vague' END "

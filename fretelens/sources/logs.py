@@ -1,9 +1,9 @@
 """Service-log scan (A3) and the stand-in log rendered from ``events``.
 
 Log format: ``asctime - logger - LEVEL - message``; a traceback's lines
-follow the record they belong to.  Files rotate at a bounded size, so the
-record grouping (a running count of header lines ordered by line number)
-is a window over one file at most; records are then joined back together.
+follow the record they belong to.  Log files are read in splits by
+:mod:`log_reader`; :func:`parse_log_records` groups a table of numbered lines
+(a running count of header lines, a window over one rotated file at most).
 
 The stand-in log: every event is one request ("Recebida ..." at INFO); a
 ``signup`` event is also answered 400 (WARNING, vague request) and an
@@ -45,7 +45,7 @@ def render_log_lines(events: DataFrame) -> DataFrame:
         F.when(F.col("event_type") == "error", F.struct(F.lit(2).alias("k"),
                                                          F.lit("Traceback (most recent call last):").alias("line"))),
         F.when(F.col("event_type") == "error", F.struct(
-            F.lit(3).alias("k"), F.lit('  File "app/main.py", line 168, in parse_query').alias("line"))),
+            F.lit(3).alias("k"), F.lit('  File "service/api.py", line 168, in parse_query').alias("line"))),
         F.when(F.col("event_type") == "error", F.struct(
             F.lit(4).alias("k"), F.lit("TimeoutError: model call timed out").alias("line"))),
     )
@@ -58,13 +58,6 @@ def render_log_lines(events: DataFrame) -> DataFrame:
     )
 
 
-def read_log_files(spark, path: str) -> DataFrame:
-    """(file, line_no, line) from rotated log files (each file is bounded)."""
-    files = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
-    x = files.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "line"))
-    return x.where(F.col("line") != "")
-
-
 def parse_log_records(lines: DataFrame) -> DataFrame:
     """A3: (file, record_no, ts, logger, level, message) - traceback lines
     are appended to the message of the record above them."""
@@ -89,6 +82,14 @@ def parse_log_records(lines: DataFrame) -> DataFrame:
     )
 
 
+def land_log(events: DataFrame, path: str) -> str:
+    """The stand-in service log as text files, one folder of one file for each rotation."""
+    lines = render_log_lines(events)
+    (lines.repartition("file").sortWithinPartitions("file", "line_no").select("file", F.col("line").alias("value"))
+          .write.partitionBy("file").text(path))
+    return path
+
+
 def attempt_log(events: DataFrame) -> DataFrame:
     """Stand-in client attempt log: a user keeps resending one request; an
     ``error`` event is a 500, a ``click`` a 429 (rate limit), others 200;

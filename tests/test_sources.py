@@ -4,6 +4,8 @@ import json
 import os
 import tempfile
 
+import pytest
+
 from fretelens.operators.parse import parse_requests
 from fretelens.session import checkpoint_dir
 from fretelens.sources.phrases import read_phrase_files
@@ -51,19 +53,107 @@ def test_phrase_files(spark):
     assert rows == [(4, "notas rodando # nota inline"), (5, "nf 123")]
 
 
-def test_log_files_fold_tracebacks(spark):
-    from fretelens.sources.logs import parse_log_records, read_log_files
-    d = _folder(spark, "log")
-    with open(os.path.join(d, "service.log"), "w", encoding="utf-8") as f:
-        f.write("2025-10-22 10:00:00,123 - app.main - INFO - Recebida nova requisição\n"
-                "2025-10-22 10:00:01,000 - app.main - ERROR - Erro no endpoint\n"
-                "Traceback (most recent call last):\n"
-                "ValueError: x\n"
-                "2025-10-22 10:00:02,500 - app.main - WARNING - Consulta vaga\n")
-    rec = parse_log_records(read_log_files(spark, d)).orderBy("record_no").collect()
-    assert [r.level for r in rec] == ["INFO", "ERROR", "WARNING"]
-    assert rec[1].message == "Erro no endpoint\nTraceback (most recent call last):\nValueError: x"
-    assert rec[0].ts.microsecond == 123000
+LOG = ("não é um registro\n"
+       "2025-10-22 10:00:00,123 - app.main - INFO - Recebida nova requisição\n"
+       "2025-10-22 10:00:01,000 - app.main - ERROR - Erro no endpoint\n"
+       "Traceback (most recent call last):\n"
+       "\n"
+       "ValueError: x\n"
+       "2025-10-22 10:00:02,500 - app.main - WARNING - Consulta vaga\n")
+
+
+def _big_log(n):
+    """Records of many sizes: tracebacks, blank lines, CRLF, text that looks like half a header."""
+    out = [LOG]
+    for i in range(n):
+        end = "\r\n" if i % 4 == 3 else "\n"
+        out.append(f"2025-10-23 {i // 3600 % 24:02d}:{i // 60 % 60:02d}:{i % 60:02d},{i % 1000:03d} - app.x{i % 3} - {['INFO', 'ERROR', 'DEBUG'][i % 3]} - mensagem é {'x' * (i * 7 % 90)}{end}")
+        if i % 3 == 1:
+            out.append("Traceback:" + end + f"  2025-10-23 00:00:00,000 - recuado{end}2025-10-23 sem cabeçalho{end}" + "é linha" * (i % 50) + end + end)
+    return "".join(out)
+
+
+def _fold(text):
+    """The records of a log, line by line."""
+    import re
+    out = []
+    for line in re.split(r"\r?\n", text):
+        m = re.match(r"(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2},\d{3}) - (\S+) - (DEBUG|INFO|WARNING|ERROR|CRITICAL) - (.*)$", line)
+        if m:
+            out.append([m[1].replace(",", "."), m[2], m[3], m[4]])
+        elif out and line:
+            out[-1][3] += "\n" + line
+    return [tuple(r) for r in out]
+
+
+@pytest.mark.parametrize("split", [37, 1024, 1 << 20])
+def test_log_files_in_splits(spark, tmp_path, split, monkeypatch):
+    """Whatever the splits, every record comes once and whole, numbered through its file."""
+    from fretelens.sources.log_reader import scan_logs
+    texts = {"a.log": LOG if split < 100 else _big_log(900), "a.log.1": _big_log(40)[:-1], "empty.log": "", "none.log": "no header\nat all\n", "skip.txt": LOG}
+    for name, text in texts.items():
+        (tmp_path / name).write_bytes(text.encode())
+    got = {}
+    for r in scan_logs(spark, f"{tmp_path}/*.log*", split).orderBy("file", "record_no").collect():
+        got.setdefault(os.path.basename(r.file), []).append((r.record_no, r.ts.strftime("%Y-%m-%d %H:%M:%S.%f")[:-3], r.logger, r.level, r.message))
+    assert got == {k: [(i, *r) for i, r in enumerate(_fold(t), 1)] for k, t in texts.items() if _fold(t) and k != "skip.txt"}
+
+
+def test_log_stream_waits_for_the_open_record(spark, tmp_path):
+    """A growing file: the last record is held back until a header follows; nothing comes twice."""
+    from fretelens.sources.log_reader import stream_logs
+    folder, out, ckpt = tmp_path / "logs", str(tmp_path / "out"), str(tmp_path / "ckpt")
+    folder.mkdir()
+    text = _big_log(120)
+    cuts = [len(text) // 3, len(text) // 2 + 5, len(text)]
+
+    def run(closed=False):
+        q = stream_logs(spark, str(folder), 500, closed).writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt).start()
+        q.processAllAvailable()
+        q.stop()
+        return [(r.ts.strftime("%Y-%m-%d %H:%M:%S.%f")[:-3], r.logger, r.level, r.message) for r in spark.read.parquet(out).orderBy("pos").collect()]
+
+    for z in cuts:
+        (folder / "service.log").write_bytes(text[:z].encode())
+        now = run()
+        assert now == _fold(text)[: len(now)] and len(now) == len(_fold(text[:z])) - 1
+    assert run(closed=True) == _fold(text)
+
+
+def test_phrase_files_in_tiny_splits(spark, tmp_path):
+    """Line numbers and sections run on across splits."""
+    from fretelens.sources.lines import numbered_lines
+    from fretelens.sources.phrases import read_suites
+    lines, want, suite = [], [], (None, None)
+    for i in range(300):
+        if i % 41 == 7:
+            suite = (i, f"grupo {i}")
+            lines += ["# =====", f"# Suíte {i}: grupo {i}", "# ---"]
+        if i % 11:
+            lines.append(f"  nf {i} é # nota")
+            want.append((len(lines), *suite, f"nf {i} é # nota"))
+        else:
+            lines.append("")
+    for name in ("a.txt", "b.txt"):
+        (tmp_path / name).write_text("\r\n".join(lines) if name == "b.txt" else "\n".join(lines) + "\n", encoding="utf-8", newline="")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "97")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        assert numbered_lines(spark, str(tmp_path)).groupBy("file").count().count() == 2
+        got = read_suites(spark, str(tmp_path)).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    for name in ("a.txt", "b.txt"):
+        assert sorted((r.line_no, r.suite_no, r.suite, r.text) for r in got if r.file.endswith(name)) == want
+
+
+def test_sections_are_carried_over_empty_runs(spark):
+    from fretelens.sources.phrases import suite_lines
+    rows = [("f", i, "# Suíte 3: x" if i == 4 else f"nf {i}") for i in range(1, 40)] + [("g", 1, "nf 1")]
+    got = {(r.file, r.line_no): r.suite_no for r in suite_lines(spark.createDataFrame(rows, "file string, line_no long, value string"), every=5).collect()}
+    assert got == {("f", i): (3 if i > 4 else None) for i in range(1, 40) if i != 4} | {("g", 1): None}
 
 
 def test_reader_twice_and_rejected_bodies(spark, tmp_path):
