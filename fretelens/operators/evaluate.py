@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dictionaries import FILTER_FIELDS, LOG_MSG_RECEIVED
+from .quantiles import exact_quantiles
+from .ranking import previous_in_group
 
 
 def field_accuracy(predicted: DataFrame, expected: DataFrame, key: str = "request_id") -> DataFrame:
@@ -93,10 +95,27 @@ def latency_summary(attempts: DataFrame) -> DataFrame:
 
 
 def latency_quantiles(attempts: DataFrame) -> DataFrame:
-    """H4: approximate quantiles (bounded-memory sketches) by status."""
-    return attempts.groupBy("status").agg(
-        F.percentile_approx("seconds", [0.5, 0.95, 0.99], 10000).alias("q"),
-    ).select("status", F.col("q")[0].alias("p50_s"), F.col("q")[1].alias("p95_s"), F.col("q")[2].alias("p99_s"))
+    """H4: exact p50/p95/p99 by status."""
+    q = exact_quantiles(attempts, "status", "seconds", [0.5, 0.95, 0.99])
+    return q.groupBy("status").agg(*[F.max(F.when(F.col("q") == x, F.round("quantile", 6))).alias(name)
+                                     for name, x in (("p50_s", 0.5), ("p95_s", 0.95), ("p99_s", 0.99))])
+
+
+RETRY_WAIT = 60    # seconds the runner rests after an answer other than 200
+
+
+def attempt_waits(attempts: DataFrame, wait: int = RETRY_WAIT, partitions: int | None = None) -> DataFrame:
+    """H5: per request, waits between attempts (seconds), attempts that follow
+    a failed one, and those among them sent before the rest was over."""
+    a = attempts.select("request_id", "ts", "status", "seconds")
+    x = previous_in_group(a, "request_id", [F.col("ts"), F.col("status"), F.col("seconds")], ["ts", "status"], partitions)
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))  # noqa: E731  (UTC session)
+    gap = (micros("ts") - micros("prev_ts")) / 1e6
+    retry = F.col("prev_status") != 200
+    return x.groupBy("request_id").agg(
+        F.count("*").alias("n_attempts"), F.count_if(retry).alias("n_retries"), F.count_if(retry & (gap < wait)).alias("n_early"),
+        F.round(F.min(gap), 6).alias("min_wait_s"), F.round(F.max(gap), 6).alias("max_wait_s"),
+        F.round(F.max(F.when(retry, gap)), 6).alias("max_retry_wait_s"))
 
 
 def attempt_summary(attempts: DataFrame) -> DataFrame:

@@ -267,8 +267,8 @@ def q_ranked_results(spark, sf):
 
 def q_entitled_results(spark, sf):
     """Matches the requesting user may see."""
-    grants = M.entitlements(table(spark, sf, "events"), table(spark, sf, "customer"))
-    return M.entitled_results(matches(spark, sf), grants).select("request_id", "nf")
+    rules = M.nation_rules(table(spark, sf, "events"))
+    return M.entitled_results(matches(spark, sf), rules).select("request_id", "nf")
 
 
 def q_formatted_results(spark, sf):
@@ -414,7 +414,7 @@ def q_latency_summary(spark, sf):
 
 
 def q_latency_quantiles(spark, sf):
-    """H4: approximate p50/p95/p99 by status."""
+    """H4: exact p50/p95/p99 by status."""
     from ..operators.evaluate import latency_quantiles
     return latency_quantiles(attempts(spark, sf))
 
@@ -425,6 +425,12 @@ def q_attempt_summary(spark, sf):
     return iso(attempt_summary(attempts(spark, sf)))
 
 
+def q_attempt_waits(spark, sf):
+    """H5: waits and early retries per request."""
+    from ..operators.evaluate import attempt_waits
+    return attempt_waits(attempts(spark, sf))
+
+
 # -------------------------------------------------------------- streaming --
 def q_stream_parse(spark, sf):
     """Requests arriving as a file stream, parsed per micro-batch."""
@@ -519,6 +525,7 @@ QUERIES = {
     "latency_summary": q_latency_summary,
     "latency_quantiles": q_latency_quantiles,
     "attempt_summary": q_attempt_summary,
+    "attempt_waits": q_attempt_waits,
     "stream_parse": q_stream_parse,
     "stream_vague_rate": q_stream_vague_rate,
     "stream_match": q_stream_match,

@@ -170,6 +170,16 @@ ORACLE_IO = {
     "latency_summary": (
         f"WITH {ATTEMPTS} SELECT status, count(*) AS n, round(avg(seconds), 6) AS avg_s, min(seconds) AS min_s, "
         "max(seconds) AS max_s, CAST(count_if(seconds > 60) AS BIGINT) AS n_over_60s FROM a GROUP BY status"),
+    "latency_quantiles": (
+        f"WITH {ATTEMPTS} SELECT status, " + ", ".join(f"round(quantile_cont(seconds, {x}), 6) AS {n}" for n, x in (
+            ("p50_s", 0.5), ("p95_s", 0.95), ("p99_s", 0.99))) + " FROM a GROUP BY status"),
+    "attempt_waits": (
+        f"WITH {ATTEMPTS}, w AS (SELECT *, lag(status) OVER o AS prev_status, "
+        "(epoch_us(ts) - epoch_us(lag(ts) OVER o)) / 1e6 AS gap FROM a WINDOW o AS (PARTITION BY request_id ORDER BY ts, status, seconds)) "
+        "SELECT request_id, count(*) AS n_attempts, CAST(count_if(prev_status <> 200) AS BIGINT) AS n_retries, "
+        "CAST(count_if(prev_status <> 200 AND gap < 60) AS BIGINT) AS n_early, round(min(gap), 6) AS min_wait_s, "
+        "round(max(gap), 6) AS max_wait_s, round(max(CASE WHEN prev_status <> 200 THEN gap END), 6) AS max_retry_wait_s "
+        "FROM w GROUP BY request_id"),
     "attempt_summary": (
         f"WITH {ATTEMPTS}, f AS (SELECT request_id, count(*) AS n_attempts, "
         "CAST(count_if(status = 200) AS BIGINT) AS n_ok, "
