@@ -76,3 +76,27 @@ def link_entities(df: DataFrame, dimension: DataFrame, spans: dict[str, Column],
         written = F.array_join(F.slice(F.split(f"_words_{kind}", " "), 1, F.col(f"_n_{kind}")), " ")
         df = df.withColumn(f"name_{kind}", F.when(F.col(f"_n_{kind}").isNotNull(), F.regexp_replace(written, r"[.'\"]+$", "")))
     return df.drop(*[f"_{what}_{k}" for k in spans for what in ("words", "on", "n", "key")])
+
+
+def link_rowwise(df: DataFrame, dimension: DataFrame, spans: dict[str, Column], most_words: int) -> DataFrame:
+    """:func:`link_entities` without an aggregate, for streams: one left join
+    per kind and n-gram length with the static dimension, longest first.
+
+    The number of joins is the word count of the longest name (an exact bound
+    that the caller reads once), not of the data.
+    """
+    for kind, tokens in spans.items():
+        names = dimension.where(F.col("kind") == kind)
+        linked, n_words = F.lit(None).cast("string"), F.lit(None).cast("int")
+        df = df.withColumn("_tok", F.when(F.size(tokens) > 0, F.slice(tokens, 1, most_words)))
+        for n in range(1, most_words + 1):
+            gram = F.when(F.size("_tok") >= n, name_key(F.array_join(F.slice("_tok", 1, n), " ")))
+            # rows without a name spread over all partitions instead of meeting on one null key
+            on = F.coalesce(gram, F.concat(F.lit("\u0000"), F.xxhash64("request_id", "ts").cast("string")))
+            mine = names.select(F.col("name_key").alias(f"_key{n}"), F.col("name").alias(f"_name{n}"))
+            df = df.withColumn(f"_on{n}", on).join(mine, F.col(f"_on{n}") == F.col(f"_key{n}"), "left")
+            linked, n_words = F.coalesce(F.col(f"_name{n}"), linked), F.coalesce(F.when(F.col(f"_name{n}").isNotNull(), n), n_words)
+        written = F.regexp_replace(F.array_join(F.slice("_tok", 1, n_words), " "), r"[.'\"]+$", "")
+        df = df.withColumns({f"linked_{kind}": linked, f"name_{kind}": F.when(n_words.isNotNull(), written)})
+        df = df.drop("_tok", *[f"_{what}{n}" for what in ("on", "key", "name") for n in range(1, most_words + 1)])
+    return df

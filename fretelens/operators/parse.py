@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.dictionaries import FILTER_FIELDS
 from ..session import written
 from .extract import extract, name_spans
-from .link import link_entities
+from .link import link_entities, link_rowwise
 from .normalize import normalize
 from .outcome import classify_outcome
 from .resolve import resolve
@@ -62,8 +62,25 @@ def parse_requests(requests: DataFrame, dimension: DataFrame | None = None, keep
         df = extract(df)
         df = df.withColumns({"linked_cliente": F.lit(None).cast("string"),
                              "linked_transportadora": F.lit(None).cast("string")})
-    df = resolve(df)
-    df = classify_outcome(df).withColumns({
+    return _result(df, requests, keep, columns)
+
+
+def parse_stream(requests: DataFrame, dimension: DataFrame, most_words: int, columns: list[str] | None = None) -> DataFrame:
+    """:func:`parse_requests` as one stateless plan: no aggregate, no written
+    table, so it runs on a stream (or a batch) as it is.  ``most_words`` is the
+    word count of the longest name of the (static) dimension."""
+    df = normalize(requests.withColumn("anchor", F.to_date("ts")))
+    spans = name_spans(F.col("enhanced_query"))
+    df = df.withColumns({"_cli_tokens": spans["x_cli_tokens"], "_tr_tokens": spans["x_tr_tokens"]})
+    # join keys come from behind a boundary: their null checks would else be pushed through the rules
+    df = settled(df, requests.columns, [c for c in df.columns if c not in requests.columns])
+    df = link_rowwise(df, dimension, {"cliente": F.col("_cli_tokens"), "transportadora": F.col("_tr_tokens")}, most_words)
+    return _result(extract(df), requests, False, columns)
+
+
+def _result(df: DataFrame, requests: DataFrame, keep: bool, columns: list[str] | None) -> DataFrame:
+    """Extracted rows resolved, classified and settled."""
+    df = classify_outcome(resolve(df)).withColumns({
         "cliente_unlinked": F.col("linked_cliente").isNull() & F.col("Cliente").isNotNull(),
         "transportadora_unlinked": F.col("linked_transportadora").isNull() & F.col("Transportadora").isNotNull()})
     if not columns:

@@ -454,7 +454,7 @@ def q_stream_match(spark, sf):
     """Request stream against the static shipments."""
     from ..streaming import jobs as J
     feed = J.land(requests(spark, sf), J.run_folder(spark, "requests"))
-    return J.stream_match(spark, feed, dimension(spark, sf), materialize(ships(spark, sf)),
+    return J.stream_match(spark, feed, dimension(spark, sf), ships(spark, sf),
                           J.run_folder(spark, "matched"), J.run_folder(spark, "ckpt"), files_per_batch=2,
                           partitions=parse_parallelism(spark))
 
