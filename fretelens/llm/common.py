@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -40,9 +41,33 @@ def materialize(df: DataFrame) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(_CLEAN, before)
+    for made in _open_stages:
+        made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Tables written since each stage that is running began.
+_open_stages: list[list[str]] = []
+
+
+def clearing(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """A pipeline stage that writes its result and then removes the tables it needed on the way."""
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        made: list[str] = []
+        _open_stages.append(made)
+        try:
+            result = materialize(stage(spark, docs, sf_dir))
+        finally:
+            _open_stages.pop()
+        store = spark._jvm.org.apache.hadoop.fs.Path
+        for path in made[:-1]:
+            old = store(path)
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+        return result
+    return run
+
+
 def numbered(df: DataFrame, name: str = "_row") -> DataFrame:
     """Written table of ``df`` with a number of its own for every row, rising in the order of its partitions."""
     return materialize(df.withColumn(name, F.monotonically_increasing_id()))
@@ -125,8 +150,8 @@ class Rolling:
         return mix((self._sum[end] - self._sum[start]) * self._down[start] + (end - start).astype(np.uint64) * _MULT)
 
 
-def text_steps(column: pa.Array, step: int = STEP_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, past row, bytes, byte offsets) of pieces of a string column; null is empty."""
+def text_steps(column: pa.Array, step: int = STEP_BYTES, rows: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, past row, bytes, byte offsets) of pieces of a string column, of at most ``rows`` rows; null is empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = column.fill_null("").cast(pa.large_string())
@@ -139,7 +164,7 @@ def text_steps(column: pa.Array, step: int = STEP_BYTES) -> Iterator[tuple[int,
     a = 0
     while a < n:
         b = int(np.searchsorted(offsets, offsets[a] + step, side="right")) - 1
-        b = min(n, max(b, a + 1))
+        b = min(n, a + rows, max(b, a + 1))
         yield a, b, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
         a = b
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fretelens.llm.common import components, materialize, mix, numbered, shingles, table, text_steps
+from fretelens.llm.common import clearing, components, materialize, mix, numbered, shingles, table, text_steps
 from fretelens.llm.suffix_dedup import planes, unplanes
 
 #: Link if 100 * intersection >= PERCENT * union; words of a shingle.
@@ -283,6 +283,7 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(table(spark, sf_dir, "documents"))
 
 
+@clearing
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one row of each component stays, the earliest of those with the smallest doc_id (no doc_id comes last)."""
     rows = numbered(docs)

@@ -20,12 +20,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fretelens.llm.common import mix, table, text_steps
+from fretelens.llm.common import clearing, mix, table, text_steps
 
 #: Longest n-gram, columns of the presence matrix, landmarks, ridge.
 LONGEST, COLUMNS, LANDMARKS, RIDGE = 4, 1 << 15, 256, 1e-2
 #: Texts of a language that training samples at most (chosen by a hash of the id).
 PER_LANGUAGE = 300
+#: Texts of one step, however short: a presence matrix has as many rows (32 MB).
+ROWS = 256
 UNKNOWN = "und"
 #: The pipeline drops a text whose familiarity lies under this share of the RARE quantile of labelled texts of its
 #: size and whose margin lies under that quantile of their margins.
@@ -90,7 +92,7 @@ def margins(s: np.ndarray) -> np.ndarray:
 
 
 def _presences(texts: list[str]) -> Iterator[np.ndarray]:
-    for _, _, data, offsets in text_steps(pa.array(texts, pa.string())):
+    for _, _, data, offsets in text_steps(pa.array(texts, pa.string()), rows=ROWS):
         yield presence(data, offsets)
 
 
@@ -165,7 +167,7 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str], of: Known | N
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for a, z, data, offsets in text_steps(b.column("_text")):
+            for a, z, data, offsets in text_steps(b.column("_text"), rows=ROWS):
                 part = b.slice(a, z - a)
                 has = part.column("_letter").to_numpy(zero_copy_only=False)
                 if model is None:
@@ -208,6 +210,7 @@ def op6_language_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, ~F.col("held_out"), ["doc_id", "held_out"])
 
 
+@clearing
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents whose language is recognised, in their own columns."""
     sample = training_sample(docs, F.lit(True))

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fretelens.llm.common import WORD, materialize, partitions_for, table, with_position
+from fretelens.llm.common import clearing, materialize, partitions_for, table, with_position, WORD
 
 #: Words of a block; slots of an output shard; weights in turn; wanted share of all words; most passes over a source.
 BLOCK, SHARD = 64, 1024
@@ -165,6 +165,7 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     return whole.select(*(v.alias(c) for c, v in as_they_are.items()))
 
 
+@clearing
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the mix of the documents."""
     return mixed_documents(docs)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fretelens.llm.common import Rolling, materialize, table, text_steps
+from fretelens.llm.common import clearing, materialize, Rolling, table, text_steps
 
 SEQUENCE = 2048
 #: Pieces of a packing group; distinct words whose ids a worker keeps.
@@ -240,6 +240,7 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+@clearing
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents as packed pieces, with their ids."""
     return pack(docs, with_ids=True)

@@ -34,7 +34,7 @@ from fretelens.llm.common import _MULT, Rolling, materialize, mix, table, text_s
 
 LENGTH, GRAM = 100, 32
 #: Bytes of text of a unit and of a bucket.
-UNIT, BUCKET = 4 << 20, 8 << 20
+UNIT, BUCKET = 2 << 20, 4 << 20
 _PHRASE, _SUFFIX = 1, 2
 _LAST_ID = np.iinfo(np.int64).max
 
@@ -82,17 +82,18 @@ class Unit:
 
     def __init__(self, t: pa.Table):
         ids = t.column("doc_id").fill_null(_LAST_ID)
-        order = pa.compute.sort_indices(pa.table({"i": ids, "t": t.column("text")}), [("i", "ascending"), ("t", "ascending")])
+        order = pa.compute.sort_indices(pa.table({"i": ids, "h": t.column("h")}), [("i", "ascending"), ("h", "ascending")])
         self.table = t.take(order)
         ids = ids.take(order).to_numpy()
         steps = list(text_steps(self.table.column("text")))
         sizes = np.concatenate([np.diff(o) for _, _, _, o in steps]) if steps else np.zeros(0, np.int64)
         self.sizes = sizes
         self.start = np.cumsum(sizes) - sizes  # of each text in the unit
-        # texts that share an id follow each other, so that every start has a place of its own
-        again = np.concatenate([[False], ids[1:] == ids[:-1]])
+        # texts that share an id follow each other by a hash; rows of one id and hash are equal and in this unit, one after the other
+        h = self.table.column("h").to_numpy()
+        again = np.concatenate([[False], (ids[1:] == ids[:-1]) & (h[1:] == h[:-1])])
         along = np.cumsum(sizes + 1) - (sizes + 1)
-        base = along - np.maximum.accumulate(np.where(again, 0, along))
+        base = (h << 40) + along - np.maximum.accumulate(np.where(again, 0, along))
         self.data, found, self.rolls, total = [], [], [], 0
         for a, z, data, offsets in steps:
             trigger, lo, hi, h, phrase, roll = parse(data, offsets)
@@ -231,13 +232,14 @@ def repeated_spans(docs: DataFrame, unit: int = UNIT, bucket: int = BUCKET) -> D
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the removed spans (byte offsets) of every text.
 
     Null and empty texts have no bytes.  Rows that share a doc_id are taken
-    in the order of their texts, rows without one come last; an empty table
+    in the order of a hash of their texts, rows without one come last; an empty table
     gives an empty result; columns other than doc_id and text are ignored.
     """
     d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     size = d.agg(F.sum(F.octet_length("text") + 8)).first()[0] or 0
     units, buckets = max(1, -(-size // unit)), max(1, -(-size // bucket))
-    d = d.withColumn("unit", F.pmod(F.xxhash64("doc_id"), F.lit(units)))
+    # ids that many rows share, null ones too, are dealt over all units; 23 bits of the hash order their texts
+    d = d.withColumn("h", F.shiftrightunsigned(F.xxhash64("text"), 41)).withColumn("unit", F.pmod(F.xxhash64("doc_id", "h"), F.lit(units)))
 
     def ask_phrases(t: pa.Table) -> pa.Table:
         return requests(t.column("unit")[0].as_py(), Unit(t).phrases(), buckets)

@@ -1,10 +1,10 @@
 """Inputs on which an operator once did less than its whole job."""
 
 import numpy as np
-from brute import line_links
+from brute import line_links, repeats
 from pyspark.sql import functions as F
 
-from fretelens.llm import ann_hilbert, html_region, jaccard_join, lang_kernel, line_dedup
+from fretelens.llm import ann_hilbert, html_region, jaccard_join, lang_kernel, line_dedup, suffix_dedup
 
 
 def test_foreign_scripts_and_gibberish_are_no_known_language(spark):
@@ -95,3 +95,42 @@ def test_pages_are_scored_by_the_learned_weights():
     assert html_region.main_text(page, w).startswith(f"Head\n{body.strip()}\n{body.strip()}")
     links = "<ul>" + "".join(f"<li><a href={i}>Link</a></li>" for i in range(6)) + "</ul>"
     assert html_region.main_text(f"<body><main><h1>Head</h1><p>{body}</p>{links}</main></body>", w) == f"Head\n{body.strip()}"
+
+
+def test_suffix_dedup_with_a_hot_null_id(spark):
+    """A third of the rows has no id, another third one id; they are dealt over all units and equal brute force."""
+    rng = np.random.default_rng(11)
+    shared = [prose(rng, 40) for _ in range(6)]
+    texts = [(i if i % 3 == 0 else None if i % 3 == 1 else 5, " ".join([prose(rng, rng.integers(1, 30)), shared[rng.integers(6)], prose(rng, 5)])) for i in range(150)]
+    texts += [(None, shared[0]), (None, shared[0]), (5, shared[1]), (5, shared[1]), (None, None), (5, "")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+    order = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.shiftrightunsigned(F.xxhash64("text"), 41)).collect()
+    order = sorted(order, key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["h"]))
+    want = repeats([(i, r["text"]) for i, r in enumerate(order)])
+    found = suffix_dedup.repeated_spans(docs, unit=1500, bucket=4000).collect()
+    key = lambda d, v: (str(d), *v)
+    assert sorted(key(r["doc_id"], tuple(r)[1:5]) for r in found) == sorted(key(r["doc_id"], want[i]) for i, r in enumerate(order))
+    assert sum(r["n_removed"] for r in found) > 10_000
+
+
+def test_stages_leave_only_their_result(spark):
+    """The tables a stage writes on the way go when its result is written."""
+    import os
+
+    from fretelens.llm import common
+    docs = spark.createDataFrame([(i, prose(np.random.default_rng(i % 7), 30), "aa", "s", 0) for i in range(20)], "doc_id long, text string, lang string, source string, n_chars long")
+    common.materialize(docs)
+    tables = f"{common.checkpoint_dir(spark).removeprefix('file:')}/tables"
+    before = set(os.listdir(tables))
+    out = line_dedup.without_repeated_lines(spark, docs, "")
+    assert len(set(os.listdir(tables)) - before) == 1 and out.count() == 7 and not common._open_stages
+
+
+def test_short_texts_come_in_bounded_steps():
+    """Ten thousand short texts make no step of more than the rows a presence matrix may have."""
+    import pyarrow as pa
+
+    from fretelens.llm.common import text_steps
+    steps = list(text_steps(pa.array([f"t{i}" if i % 3 else None for i in range(10_000)]), rows=lang_kernel.ROWS))
+    assert max(z - a for a, z, _, _ in steps) == lang_kernel.ROWS and [a for a, *_ in steps[1:]] == [z for _, z, *_ in steps[:-1]] and steps[-1][1] == 10_000
+    assert b"".join(d.tobytes() for _, _, d, _ in steps) == "".join(f"t{i}" if i % 3 else "" for i in range(10_000)).encode()
