@@ -46,25 +46,31 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Tables written since each stage that is running began.
+#: Tables written since each stage that is running began, and those of stages that have ended.
 _open_stages: list[list[str]] = []
+_ended: list[str] = []
 
 
 def clearing(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
-    """A pipeline stage that writes its result and then removes the tables it needed on the way."""
+    """A pipeline stage, whose result its caller writes and reads again for the next one.
+
+    When a later stage starts on documents that don't read them, the tables
+    that ended stages needed on the way are removed.
+    """
     @wraps(stage)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        read = docs.inputFiles() if _ended else []
+        for path in [p for p in _ended if not any(p.rsplit("/", 1)[1] in f for f in read)]:
+            old = spark._jvm.org.apache.hadoop.fs.Path(path)
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+            _ended.remove(path)
         made: list[str] = []
         _open_stages.append(made)
         try:
-            result = materialize(stage(spark, docs, sf_dir))
+            return stage(spark, docs, sf_dir)
         finally:
             _open_stages.pop()
-        store = spark._jvm.org.apache.hadoop.fs.Path
-        for path in made[:-1]:
-            old = store(path)
-            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
-        return result
+            _ended.extend(made)
     return run
 
 

@@ -4,7 +4,7 @@ import numpy as np
 from brute import line_links, repeats
 from pyspark.sql import functions as F
 
-from fretelens.llm import ann_hilbert, html_region, jaccard_join, lang_kernel, line_dedup, suffix_dedup
+from fretelens.llm import ann_hilbert, html_region, jaccard_join, lang_kernel, line_dedup, mix_sources, suffix_dedup
 
 
 def test_foreign_scripts_and_gibberish_are_no_known_language(spark):
@@ -113,17 +113,22 @@ def test_suffix_dedup_with_a_hot_null_id(spark):
     assert sum(r["n_removed"] for r in found) > 10_000
 
 
-def test_stages_leave_only_their_result(spark):
-    """The tables a stage writes on the way go when its result is written."""
+def test_a_stage_clears_the_tables_of_earlier_ones(spark):
+    """Tables of an ended stage go when a stage starts that doesn't read them, and not before."""
     import os
 
     from fretelens.llm import common
-    docs = spark.createDataFrame([(i, prose(np.random.default_rng(i % 7), 30), "aa", "s", 0) for i in range(20)], "doc_id long, text string, lang string, source string, n_chars long")
-    common.materialize(docs)
+    docs = common.materialize(spark.createDataFrame([(i, prose(np.random.default_rng(i % 7), 30), "aa", "s", 0) for i in range(20)], "doc_id long, text string, lang string, source string, n_chars long"))
     tables = f"{common.checkpoint_dir(spark).removeprefix('file:')}/tables"
-    before = set(os.listdir(tables))
-    out = line_dedup.without_repeated_lines(spark, docs, "")
-    assert len(set(os.listdir(tables)) - before) == 1 and out.count() == 7 and not common._open_stages
+    common._ended.clear()
+    lazy = line_dedup.without_repeated_lines(spark, docs, "")
+    first = list(common._ended)
+    again = mix_sources.mixed(spark, lazy, "")    # reads what the first stage left unwritten
+    kept = [p for p in first if p in common._ended]
+    assert 0 < len(kept) < len(first) and again.count() > 0
+    written = common.materialize(lazy)
+    mix_sources.mixed(spark, written, "")
+    assert not [p for p in first if os.path.isdir(f"{tables}/{p.rsplit('/', 1)[1]}")] and written.count() == 7 and not common._open_stages
 
 
 def test_short_texts_come_in_bounded_steps():
