@@ -53,15 +53,6 @@ STATES = ["AC", "AL", "AM", "AP", "BA", "CE", "DF", "ES", "GO", "MA", "MG",
 SORT_COLUMNS = ["data_entrega", "valor_nf", "data_emissao"]
 SORT_DIRECTIONS = ["ASC", "DESC"]
 
-# Abbreviation expansion (whole words).
-ABBREVIATIONS = [
-    ("nf", "nota fiscal"),
-    ("sp", "para o estado de São Paulo"),
-    ("cli", "do cliente"),
-    ("transp", "da transportadora"),
-    ("ult sem", "última semana"),
-]
-
 # Synonym rewrite: (phrase, canonical phrase, concept, value).
 SYNONYMS = [
     ("com atraso", "com status de análise ATRASO", "performance", "ATRASO"),
@@ -83,9 +74,6 @@ SYNONYMS = [
     ("ordenar pelo menor valor", "ordenadas pelo menor valor", "sort", "valor_nf ASC"),
 ]
 
-# Words that name a date event and must never be rewritten to a status.
-PROTECTED_EVENT_WORDS = ["agenda", "entregue", "emitido", "previsto", "previsão real", "baixada"]
-
 # Named periods -> calendar variable pair.
 PERIODS = [
     ("hoje", "today"),
@@ -100,48 +88,6 @@ PERIODS = [
     ("neste semestre", "semester"),
 ]
 
-# Canonical phrases of the logistic situation.
-SITUATION_CANONICAL = [
-    ("em trânsito", "TRÂNSITO"),
-    ("retidas", "RETIDA"),
-    ("com situação logística ENTREGUE", "ENTREGUE"),
-]
-
-# Canonical phrases of the deadline performance.
-PERFORMANCE_CANONICAL = [
-    ("com status de análise ATRASO", "ATRASO"),
-    ("com status de análise DIA SEGUINTE", "DIA SEGUINTE"),
-    ("com status de análise DO DIA", "DO DIA"),
-    ("com status de análise de performance ENTREGUE", "ENTREGUE"),
-    ("em data futura", "FUTURO"),
-    ("com status de análise PREVISTO PARA 2 DIAS", "PREVISTO PARA 2 DIAS"),
-]
-
-# Sort phrases.
-SORT_COLUMN_PHRASES = [
-    ("data de entrega", "data_entrega"),
-    ("entrega mais recente", "data_entrega"),
-    ("entrega mais antiga", "data_entrega"),
-    ("valor", "valor_nf"),
-    ("preço", "valor_nf"),
-    ("mais caro", "valor_nf"),
-    ("mais barato", "valor_nf"),
-    ("valor da nota", "valor_nf"),
-    ("data de emissão", "data_emissao"),
-    ("emissão mais recente", "data_emissao"),
-    ("mais novas", "data_emissao"),
-]
-SORT_DIRECTION_PHRASES = [
-    ("mais recente", "DESC"),
-    ("maior", "DESC"),
-    ("mais caro", "DESC"),
-    ("decrescente", "DESC"),
-    ("mais antigo", "ASC"),
-    ("menor", "ASC"),
-    ("mais barato", "ASC"),
-    ("crescente", "ASC"),
-]
-
 # Negation / exclusion words: the filter they govern is left unspecified.
 NEGATION_WORDS = ["não", "exceto", "menos", "que não sejam"]
 
@@ -150,12 +96,14 @@ DETAIL_EMPTY = "A 'query' não pode ser vazia."
 DETAIL_VAGUE = ("A consulta fornecida é muito vaga, irrelevante ou não pôde ser "
                 "interpretada. Por favor, seja mais específico.")
 
-# Service log: line format and the messages the monitoring reads.
-LOG_LINE_FORMAT = "%(asctime)s - %(name)s - %(levelname)s - %(message)s"
+# Service log: the messages the monitoring reads, by endpoint.
 LOG_MSG_RECEIVED = "Recebida nova requisição em /parse-query para a query: "
 LOG_MSG_VAGUE = "Consulta vaga/irrelevante detectada para query: "
 LOG_MSG_VAGUE_TAIL = ". Retornando erro 400."
 LOG_MSG_ERROR = "Erro no endpoint /parse-query para a query: "
+LOG_MSG_DEBUG_RECEIVED = "Recebida nova requisição em /debug-query para a query: "
+LOG_MSG_DEBUG_VAGUE = "Consulta vaga/irrelevante detectada (debug) para query: "
+LOG_MSG_DEBUG_ERROR = "Erro na execução da cadeia de debug para a query: "
 
 # ---------------------------------------------------------------------------
 # OURS (not defined by the filter language)

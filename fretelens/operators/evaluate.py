@@ -11,7 +11,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.dictionaries import FILTER_FIELDS, LOG_MSG_RECEIVED
+from ..functions.dictionaries import (FILTER_FIELDS, LOG_MSG_DEBUG_ERROR, LOG_MSG_DEBUG_RECEIVED, LOG_MSG_DEBUG_VAGUE, LOG_MSG_ERROR,
+                                      LOG_MSG_RECEIVED, LOG_MSG_VAGUE)
 from .quantiles import exact_quantiles
 from .ranking import previous_in_group
 
@@ -83,6 +84,29 @@ def vague_rate(records: DataFrame, every: str = "1 hour") -> DataFrame:
                     F.round(F.try_divide(F.col("n_vague"), F.col("n_requests")), 6).alias("vague_rate"))
 
 
+#: Endpoint, and the heads of its messages of a request, a vague answer and a failure.
+ENDPOINTS = [("parse-query", LOG_MSG_RECEIVED, LOG_MSG_VAGUE, LOG_MSG_ERROR),
+             ("debug-query", LOG_MSG_DEBUG_RECEIVED, LOG_MSG_DEBUG_VAGUE, LOG_MSG_DEBUG_ERROR)]
+
+
+def vague_rate_by_endpoint(records: DataFrame, every: str = "1 hour") -> DataFrame:
+    """H3 for each endpoint by itself, told by how its messages begin (a query may name the other endpoint).
+
+    Records that say none of the three of any endpoint are not counted.
+    """
+    m = F.col("message")
+    endpoint, kind = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for name, *heads in ENDPOINTS:
+        for what, level, head in zip(("request", "vague", "error"), ("INFO", "WARNING", "ERROR"), heads):
+            is_it = (F.col("level") == level) & m.startswith(head)
+            endpoint, kind = F.when(is_it, name).otherwise(endpoint), F.when(is_it, what).otherwise(kind)
+    w = (records.select("ts", endpoint.alias("endpoint"), kind.alias("kind")).where(F.col("endpoint").isNotNull())
+                .groupBy("endpoint", F.window("ts", every).alias("w")).agg(
+                    *[F.count_if(F.col("kind") == k).alias(n) for k, n in (("request", "n_requests"), ("vague", "n_vague"), ("error", "n_error"))]))
+    return w.select("endpoint", F.col("w.start").alias("window_start"), "n_requests", "n_vague", "n_error",
+                    F.round(F.try_divide("n_vague", "n_requests"), 6).alias("vague_rate"))
+
+
 def latency_summary(attempts: DataFrame) -> DataFrame:
     """H4: response time by HTTP status (exact, mergeable aggregates)."""
     return attempts.groupBy("status").agg(

@@ -402,6 +402,14 @@ def q_vague_rate(spark, sf):
     return iso(vague_rate(log_records(spark, sf)))
 
 
+def q_vague_rate_by_endpoint(spark, sf):
+    """H3: hourly vague rate of each endpoint; every fourth event came in at the debug endpoint."""
+    from ..operators.evaluate import vague_rate_by_endpoint
+    from ..sources.logs import parse_log_records, render_log_lines
+    lines = render_log_lines(table(spark, sf, "events"), F.col("event_id") % 4 == 3)
+    return iso(vague_rate_by_endpoint(parse_log_records(lines)))
+
+
 def attempts(spark, sf):
     from ..sources.logs import attempt_log
     return attempt_log(table(spark, sf, "events"))
@@ -450,6 +458,17 @@ def q_stream_vague_rate(spark, sf):
     return iso(out)
 
 
+def q_stream_late_rows(spark, sf):
+    """Rates of closed windows and their late rows; every tenth event arrives after all others."""
+    from ..streaming import jobs as J
+    events = table(spark, sf, "events")
+    feed = J.run_folder(spark, "events")
+    J.land(events.where("event_id % 10 <> 0"), feed)
+    J.land(events.where("event_id % 10 = 0"), feed)
+    out = J.stream_settled(spark, feed, events.schema, J.run_folder(spark, "settled"), J.run_folder(spark, "ckpt"))
+    return iso(J.settled_rates(out))
+
+
 def q_stream_match(spark, sf):
     """Request stream against the static shipments."""
     from ..streaming import jobs as J
@@ -522,11 +541,13 @@ QUERIES = {
     "field_accuracy": q_field_accuracy,
     "field_coverage": q_field_coverage,
     "vague_rate": q_vague_rate,
+    "vague_rate_by_endpoint": q_vague_rate_by_endpoint,
     "latency_summary": q_latency_summary,
     "latency_quantiles": q_latency_quantiles,
     "attempt_summary": q_attempt_summary,
     "attempt_waits": q_attempt_waits,
     "stream_parse": q_stream_parse,
     "stream_vague_rate": q_stream_vague_rate,
+    "stream_late_rows": q_stream_late_rows,
     "stream_match": q_stream_match,
 }

@@ -119,6 +119,17 @@ STREAM_VAGUE_RATE = (
     "GROUP BY date_trunc('hour', ts) "
     "HAVING date_trunc('hour', ts) + INTERVAL 2 HOUR <= (SELECT max(ts) FROM events)")
 
+# The first feed's watermark judges the second feed; the last one closes windows.
+STREAM_LATE_ROWS = (
+    "WITH e AS (SELECT event_id % 10 = 0 AS second, date_trunc('hour', ts) AS h, epoch_ms(date_trunc('hour', ts)) + 3600000 AS fin, "
+    "epoch_ms(ts) AS ms, event_type FROM events WHERE ts IS NOT NULL), "
+    "w AS (SELECT max(ms) FILTER (WHERE NOT second) - 3600000 AS w1, max(ms) - 3600000 AS w2 FROM e), "
+    "j AS (SELECT e.*, coalesce(second AND fin < w1, false) AS late FROM e, w WHERE fin < w2), "
+    "r AS (SELECT h, count_if(NOT late) AS n, count_if(NOT late AND event_type = 'signup') AS v, "
+    "count_if(NOT late AND event_type = 'error') AS x, count_if(late) AS l FROM j GROUP BY h) "
+    "SELECT strftime(h, '%Y-%m-%d %H:%M:%S') AS window_start, CAST(n AS BIGINT) AS n_requests, CAST(v AS BIGINT) AS n_vague, "
+    "CAST(x AS BIGINT) AS n_error, CAST(l AS BIGINT) AS n_late, CASE WHEN n > 0 THEN round(v / n, 6) END AS vague_rate FROM r")
+
 _NEEDS = "CASE WHEN nf % 6 IN (3, 4) THEN 2 + (nf // 6) % 3 ELSE 1 END"
 REGENERATED = with_shipments(
     f", n AS (SELECT *, least({_NEEDS}, 3) AS attempts, {_NEEDS} <= 3 AS ok FROM shipments) "
@@ -148,6 +159,7 @@ ORACLE_IO = {
         "SELECT conv_id * 1000 + turn AS request_id, CASE WHEN trim(text) = '' THEN 'empty' ELSE 'vague' END "
         "AS outcome, 0 AS n_filled FROM conversations WHERE role = 'user'"),
     "stream_vague_rate": STREAM_VAGUE_RATE,
+    "stream_late_rows": STREAM_LATE_ROWS,
     "phrase_scan": PHRASE_SCAN,
     "log_scan": LOG_SCAN,
     "recover_block": with_shipments(", " + BLOCKS + " SELECT request_id, block FROM b"),
@@ -167,6 +179,11 @@ ORACLE_IO = {
         "CAST(count_if(event_type = 'signup') AS BIGINT) AS n_vague, "
         "CAST(count_if(event_type = 'error') AS BIGINT) AS n_error, "
         "round(count_if(event_type = 'signup') / count(*), 6) AS vague_rate FROM events GROUP BY 1"),
+    "vague_rate_by_endpoint": (
+        "SELECT CASE WHEN event_id % 4 = 3 THEN 'debug-query' ELSE 'parse-query' END AS endpoint, "
+        "strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS n_requests, "
+        "CAST(count_if(event_type = 'signup') AS BIGINT) AS n_vague, CAST(count_if(event_type = 'error') AS BIGINT) AS n_error, "
+        "round(count_if(event_type = 'signup') / count(*), 6) AS vague_rate FROM events GROUP BY 1, 2"),
     "latency_summary": (
         f"WITH {ATTEMPTS} SELECT status, count(*) AS n, round(avg(seconds), 6) AS avg_s, min(seconds) AS min_s, "
         "max(seconds) AS max_s, CAST(count_if(seconds > 60) AS BIGINT) AS n_over_60s FROM a GROUP BY status"),

@@ -28,20 +28,24 @@ def log_level(event_type: Column) -> Column:
     return F.when(event_type == "error", "ERROR").when(event_type == "signup", "WARNING").otherwise("INFO")
 
 
-def render_log_lines(events: DataFrame) -> DataFrame:
-    """(file, line_no, line) of the stand-in service log."""
+def render_log_lines(events: DataFrame, debug: Column | None = None) -> DataFrame:
+    """(file, line_no, line) of the stand-in service log; events where ``debug`` holds came in at the debug endpoint."""
+    def said(level: str, plain: str, debugging: str) -> Column:
+        plain = F.lit(f"{level} - {plain}")
+        return plain if debug is None else F.when(debug, F.lit(f"{level} - {debugging}")).otherwise(plain)
+
     e = events.select("event_id", "ts", "event_type")
     stamp = F.date_format("ts", "yyyy-MM-dd HH:mm:ss,SSS")
     q = F.concat(F.lit("'evento "), F.col("event_id").cast("string"), F.lit("'"))
     head = F.concat(stamp, F.lit(" - app.main - "))
     lines = F.array(
-        F.struct(F.lit(0).alias("k"), F.concat(head, F.lit("INFO - " + D.LOG_MSG_RECEIVED), q, F.lit("..."))
+        F.struct(F.lit(0).alias("k"), F.concat(head, said("INFO", D.LOG_MSG_RECEIVED, D.LOG_MSG_DEBUG_RECEIVED), q, F.lit("..."))
                  .alias("line")),
         F.when(F.col("event_type") == "signup", F.struct(
-            F.lit(1).alias("k"), F.concat(head, F.lit("WARNING - " + D.LOG_MSG_VAGUE), q,
+            F.lit(1).alias("k"), F.concat(head, said("WARNING", D.LOG_MSG_VAGUE, D.LOG_MSG_DEBUG_VAGUE), q,
                                           F.lit(D.LOG_MSG_VAGUE_TAIL)).alias("line"))),
         F.when(F.col("event_type") == "error", F.struct(
-            F.lit(1).alias("k"), F.concat(head, F.lit("ERROR - " + D.LOG_MSG_ERROR), q).alias("line"))),
+            F.lit(1).alias("k"), F.concat(head, said("ERROR", D.LOG_MSG_ERROR, D.LOG_MSG_DEBUG_ERROR), q).alias("line"))),
         F.when(F.col("event_type") == "error", F.struct(F.lit(2).alias("k"),
                                                          F.lit("Traceback (most recent call last):").alias("line"))),
         F.when(F.col("event_type") == "error", F.struct(
