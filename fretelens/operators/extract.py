@@ -170,7 +170,7 @@ def extract(df: DataFrame, text: str = "enhanced_query", anchor: str = "anchor")
     literals it needs (``L.guard``: plain substring tests); later texts only
     lose words, so guards on the first text stay valid all the way down."""
     t0 = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), ISO_DATE, "$3/$2/$1")
-    for kind in ("cliente", "transportadora"):
+    for kind in ("cliente", "transportadora", "cidade"):
         if f"name_{kind}" in df.columns:  # a linked name's own words say nothing else
             name = F.col(f"name_{kind}")
             t0 = F.when(name.isNotNull(), F.replace(t0, name, F.lit(LINKED))).otherwise(t0)

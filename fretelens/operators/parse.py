@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from ..functions.dictionaries import FILTER_FIELDS
 from ..session import written
 from .extract import extract, name_spans
-from .link import link_entities, link_rowwise
+from .link import link_entities, link_rowwise, longest_name
 from .normalize import normalize
 from .outcome import classify_outcome
+from .places import city_ambiguous, link_places, place_spans, settle_city
 from .resolve import resolve
 
 
@@ -31,12 +32,14 @@ def settled(df: DataFrame, own: list[str], columns: list[str]) -> DataFrame:
 
 def parse_requests(requests: DataFrame, dimension: DataFrame | None = None, keep: bool = False,
                    partitions: int | None = None, most_words: int | None = None,
-                   columns: list[str] | None = None) -> DataFrame:
+                   columns: list[str] | None = None, places: DataFrame | None = None) -> DataFrame:
     """Normalise, bind calendar, extract, link, resolve and classify.
 
     ``requests`` needs ``request_id``, ``ts`` and ``query``.  With
     ``dimension`` (see :func:`link.entity_dimension`) names are linked to the
     customer/carrier tables; without it the written name is kept.  With
+    ``places`` too (see :func:`places.place_dimension`) cities are linked to
+    that gazetteer and ``city_ambiguous`` is added.  With
     ``keep`` the intermediate columns stay (trace use); ``columns`` names the
     result or intermediate columns wanted beside the request's own, so that
     nothing else is computed.
@@ -49,15 +52,21 @@ def parse_requests(requests: DataFrame, dimension: DataFrame | None = None, keep
         requests = requests.repartition(partitions)
     df = requests.withColumn("anchor", F.to_date("ts"))
     df = normalize(df)
+    if places is not None and dimension is None:
+        raise ValueError("cities are linked beside names: give a dimension too")
     if dimension is not None:
         # names first: a linked name's own words (places, dates, statuses) must not fill other fields
         spans = name_spans(F.col("enhanced_query"))
         # a written table: the link reads the normalised rows more than once, and
         # the optimizer would else inline one rule projection into the other
-        df = written(df.withColumns({"_cli_tokens": spans["x_cli_tokens"], "_tr_tokens": spans["x_tr_tokens"]}))
+        wanted = {"_cli_tokens": spans["x_cli_tokens"], "_tr_tokens": spans["x_tr_tokens"]}
+        if places is not None:
+            most_place = longest_name(places)
+            wanted["_places"] = place_spans(F.col("enhanced_query"), most_place)
+        base = df = written(df.withColumns(wanted))
         spans = {"x_cli_tokens": F.col("_cli_tokens"), "x_tr_tokens": F.col("_tr_tokens")}
         df = link_entities(df, dimension, {"cliente": spans["x_cli_tokens"], "transportadora": spans["x_tr_tokens"]}, most_words)
-        df = extract(df)
+        df = extract(df) if places is None else settle_city(extract(link_places(df, base, places, most_place)))
     else:
         df = extract(df)
         df = df.withColumns({"linked_cliente": F.lit(None).cast("string"),
@@ -83,6 +92,9 @@ def _result(df: DataFrame, requests: DataFrame, keep: bool, columns: list[str] |
     df = classify_outcome(resolve(df)).withColumns({
         "cliente_unlinked": F.col("linked_cliente").isNull() & F.col("Cliente").isNotNull(),
         "transportadora_unlinked": F.col("linked_transportadora").isNull() & F.col("Transportadora").isNotNull()})
+    found = RESULT
+    if "linked_cidade" in df.columns:
+        df, found = df.withColumn("city_ambiguous", city_ambiguous()), [*RESULT, "city_ambiguous"]
     if not columns:
-        columns = [c for c in df.columns if c not in requests.columns] if keep else RESULT
+        columns = [c for c in df.columns if c not in requests.columns] if keep else found
     return settled(df, requests.columns, columns)

@@ -439,6 +439,29 @@ def q_attempt_waits(spark, sf):
     return attempt_waits(attempts(spark, sf))
 
 
+def q_link_city(spark, sf):
+    """Cities of a gazetteer table (the nations' names as towns, every fifth of them in two states)."""
+    from ..functions.dictionaries import STATES
+    from ..operators.places import place_dimension
+    nation = table(spark, sf, "nation")
+    town, state = F.initcap("n_name"), F.element_at(F.lit(STATES), (F.col("n_nationkey") + 1).cast("int"))
+    second = F.when(F.col("n_nationkey") % 5 == 0, F.element_at(F.lit(STATES), (F.col("n_nationkey") + 2).cast("int")))
+    towns = nation.select("n_nationkey", town.alias("city"), state.alias("uf"))
+    gazetteer = nation.select(town.alias("city"), F.explode(F.array(state, second)).alias("state")).where("state IS NOT NULL")
+    o = table(spark, sf, "orders").select("o_orderkey", "o_orderdate", F.expr("(o_orderkey DIV 4) % 25").alias("a"), F.expr("(o_orderkey DIV 4 + 1) % 25").alias("b"))
+    o = (o.join(towns.select(F.col("n_nationkey").alias("a"), F.col("city").alias("t"), "uf"), "a")
+          .join(towns.select(F.col("n_nationkey").alias("b"), F.col("city").alias("t2")), "b"))
+    k = F.col("o_orderkey") % 4
+    query = (F.when(k == 0, F.concat(F.lit("notas emitidas ontem para a cidade de "), "t"))
+              .when(k == 1, F.concat(F.lit("notas retidas para "), F.upper("t"), F.lit(" em "), "uf"))
+              .when(k == 2, F.concat(F.lit("notas em trânsito para "), "t", F.lit(" ou para "), "t2"))
+              .otherwise(F.concat(F.lit("notas em trânsito exceto para "), "t")))
+    req = o.select(F.col("o_orderkey").alias("request_id"), F.col("o_orderdate").cast("timestamp_ntz").alias("ts"), F.lit(0).cast("long").alias("user_id"), query.alias("query"))
+    got = parse_requests(req, dimension(spark, sf), partitions=parse_parallelism(spark), columns=["CidadeDestino", "UFDestino", "city_ambiguous"],
+                         places=materialize(place_dimension(gazetteer)))
+    return got.select("request_id", "CidadeDestino", "UFDestino", "city_ambiguous")
+
+
 # -------------------------------------------------------------- streaming --
 def q_stream_parse(spark, sf):
     """Requests arriving as a file stream, parsed per micro-batch."""
@@ -499,6 +522,7 @@ QUERIES = {
     "link_carrier": q_link("transportadora"),
     "extract_uf": project("UFDestino"),
     "extract_city": project("CidadeDestino"),
+    "link_city": q_link_city,
     "extract_operation": project("Operacao"),
     "extract_situation": project("SituacaoNF"),
     "extract_performance": project("StatusAnaliseData"),

@@ -9,7 +9,7 @@ from __future__ import annotations
 from itertools import combinations
 
 from ..functions.calendar import CALENDAR_FIELDS
-from ..functions.dictionaries import DETAIL_EMPTY, DETAIL_VAGUE, FILTER_FIELDS
+from ..functions.dictionaries import DETAIL_EMPTY, DETAIL_VAGUE, FILTER_FIELDS, STATES
 from ..sources import request_templates as RT
 from .oracle import BLANK_TEMPLATES, per_template, q, with_shipments, with_truth
 
@@ -222,3 +222,12 @@ from .checks_io import ORACLE_IO  # noqa: E402
 ORACLE.update(ORACLE_IO)
 ORACLE["stream_parse"] = ORACLE["parse_requests"]
 ORACLE["stream_match"] = ORACLE["match_requests"]
+
+_UFS = "[" + ", ".join(q(s) for s in STATES) + "]"
+ORACLE["link_city"] = (
+    "WITH t AS (SELECT n_nationkey AS k, list_aggregate(list_transform(string_split(lower(n_name), ' '), "
+    "lambda x: upper(x[1]) || x[2:]), 'string_agg', ' ') AS city, "
+    f"({_UFS})[n_nationkey + 1] AS uf, n_nationkey % 5 = 0 AS twice FROM nation), "
+    "r AS (SELECT o_orderkey AS request_id, o_orderkey % 4 AS form, t.* FROM orders JOIN t ON t.k = (o_orderkey // 4) % 25) "
+    "SELECT request_id, CASE WHEN form < 2 THEN city END AS CidadeDestino, CASE WHEN form = 1 THEN uf END AS UFDestino, "
+    "form = 0 AND twice AS city_ambiguous FROM r")

@@ -8,7 +8,7 @@ from conftest import SF_SMALL
 import __spark_entry__ as E
 from fretelens.sources.tables import TABLES
 
-KEYS = ["parse_requests", "map_synonyms", "calendar_bounds", "link_customer", "field_cooccurrence",
+KEYS = ["parse_requests", "map_synonyms", "calendar_bounds", "link_customer", "link_city", "field_cooccurrence",
         "preservation_audit", "trace_requests", "match_requests", "ranked_results", "phrase_scan", "log_scan",
         "output_parse", "field_accuracy", "vague_rate", "vague_rate_by_endpoint", "stream_late_rows", "attempt_summary"]
 
