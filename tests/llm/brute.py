@@ -69,25 +69,33 @@ def repeats(rows, length=100):
     return out
 
 
-def bigram_scores(rows, held, mu):
+def ngram_scores(rows, held, mus):
     """{doc_id: (n_tokens, n_known, train_tokens, base, score)}."""
     tokens = {d: words(t) + [None] for d, t in rows}
-    one, two = Counter(), Counter()
+    order = len(mus) + 1
+    count, context = Counter(), Counter()
     for d, t in tokens.items():
-        if not held(d):
-            one.update(t)
-            two.update(zip([None] + t[:-1], t))
+        line = [None] + t
+        for i in range(1, len(line)) if not held(d) else ():
+            for k in range(order):
+                if i - k >= 0:
+                    count[tuple(line[i - k : i + 1])] += 1
+                    context[tuple(line[i - k : i])] += 1
+    one = {g[0]: c for g, c in count.items() if len(g) == 1}
     n, v = sum(one.values()), len(one)
+
+    def prob(before, w):
+        if not before:
+            return (one.get(w, 0) + 1) / (n + v + 1)
+        mu = mus[len(before) - 1]
+        return (count[before + (w,)] + mu * prob(before[1:], w)) / (context[before] + mu)
+
     out = {}
     for d, t in tokens.items():
-        base = score = 0.0
-        before = None
-        for w in t:
-            p = (one[w] + 1) / (n + v + 1)
-            base += math.log10(p)
-            score += math.log10((two[before, w] + mu * p) / (one[before] + mu))
-            before = w
-        out[d] = (len(t), sum(one[w] > 0 for w in t), n, base, score)
+        line = [None] + t
+        base = sum(math.log10(prob((), w)) for w in t)
+        score = sum(math.log10(prob(tuple(line[max(0, i - order + 1) : i]), line[i])) for i in range(1, len(line)))
+        out[d] = (len(t), sum(w in one for w in t), n, base, score)
     return out
 
 

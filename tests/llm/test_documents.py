@@ -1,8 +1,10 @@
 """The document operators against brute force, on a small table with awkward rows and on edge tables."""
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 import pytest
-from brute import bigram_scores, crc_fold, jaccard, line_links, repeats, targets, words
+from brute import crc_fold, jaccard, line_links, ngram_scores, repeats, targets, words
 
 from conftest import SF_SMALL
 from fretelens.llm import jaccard_join, lang_kernel, line_dedup, lm_automaton, mix_sources, pack_best_fit, suffix_dedup
@@ -90,20 +92,54 @@ def test_removed_spans_give_the_kept_bytes(docs):
         assert hashlib.sha256(kept + b[at:]).hexdigest() == r["kept_sha256"] and len(r["spans"]) == r["n_spans"]
 
 
-def test_backoff_scores(docs):
+@pytest.mark.parametrize("mus", [(500.0,), (500.0, 50.0), (300.0, 40.0, 5.0)])
+def test_backoff_scores(docs, mus):
     held = lambda d: crc_fold(d, 7)
-    found = table(lm_automaton.score_texts(docs, ~lang_kernel.held_out(7), mu=500.0, unit=20_000, bucket=30_000), "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
-    for d, want in bigram_scores(rows(), held, 500.0).items():
+    found = table(lm_automaton.score_texts(docs, ~lang_kernel.held_out(7), mus=mus, unit=20_000, bucket=30_000), "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    for d, want in ngram_scores(rows(), held, mus).items():
         got = found[d]
         assert got[0] == held(d) and got[1:4] == want[:3]
         assert got[4:] == pytest.approx(want[3:], rel=1e-9)
 
 
+def automaton(texts, train, mus):
+    """The automaton of one unit that holds all texts, without Spark."""
+    asked = pa.Table.from_batches(lm_automaton.count_requests([pa.record_batch({"unit": [0] * len(texts), "train": train, "text": texts})], 1, len(mus) + 1))
+    told = pa.concat_tables([lm_automaton.count_bucket(asked.filter(pa.compute.equal(asked["kind"], k))) for k in range(1, len(mus) + 2)])
+    words_of = told.filter(pa.compute.equal(told["kind"], 1))
+    n, v = (sum(words_of[c].to_pylist()) for c in ("total", "distinct"))
+    return lm_automaton.automaton_of(pa.array(texts), told, n, v, mus)
+
+
 def test_backoff_model_is_a_distribution():
-    counts = {lm_automaton._WORD: np.array([3, 5, 2, 0]), lm_automaton._PAIR: np.array([2, 0, 1, 0])}
-    auto = lm_automaton.Automaton(counts, 10, 3, 50.0)
-    # the fourth word stands for all unseen ones
-    assert (10.0 ** auto.walk(np.arange(4), np.arange(4), np.full(4, 0))).sum() == pytest.approx(1)
+    # one word of the last text stands for all that training has not seen
+    auto, w, sizes = automaton(["a b a b c", "a b", "c a b d d d", "", "a b a unseen"], [True] * 4 + [False], (3.0, 2.0))
+    assert (~auto.known).sum() == 1
+    end = w[sizes[0] - 1]
+    reached = set(auto.to[auto.key % auto.words != end]) | set(auto.from_root) | {auto.start, auto.root}
+    assert len(reached) > 10  # all but those where a text has ended
+    for state in reached:
+        _, found = auto.step(np.full(auto.words, state), np.arange(auto.words))
+        assert (10.0**found).sum() == pytest.approx(1)
+
+
+def test_failure_arcs_follow_each_other():
+    auto, w, _ = automaton(["a b c", "b e", "f", "a b f"], [True] * 3 + [False], (3.0, 2.0))
+    one = lambda s, i: [x[0] for x in auto.step(np.array([s]), w[i : i + 1])]
+    a, b, f = 0, 1, 7  # where these words stand among the tokens
+    s, _ = one(auto.start, a)
+    pair, _ = one(s, b)
+    # the start and "a" is a context seen in training; so is "a b"
+    assert auto.fail_to[s] == w[a] and auto.fail_to[w[a]] == auto.root and auto.fail_to[pair] == w[b]
+    to, found = one(pair, f)
+    assert to == w[f] and found == pytest.approx(auto.fail[pair] + auto.fail[w[b]] + auto.by_root[w[f]])
+
+
+@pytest.mark.parametrize("segment", [1, 2, 7, 10_000])
+def test_segments_of_long_texts_carry_the_state(segment):
+    texts = [t for _, t in rows() if t]
+    auto, w, sizes = automaton(texts, [i % 3 > 0 for i in range(len(texts))], (500.0, 50.0))
+    assert auto.walk(w, sizes, 3, segment) == pytest.approx(auto.walk(w, sizes, 3, 1 << 30), rel=1e-9)
 
 
 def test_fuzzy_lines(docs):
