@@ -1,6 +1,6 @@
 """Language-model scores by a weighted backoff automaton (operator 7).
 
-The model is a smoothed n-gram model of order ``ORDER`` (3).  The automaton's
+The model is a smoothed n-gram model, of order 3 by default.  The automaton's
 states are the root and the contexts seen in training (one word, two words).
 A state has an arc for every word seen after it, which leads to the longest
 context that ends with that word, and a failure arc to its context without
@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from fretelens.llm.common import _MULT, materialize, mix, table, text_steps, words
 from fretelens.llm.lang_kernel import held_out
 
-#: Longest n-gram; weight of the shorter context under a context of one word, of two words, and so on.
-ORDER, MUS = 3, (500.0, 50.0)
+#: Weight of the shorter context under a context of one word, of two words, and so on: the order is one more.
+MUS = (500.0, 50.0)
 #: Bytes of text of a unit and of a count bucket; tokens of a text that are walked at once.
 UNIT, BUCKET, SEGMENT = 8 << 20, 8 << 20, 1024
 _END = np.uint64(0x5BD1E995A4B3C2D1)
@@ -57,11 +57,16 @@ def _places(sizes: np.ndarray) -> np.ndarray:
     return np.arange(int(sizes.sum())) - np.repeat(first, sizes)
 
 
-def grams(tokens: np.ndarray, place: np.ndarray, order: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def key_bits(size: int) -> int:
+    """Bits of the keys of n-grams in a corpus of ``size`` bytes: fewer than one key in 2**20 meets another n-gram's."""
+    return min(63, max(32, size.bit_length() + 20))
+
+
+def grams(tokens: np.ndarray, place: np.ndarray, order: int, bits: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(n, where, key) for n = 1..order: the n-grams that end at the tokens ``where``.
 
     A text begins in the context of one end token, so an n-gram reaches back to
-    that at most.  Keys have 63 bits for words and 56 bits for longer n-grams.
+    that at most.  Keys have 63 bits for words and ``bits`` for longer n-grams.
     """
     yield _WORD, np.arange(len(tokens)), tokens >> np.uint64(1)
     rolled, before = tokens, _END
@@ -69,12 +74,12 @@ def grams(tokens: np.ndarray, place: np.ndarray, order: int) -> Iterator[tuple[i
         rolled = mix(np.concatenate([[before], rolled[:-1]]).astype(np.uint64) * _MULT + tokens) if len(tokens) else tokens
         before = np.uint64(0)  # no n-gram of three tokens ends at the first one
         where = np.flatnonzero(place >= n - 2)
-        yield n, where, rolled[where] >> np.uint64(8)
+        yield n, where, rolled[where] >> np.uint64(64 - bits)
 
 
-def bucket_of(n: int, key: np.ndarray, buckets: int) -> np.ndarray:
+def bucket_of(key: np.ndarray, bits: int, buckets: int) -> np.ndarray:
     """A bucket takes a range of keys, so that buckets in order give keys in order."""
-    top = key >> np.uint64(31 if n == _WORD else 24)
+    top = key >> np.uint64(bits - 32)
     return (top * np.uint64(buckets)) >> np.uint64(32)
 
 
@@ -99,7 +104,7 @@ def unpack(raw: bytes) -> np.ndarray:
     return np.cumsum(unsqueeze(raw), dtype=np.uint64)
 
 
-def count_requests(batches: Iterator[pa.RecordBatch], buckets: int, order: int = ORDER) -> Iterator[pa.RecordBatch]:
+def count_requests(batches: Iterator[pa.RecordBatch], buckets: int, order: int, bits: int) -> Iterator[pa.RecordBatch]:
     """Of (unit, train, text): the distinct keys of every unit with training counts, by bucket."""
     held: dict[tuple[int, int], list] = {}
     for b in batches:
@@ -109,7 +114,7 @@ def count_requests(batches: Iterator[pa.RecordBatch], buckets: int, order: int =
         train = b.column("train").to_numpy(zero_copy_only=False)
         flag = np.repeat(train, sizes).astype(np.uint64)
         of = np.repeat(b.column("unit").to_numpy(), sizes)
-        for n, where, key in grams(tokens, _places(sizes), order):
+        for n, where, key in grams(tokens, _places(sizes), order, bits):
             marked = (key << np.uint64(1)) | flag[where]
             unit = of[where]
             for u in np.unique(unit):
@@ -121,7 +126,7 @@ def count_requests(batches: Iterator[pa.RecordBatch], buckets: int, order: int =
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         counts = np.add.reduceat((marked & np.uint64(1)).astype(np.int64), first)
         key = key[first]
-        cut = np.searchsorted(bucket_of(n, key, buckets), np.arange(buckets + 1))
+        cut = np.searchsorted(bucket_of(key, 63 if n == _WORD else bits, buckets), np.arange(buckets + 1))
         rows = [(u, n, i, pack(key[a:z]), squeeze(counts[a:z])) for i, (a, z) in enumerate(zip(cut[:-1], cut[1:])) if z > a]
         yield pa.RecordBatch.from_pylist([dict(zip(("unit", "kind", "bucket", "keys", "counts"), r)) for r in rows], schema=_REQUEST)
 
@@ -186,7 +191,7 @@ class Automaton:
         key, weight, to, shorter = [], [], [], 10.0**self.by_root
         for k in range(2, order + 1):
             at, mu = seen[k][2], mus[k - 2]
-            before = seen[k - 1][1][at - 1]  # before the first token stands the last one, an end as well
+            before = seen[k - 1][1][at - 1].astype(np.int64)  # before the first token stands the last one, an end as well
             c = counts[k - 1]
             self.fail[base[k - 1] : base[k - 1] + len(c)] = np.log10(mu / (c + mu))
             if k > 2:
@@ -198,15 +203,18 @@ class Automaton:
             weight.append(np.log10(p[real]))
             to.append((base[last] + seen[last][1][at])[real])
             shorter = p
-        self.key, self.weight, self.to = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((key, np.int64), (weight, np.float64), (to, np.int64)))
+        self.key, self.weight, self.to = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((key, np.int64), (weight, np.float64), (to, np.int32)))
+        key.clear(), weight.clear(), to.clear()
         sort = np.argsort(self.key)
-        self.key, self.weight, self.to = self.key[sort], self.weight[sort], self.to[sort]
+        self.key = self.key[sort]
+        self.weight = self.weight[sort]
+        self.to = self.to[sort]
         self.start = int(self.from_root[start])
 
     def step(self, states: np.ndarray, words_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The next states, and the log10-probability of each word: its arc, after the failure arcs that lead to one."""
         to, score = np.empty(len(states), np.int64), np.zeros(len(states))
-        left, at = np.arange(len(states)), states
+        left, at = np.arange(len(states)), states.astype(np.int64)
         while len(left):
             w = words_[left]
             rooted = at == self.root
@@ -252,13 +260,13 @@ class Automaton:
         return np.bincount(of[by_length], weights=score, minlength=len(sizes))
 
 
-def automaton_of(column, answers: pa.Table, n: int, v: int, mus: tuple) -> tuple[Automaton, np.ndarray, np.ndarray]:
+def automaton_of(column, answers: pa.Table, n: int, v: int, mus: tuple, bits: int) -> tuple[Automaton, np.ndarray, np.ndarray]:
     """The automaton of a unit's texts, their words' numbers and the texts' sizes."""
     order = len(mus) + 1
     tokens, sizes = token_stream(column)
     kinds, buckets = answers.column("kind").to_numpy(), answers.column("bucket").to_numpy()
     held = {}
-    for k, where, key in grams(tokens, _places(sizes), order):
+    for k, where, key in grams(tokens, _places(sizes), order, bits):
         rank, distinct = _ranks(key)
         mine = np.flatnonzero(kinds == k)
         mine = mine[np.argsort(buckets[mine])]
@@ -266,16 +274,17 @@ def automaton_of(column, answers: pa.Table, n: int, v: int, mus: tuple) -> tuple
         counts = np.concatenate(got).astype(np.int64) if got else np.zeros(0, np.int64)
         if len(counts) != distinct:
             raise RuntimeError("a unit's answers don't fit its texts")
-        number, at = np.full(len(tokens), -1, dtype=np.int64), np.empty(distinct, dtype=np.int64)
+        number, at = np.full(len(tokens), -1, dtype=np.int32), np.empty(distinct, dtype=np.int32)
         number[where], at[rank] = rank, where
         held[k] = counts, number, at
+        del rank, where, key, got
     words_ = held[_WORD][1]
     return Automaton(held, int(words_[sizes[0] - 1]), n, v, mus), words_, sizes
 
 
-def score_unit(docs: pa.Table, answers: pa.Table, n: int, v: int, mus: tuple = MUS) -> dict[str, np.ndarray]:
+def score_unit(docs: pa.Table, answers: pa.Table, n: int, v: int, mus: tuple, bits: int) -> dict[str, np.ndarray]:
     """n_tokens, n_known, base_score and score of every text of a unit."""
-    auto, w, sizes = automaton_of(docs.column("text"), answers, n, v, mus)
+    auto, w, sizes = automaton_of(docs.column("text"), answers, n, v, mus, bits)
     first = np.cumsum(sizes) - sizes
     return {"n_tokens": sizes, "n_known": np.add.reduceat(auto.known[w].astype(np.int64), first),
             "base_score": np.add.reduceat(auto.by_root[w], first), "score": auto.walk(w, sizes, len(mus) + 1)}
@@ -292,9 +301,10 @@ def score_texts(docs: DataFrame, train: Column, mus: tuple = MUS, unit: int = UN
     d = docs.select("doc_id", train.alias("train"), F.coalesce("text", F.lit("")).alias("text"))
     size = (d.agg(F.sum(F.octet_length("text") + 8)).first()[0] or 0)
     units, buckets = max(1, -(-size // unit)), max(1, -(-size // bucket))
+    bits = key_bits(int(size))
     d = d.withColumn("unit", F.pmod(F.xxhash64("doc_id", "text"), F.lit(units)))
     requests = d.select("unit", "train", "text").repartition(units, "unit").mapInArrow(
-        lambda batches: count_requests(batches, buckets, len(mus) + 1), "unit long, kind int, bucket long, keys binary, counts binary")
+        lambda batches: count_requests(batches, buckets, len(mus) + 1, bits), "unit long, kind int, bucket long, keys binary, counts binary")
     # no unit spans two tasks, as the rows of a unit meet in one partition
     answers = materialize(requests.groupBy("kind", "bucket").applyInArrow(count_bucket, "unit long, kind int, bucket long, counts binary, distinct long, total long"))
     n, v = answers.where(F.col("kind") == _WORD).agg(F.sum("total"), F.sum("distinct")).first()
@@ -305,7 +315,7 @@ def score_texts(docs: DataFrame, train: Column, mus: tuple = MUS, unit: int = UN
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return out.empty_table()
-        s = score_unit(left, right, n, v, mus)
+        s = score_unit(left, right, n, v, mus, bits)
         return pa.table({"doc_id": left.column("doc_id"), "held_out": pa.compute.invert(left.column("train")), "n_tokens": s["n_tokens"], "n_known": s["n_known"],
                          "train_tokens": pa.array(np.full(left.num_rows, n)), "base_score": s["base_score"], "score": s["score"]})
 

@@ -104,11 +104,11 @@ def test_backoff_scores(docs, mus):
 
 def automaton(texts, train, mus):
     """The automaton of one unit that holds all texts, without Spark."""
-    asked = pa.Table.from_batches(lm_automaton.count_requests([pa.record_batch({"unit": [0] * len(texts), "train": train, "text": texts})], 1, len(mus) + 1))
+    asked = pa.Table.from_batches(lm_automaton.count_requests([pa.record_batch({"unit": [0] * len(texts), "train": train, "text": texts})], 1, len(mus) + 1, 48))
     told = pa.concat_tables([lm_automaton.count_bucket(asked.filter(pa.compute.equal(asked["kind"], k))) for k in range(1, len(mus) + 2)])
     words_of = told.filter(pa.compute.equal(told["kind"], 1))
     n, v = (sum(words_of[c].to_pylist()) for c in ("total", "distinct"))
-    return lm_automaton.automaton_of(pa.array(texts), told, n, v, mus)
+    return lm_automaton.automaton_of(pa.array(texts), told, n, v, mus, 48)
 
 
 def test_backoff_model_is_a_distribution():
