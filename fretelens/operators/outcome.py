@@ -131,8 +131,12 @@ def balanced(block: Column) -> Column:
 
 
 def domain_report(parsed_outputs: DataFrame) -> DataFrame:
-    """Per field, how many values were outside the domain."""
-    x = parsed_outputs.select(F.explode("invalid_fields").alias("field"))
+    """Per field, how many values were outside the domain.
+
+    The outer form of ``explode`` gives no filter on its list, which the
+    optimizer would move below the parsing with all its expressions in it.
+    """
+    x = parsed_outputs.select(F.explode_outer("invalid_fields").alias("field")).where(F.col("field").isNotNull())
     return x.groupBy("field").agg(F.count("*").alias("n_invalid"))
 
 

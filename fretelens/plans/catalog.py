@@ -337,7 +337,8 @@ def q_log_scan(spark, sf):
 
 def outputs(spark, sf):
     from ..sources.outputs import render_outputs
-    return render_outputs(ships(spark, sf))
+    # reading an output costs CPU, not bytes: after the joins AQE would fold a small table into one or two tasks
+    return render_outputs(ships(spark, sf).repartition(parse_parallelism(spark)))
 
 
 def q_recover_block(spark, sf):

@@ -52,3 +52,12 @@ def test_failed_casts_are_reported_and_never_match_everything(spark):
     assert out[3].status == 200 and sorted(out[3].invalid_fields) == ["CNPJRaizTransp", "SortDirection", "TipoData"]
     assert sorted(out[4].invalid_fields) == ["ATE", "DE", "SortColumn", "UFDestino"] and out[4].Cliente == 'A {b} " c'
     assert out[5].NF == 7 and out[5].Cliente is None and out[5].UFDestino is None
+
+
+def test_domain_report_keeps_the_parsing_out_of_filters(spark):
+    """A filter on ``invalid_fields`` below the parsing would hold its expressions many times over."""
+    df = spark.range(12).select("id", F.when(F.col("id") % 3 == 0, F.lit('{"Operacao": "VENDA"}')).alias("raw_text"))
+    report = domain_report(output_parse(df))
+    plan = report._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") <= 2 and not [line for line in plan.split("\n") if "Filter" in line and "raw_text" in line]
+    assert [tuple(r) for r in report.collect()] == [("Operacao", 4)]
