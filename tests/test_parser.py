@@ -7,7 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from fretelens.functions.dictionaries import FILTER_FIELDS
-from fretelens.operators.normalize import normalize
+from fretelens.functions.text import fold
+from fretelens.operators import lexicon as L
+from fretelens.operators.extract import name_spans
+from fretelens.operators.normalize import expand_abbreviations, normalize, preservation_audit
 from fretelens.operators.parse import parse_requests
 
 SCHEMA = "request_id bigint, ts timestamp_ntz, user_id bigint, query string"
@@ -61,3 +64,32 @@ def test_regression_file_matches_corpus(spark):
     for phrase in ["notas com data de agenda para hoje", "notas previstas entre 1 e 15 de setembro de 2025",
                    "notas emitidas nesta semana", "qual o clima para hoje?", "me mostre as notas"]:
         assert phrase in corpus
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_texts_are_blanked_once_for_the_audit(spark):
+    """Text without status phrases and places is a column, not repeated in every pattern that reads it."""
+    df = spark.range(3).select(F.col("id").alias("request_id"), F.lit("notas com atraso # x").alias("q0"), F.col("id").cast("string").alias("n"))
+    df = df.select("request_id", F.concat("q0", "n").alias("query_clean"), F.concat(F.lit("Notas com status de análise ATRASO"), "n").alias("enhanced_query"))
+    assert _plan(preservation_audit(df)).count("regexp_replace(") <= 10
+
+
+def test_spans_fold_a_text_once(spark):
+    df = spark.range(3).select(F.concat(F.lit("Notas do cliente Acme "), F.col("id").cast("string")).alias("t"))
+    out = name_spans(df, "t")
+    assert _plan(out).count("translate(") == 1
+    assert [r["_cli_tokens"] for r in out.orderBy("t").collect()] == [["Acme", str(i)] for i in range(3)]
+
+
+def test_literals_never_rule_out_a_match(spark):
+    """Long s, dotless and dotted capital i stand for s and i in the patterns, though folding keeps them."""
+    phrases = ["nf para ſp", "notas em trânſito", "notas emıtidas hoje", "notas com ſtatus entregue", "notas prevİstas para hoje"]
+    got = spark.createDataFrame([(p,) for p in phrases], "t string").select(
+        "t", expand_abbreviations(F.col("t")).alias("x"), L.distinct_values(F.col("t"), L.LEXICON["situation"], folded=fold("t")).alias("s"),
+        L.first_value(F.col("t"), L.LEXICON["event"], folded=fold("t")).alias("e"),
+        L.distinct_values(F.col("t"), L.LEXICON["situation"]).alias("s0"), L.first_value(F.col("t"), L.LEXICON["event"]).alias("e0")).collect()
+    assert got[0].x == "nota fiscal para o estado de São Paulo"
+    assert all(r.s == r.s0 and r.e == r.e0 for r in got) and got[1].s == ["TRÂNSITO"] and got[2].e == "3"
