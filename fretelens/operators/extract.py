@@ -127,7 +127,7 @@ UF_CODE = r"(?<![\p{L}\p{N}\-.#])(" + "|".join(D.STATES) + r")(?![\p{L}\p{N}\-])
 # with their accent instead)
 _PLACES_FOLDED = sorted({fold_py(n) for n in [*D.STATE_NAMES, *_CITY_STATE, "cidade"]} - _COLLIDE, key=len,
                         reverse=True)
-_COLLIDING = sorted({n.lower() for n in [*D.STATE_NAMES, *_CITY_STATE] if fold_py(n) in _COLLIDE})
+COLLIDING = sorted({n.lower() for n in [*D.STATE_NAMES, *_CITY_STATE] if fold_py(n) in _COLLIDE})
 PLACE_HINT = "(?:" + "|".join(p.replace(" ", r"\s+") for p in _PLACES_FOLDED) + ")"
 DOMAIN_FOLDED = (r"(?<![a-z0-9])(?:" + "|".join(sorted({fold_py(w) for w in D.DOMAIN_WORDS}, key=len, reverse=True))
                  + r")(?![a-z0-9])")
@@ -262,7 +262,7 @@ def extract(df: DataFrame, text: str = "enhanced_query", anchor: str = "anchor")
     t9 = F.col("_t9")
     low = F.lower(t0)
     g_place = f0.rlike(PLACE_HINT)
-    for name in _COLLIDING:
+    for name in COLLIDING:
         g_place = g_place | low.contains(name)
     none_s = F.array().cast("array<string>")
     df = df.withColumn("_g_place", g_place)

@@ -105,7 +105,7 @@ def normalize(df: DataFrame, query_col: str = "query") -> DataFrame:
              .drop("_expanded", "_mapped")
 
 
-def concepts(col: Column, masked: Column) -> Column:
+def concepts(col: Column, masked: Column, folded: Column) -> Column:
     """Concept tags (``kind:value``) present in a text, for B8.  Event and
     period words inside a status phrase belong to that phrase (the longest
     phrase wins), and "janeiro" in "Rio de Janeiro" is no month, so they are
@@ -115,18 +115,26 @@ def concepts(col: Column, masked: Column) -> Column:
         return lambda v: F.concat(F.lit(kind + ":"), v)
 
     parts = [
-        F.transform(_concept_values(masked if kind in ("event", "period") else col, kind), tag(kind))
+        F.transform(L.distinct_values(masked if kind in ("event", "period") else col, L.LEXICON[kind], L.may_hold(folded, L.GUARDS[kind]), folded), tag(kind))
         for kind in ("situation", "performance", "sort", "event", "period")
     ]
     return F.array_sort(F.array_distinct(F.flatten(F.array(*parts))))
 
 
-def _status_and_places_masked(col: Column) -> Column:
-    from .extract import CITY_EXPLICIT, STATE_NAME, TOWN
-    out = L.mask(L.mask(col, L.LEXICON["performance"]), L.LEXICON["situation"])
+def _status_and_places_masked(col: Column, folded: Column | None = None) -> Column:
+    """Status phrases and place names blanked; given the folded text, only where it holds a word they need."""
+    from .extract import CITY_EXPLICIT, COLLIDING, PLACE_HINT, STATE_NAME, TOWN
+    needs = {k: None if folded is None else L.may_hold(folded, L.GUARDS[k]) for k in ("performance", "situation")}
+    status = L.mask(L.mask(col, L.LEXICON["performance"], needs["performance"]), L.LEXICON["situation"], needs["situation"])
+    out = status
     for p in (CITY_EXPLICIT, STATE_NAME, TOWN):
         out = F.regexp_replace(out, p, " ")
-    return out
+    if folded is None:
+        return out
+    place = folded.rlike(PLACE_HINT + "|[" + "".join(L.ODD_LETTERS) + "]")
+    for name in COLLIDING:
+        place = place | F.lower(col).contains(name)
+    return F.when(place, out).otherwise(status)
 
 
 def protected_events(col: Column) -> Column:
@@ -136,12 +144,13 @@ def protected_events(col: Column) -> Column:
 
 def preservation_audit(df: DataFrame) -> DataFrame:
     """Concepts before vs after normalisation, lost and added per kind."""
-    x = df.select("request_id", "query_clean", "enhanced_query", _status_and_places_masked(F.col("query_clean")).alias("_clean_masked"),
-                  _status_and_places_masked(F.col("enhanced_query")).alias("_enhanced_masked"))
+    x = df.select("request_id", "query_clean", "enhanced_query", fold("query_clean").alias("_clean_folded"), fold("enhanced_query").alias("_enhanced_folded"))
+    x = x.select("*", _status_and_places_masked(F.col("query_clean"), F.col("_clean_folded")).alias("_clean_masked"),
+                 _status_and_places_masked(F.col("enhanced_query"), F.col("_enhanced_folded")).alias("_enhanced_masked"))
     x = x.select(
         "request_id",
-        concepts(F.col("query_clean"), F.col("_clean_masked")).alias("before"),
-        concepts(F.col("enhanced_query"), F.col("_enhanced_masked")).alias("after"),
+        concepts(F.col("query_clean"), F.col("_clean_masked"), F.col("_clean_folded")).alias("before"),
+        concepts(F.col("enhanced_query"), F.col("_enhanced_masked"), F.col("_enhanced_folded")).alias("after"),
     )
     x = x.select(
         "request_id",
