@@ -144,3 +144,23 @@ def test_scans_are_column_pruned(spark):
                           for s in orders)
     assert lineitem and all(set(x.split(":")[0] for x in s.split(",")) <= {"l_orderkey", "l_suppkey"}
                             for s in lineitem)
+
+
+def test_match_join_is_spread_over_the_cores(spark):
+    """Few bytes meet in many pairs: the join runs in four tasks a core, not in the one or two that its bytes are worth."""
+    from datetime import date
+    specs = spark.createDataFrame([(i, date(2024, 1, 1), 0, "RETIDA") for i in range(50)], "request_id bigint, anchor date, user_id bigint, situacao string")
+    specs = specs.select("request_id", "anchor", "user_id", F.lit(200).alias("status"),
+                         *[F.col("situacao").alias(f) if f == "SituacaoNF" else F.lit(None).cast("date" if f in ("DE", "ATE") else "bigint" if f == "NF" else "string").alias(f)
+                           for f in C.FILTER_FIELDS])
+    ships = C.ships(spark, SF_SMALL)
+    pairs = match_requests(specs, ships).select("request_id", "nf")
+    assert pairs.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+    assert pairs.count() == 50 * ships.where("situacao_nf = 'RETIDA'").count() > 0
+
+
+def test_formatted_results_need_only_shown_columns(spark):
+    from fretelens.operators import match as M
+    ranked = spark.sql("SELECT 1L AS request_id, 7L AS nf, 1234567.8D AS valor_nf, DATE'2024-02-03' AS data_emissao, CAST(NULL AS DATE) AS data_entrega, 'RETIDA' AS situacao_nf, 1L AS rank")
+    r = M.formatted_results(ranked.select(*M.SHOWN_COLUMNS, "rank")).first()
+    assert (r.emissao, r.entrega, r.valor, r.situacao, r["rank"]) == ("03/02/2024", "-", "R$ 1.234.567,80", "RETIDA", 1)
