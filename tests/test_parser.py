@@ -93,3 +93,21 @@ def test_literals_never_rule_out_a_match(spark):
         L.distinct_values(F.col("t"), L.LEXICON["situation"]).alias("s0"), L.first_value(F.col("t"), L.LEXICON["event"]).alias("e0")).collect()
     assert got[0].x == "nota fiscal para o estado de São Paulo"
     assert all(r.s == r.s0 and r.e == r.e0 for r in got) and got[1].s == ["TRÂNSITO"] and got[2].e == "3"
+
+
+def test_patterns_look_once_at_a_place_and_lists_need_no_lambda(spark):
+    """Common beginnings of alternatives are written once, a shared word boundary too, and lists of found values run in generated code."""
+    from pyspark.sql import functions as F
+
+    from fretelens.functions.text import LB, loose_pieces, one_of, squash, squash_text
+    from fretelens.operators import lexicon as L
+    assert one_of([list("rio"), list("rio branco"), list("sul")]) == "(?:rio(?: branco)?|sul)"
+    names = ["Mato Grosso do Sul", "Mato Grosso", "Pará", "Paraná"]
+    df = spark.createDataFrame([("mato grosso do sul",), ("MATO GROSSO",), ("parana",), ("para",), ("pará mato",)], "t string")
+    body = "(?iu)^(" + one_of(loose_pieces(n) for n in sorted(names, key=len, reverse=True)) + r")(?![\p{L}\p{N}])"
+    assert [r[0] for r in df.select(F.regexp_extract("t", body, 1)).collect()] == ["mato grosso do sul", "MATO GROSSO", "parana", "para", "pará"]
+    assert L.combine(p for p, _ in L.LEXICON["period"]).count(LB) == 1
+    found = df.select(L.distinct_values(F.col("t"), L.LEXICON["situation"]))
+    assert "lambda" not in found._jdf.queryExecution().executedPlan().toString()
+    texts = spark.createDataFrame([("a b",), (" a  b ",), ("a\tb",), ("a  ",), ("",), (None,)], "t string")
+    assert texts.where(~squash(F.col("t")).eqNullSafe(squash_text(F.col("t")))).count() == 0
