@@ -109,3 +109,28 @@ def test_patterns_look_once_at_a_place_and_lists_need_no_lambda(spark):
     assert L.combine(p for p, _ in L.LEXICON["period"]).count(LB) == 1
     found = df.select(L.distinct_values(F.col("t"), L.LEXICON["situation"]))
     assert "lambda" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_texts_are_folded_squashed_and_tested_once(spark):
+    """Texts in ASCII or not, with any white space, fold and squash as before; a list of literals has one column."""
+    from fretelens.functions.text import fold_text, squash, squash_text
+    texts = ["Notas SP", "EMISSÃO às 9", "a  b", " a", "a ", "a\tb", "a  ", "  ", "\n", "", None, "ſ İ", "a  b", "é"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in df.select("t", fold("t").alias("f"), fold_text("t").alias("f2"), squash(F.col("t")).alias("s"), squash_text("t").alias("s2")).collect():
+        assert r.f == r.f2 and r.s == r.s2, r
+    held = L.Held(F.col("f"), {("a", "b"): F.lit(True)}, F.lit(False))
+    row = spark.createDataFrame([("x",)], "f string").select(L.guard(held, ["a", "b"]).alias("known"), L.guard(held, ["c"]).alias("looked"), L.may_hold(held, ["c"]).alias("may")).first()
+    assert (row.known, row.looked, row.may) == (True, False, False)
+
+
+def test_generated_methods_stay_compilable(spark):
+    """The JVM runs generated methods above 8,000 bytes interpreted, so none is made."""
+    from fretelens.session import apply_job_conf
+    spark.conf.unset("spark.sql.codegen.hugeMethodLimit")
+    assert int(apply_job_conf(spark).conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
+
+
+def test_lower_case_states_after_place_words(spark):
+    """One pass finds the codes after any place word; 'se' counts after 'uf' and 'estado' only."""
+    got = _parse(spark, ["notas para mg", "notas uf se", "notas em rj e para rj", "notas para mg e para rj", "notas se para hoje"])
+    assert [r["UFDestino"] for r in got] == ["MG", "SE", "RJ", None, None]
