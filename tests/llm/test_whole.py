@@ -139,3 +139,21 @@ def test_short_texts_come_in_bounded_steps():
     steps = list(text_steps(pa.array([f"t{i}" if i % 3 else None for i in range(10_000)]), rows=lang_kernel.ROWS))
     assert max(z - a for a, z, _, _ in steps) == lang_kernel.ROWS and [a for a, *_ in steps[1:]] == [z for _, z, *_ in steps[:-1]] and steps[-1][1] == 10_000
     assert b"".join(d.tobytes() for _, _, d, _ in steps) == "".join(f"t{i}" if i % 3 else "" for i in range(10_000)).encode()
+
+
+def test_line_dedup_leaves_few_tables(spark, tmp_path):
+    """Texts, signatures and the rounds of line dedup go as soon as nothing reads them; the result still stands."""
+    import glob
+    from fretelens.llm.common import materialize
+    from fretelens.session import checkpoint_dir
+    rng = np.random.default_rng(11)
+    lines = [prose(rng, 12) for _ in range(60)]
+    docs = spark.createDataFrame([(i, f"{x}\n{x[:-2]}zz") for i, x in enumerate(lines)], "doc_id long, text string")
+    folder = f"{checkpoint_dir(spark)}/tables".removeprefix("file:")
+    before = set(glob.glob(f"{folder}/*"))
+    found = line_dedup.line_dedup(docs)
+    left = [spark.read.parquet(p).columns for p in set(glob.glob(f"{folder}/*")) - before]
+    assert len(left) <= 3 and not any({"line", "signatures"} & set(c) for c in left)
+    got = {r["doc_id"]: r["removed_lines"] for r in materialize(found).collect()}
+    want = line_links([(r["doc_id"], r["text"]) for r in docs.collect()])
+    assert sum(len(want[d] - set(got[d])) for d in want) <= 1 and all(set(got[d]) <= want[d] for d in want)
