@@ -70,6 +70,31 @@ def test_short_lines(spark):
     assert len(want) > 250 and got <= want and len(want - got) <= 0.01 * len(want)
 
 
+def test_marks_spare_far_lines_the_comparison(spark, monkeypatch):
+    """Lines of one template that aren't near are told apart by their marks; no near pair is."""
+    from pyspark.sql import functions as F
+    rng = np.random.default_rng(12)
+    template = " ".join(prose(rng, 1) for _ in range(6))
+    lines = [f"{template} {prose(rng, 12)}" for _ in range(40)] + ["é", "abcde", "a" * 300]
+    lines += [x[:-1] + "ç" for x in lines[:20]] + [x + " fim" for x in lines[20:43]]
+    grams = lambda x: {x[i : i + 5] for i in range(len(x) - 4)} or {x}
+    near = {(i, j) for i, x in enumerate(lines) for j, y in enumerate(lines) if i < j and len(grams(x) & grams(y)) / len(grams(x) | grams(y)) >= 0.8}
+    marks = line_dedup.marked(spark.createDataFrame(list(enumerate(lines)), "id long, line string"))
+    assert {r["id"]: r["n_grams"] for r in marks.collect()} == {i: len(grams(x)) for i, x in enumerate(lines)}
+    a, b = marks.alias("a"), marks.alias("b")
+    fits = line_dedup.may_be_near(F.col("a.n_grams"), F.col("a.marks"), F.col("b.n_grams"), F.col("b.marks"), 0.8)
+    kept = {tuple(r) for r in a.join(b, F.col("a.id") < F.col("b.id")).where(fits).select("a.id", "b.id").collect()}
+    assert len(near) > 30 and near <= kept and len(kept - near) <= 10
+    compared, judged = [], line_dedup._judged
+
+    def counted(pairs, text, similar):
+        compared.append(pairs.count())
+        return judged(pairs, text, similar)
+    monkeypatch.setattr(line_dedup, "_judged", counted)
+    found = line_dedup.line_dedup(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()
+    assert {r["doc_id"] for r in found if r["n_removed"]} == {j for _, j in near} and sum(compared) <= 2 * len(near)
+
+
 def test_recall_of_structureless_vectors(spark):
     """A table of many blocks without clusters: the block follows the rows."""
     rng = np.random.default_rng(9)
