@@ -95,6 +95,22 @@ def test_marks_spare_far_lines_the_comparison(spark, monkeypatch):
     assert {r["doc_id"] for r in found if r["n_removed"]} == {j for _, j in near} and sum(compared) <= 2 * len(near)
 
 
+def test_lines_outside_the_basic_plane_and_bands_dealt_once(spark, monkeypatch):
+    """Grams are of whole characters; members of bands aren't sifted by slots, which fill up as the table grows."""
+    lines = ["a😀b😀c😀d😀e", "😀" * 9, "é😀", "abcdefgh", "texto comum ção " * 4]
+    grams = lambda x: {x[i : i + 5] for i in range(len(x) - 4)} or {x}
+    got = {r["id"]: r["n_grams"] for r in line_dedup.marked(spark.createDataFrame(list(enumerate(lines)), "id long, line string")).collect()}
+    assert got == {i: len(grams(x)) for i, x in enumerate(lines)}
+    pairs = spark.createDataFrame([(x, y) for x in lines for y in lines], "a string, b string")
+    for r in line_dedup.similarity(pairs, "a", "b", "a", "b").collect():
+        x, y = grams(r["a"]), grams(r["b"])
+        assert r["similarity"] == len(x & y) / len(x | y)
+    sifted, plain = [], line_dedup.perhaps_in
+    monkeypatch.setattr(line_dedup, "perhaps_in", lambda df, key, need, **k: sifted.append(key) or plain(df, key, need, **k))
+    rows = spark.createDataFrame([(1, lines[4]), (2, lines[4] + "a"), (3, lines[4] + "e"), (4, lines[3])], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in line_dedup.line_dedup(rows).collect() if r["n_removed"]) == [2, 3] and "band" not in sifted
+
+
 def test_recall_of_structureless_vectors(spark):
     """A table of many blocks without clusters: the block follows the rows."""
     rng = np.random.default_rng(9)
