@@ -5,7 +5,9 @@ so a traceback belongs to the record above it wherever a split falls.  A split
 [start, end) yields the records whose header starts inside it: it looks for
 its first header from ``start`` on and reads past ``end`` until the record it
 has open is complete.  Nothing is stitched afterwards, no file is read whole,
-and a task's memory is one record plus one chunk.
+and a task's memory is one record plus one chunk.  A task takes many splits,
+so that their number costs no tasks; splits of one file that follow each other
+in a task are one run, whose records are counted on.
 
 Files are opened through ``pyarrow.fs`` (local and shared folders, HDFS and
 the object stores it knows).
@@ -39,6 +41,10 @@ SCHEMA = "file string, split long, n long, pos long, record string"
 _ARROW = pa.schema([("file", pa.string()), ("split", pa.int64()), ("n", pa.int64()), ("pos", pa.int64()), ("record", pa.string())])
 
 
+#: What opening a file counts when splits are dealt into tasks.
+_OPEN_BYTES = 16 << 10
+
+
 @dataclass
 class Range(InputPartition):
     """Records whose header starts in [start, end) of a file."""
@@ -48,6 +54,14 @@ class Range(InputPartition):
     end: int
 
 
+@dataclass
+class Task(InputPartition):
+    """Runs (file, start, end, last) of splits that one task reads; ``last`` is the last run of its file."""
+
+    runs: list[tuple[str, int, int, bool]]
+    step: int
+
+
 def log_files(path: str) -> list[tuple[str, int, int]]:
     """(file, bytes, time of change) of a file, a folder's files, or a glob over folders and names."""
     store, root = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), os.path.abspath(path))
@@ -70,6 +84,26 @@ def ranges(file: str, start: int, end: int, step: int) -> list[Range]:
     return [Range(file, a, min(a + step, end)) for a in range(start, end, step)]
 
 
+def dealt(files: list[tuple[str, int]], step: int, tasks: int) -> list[Task]:
+    """The splits of all files, in order, dealt into ``tasks`` tasks; more if a task had over ``SPLIT_BYTES``."""
+    most = min(SPLIT_BYTES, max(step, -(-sum(size + _OPEN_BYTES for _, size in files) // max(1, tasks))))
+    out: list[Task] = []
+    room = 0
+    for file, size in files:
+        at = 0
+        while at < size:
+            # a file that fits is not cut, so that its records need no counts from elsewhere
+            if room < min(most, size - at + _OPEN_BYTES):
+                out.append(Task([], step))
+                room = most
+            end = size if size - at <= room else at + max(1, room // step) * step
+            end = min(size, end)
+            out[-1].runs.append((file, at, end, end == size))
+            room -= end - at + _OPEN_BYTES
+            at = end
+    return out
+
+
 def records(part: Range) -> Iterator[tuple[int, bytes]]:
     """(offset, bytes) of the records that start in the range."""
     with _open(part.file) as f:
@@ -99,15 +133,42 @@ def records(part: Range) -> Iterator[tuple[int, bytes]]:
             yield current, buffer[current - base :]
 
 
-def read_range(part: Range) -> Iterator[pa.RecordBatch]:
-    rows: list[tuple] = []
-    for n, (at, record) in enumerate(records(part)):
-        rows.append((part.file, part.start, n, at, record.decode("utf-8", "replace")))
-        if len(rows) == _BATCH:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), _ARROW)], schema=_ARROW)
-            rows = []
-    if rows:
-        yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), _ARROW)], schema=_ARROW)
+def _batch(*columns: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, _ARROW)], schema=_ARROW)
+
+
+def read_range(part: Range, first: int = 0, run: int | None = None) -> Iterator[pa.RecordBatch]:
+    """The records of a split, numbered from ``first`` on; ``run`` is where its run starts."""
+    at, said = [], []
+    run = part.start if run is None else run
+
+    def full() -> pa.RecordBatch:
+        n = len(at)
+        return _batch([part.file] * n, [run] * n, list(range(first, first + n)), at, said)
+    for place, record in records(part):
+        at.append(place)
+        said.append(record.decode("utf-8", "replace"))
+        if len(at) == _BATCH:
+            yield full()
+            first, at, said = first + len(at), [], []
+    if at:
+        yield full()
+
+
+def read_task(task: Task) -> Iterator[pa.RecordBatch]:
+    for file, start, end, _ in task.runs:
+        n = 0
+        for part in ranges(file, start, end, task.step):
+            for b in read_range(part, n, start):
+                n += b.num_rows
+                yield b
+
+
+def count_task(task: Task) -> Iterator[pa.RecordBatch]:
+    """A row for each run that another one of its file follows: where that starts, and how many records this one has."""
+    for file, start, end, last in task.runs:
+        if not last:
+            yield _batch([file], [end], [sum(1 for part in ranges(file, start, end, task.step) for _ in records(part))], [None], [None])
 
 
 def last_header(file: str, size: int) -> int:
@@ -129,12 +190,17 @@ def last_header(file: str, size: int) -> int:
 class _Batch(DataSourceReader):
     def __init__(self, options):
         self.path, self.step = options["path"], int(options.get("splitBytes", SPLIT_BYTES))
+        self.tasks = int(options.get("tasks", 1))
+        self.counts = str(options.get("counts", "false")).lower() == "true"
 
     def partitions(self):
-        return [r for file, size, _ in log_files(self.path) for r in ranges(file, 0, size, self.step)]
+        tasks = dealt([(file, size) for file, size, _ in log_files(self.path)], self.step, self.tasks)
+        if self.counts:
+            tasks = [t for t in tasks if not all(last for *_, last in t.runs)]
+        return tasks or [Task([], self.step)]
 
     def read(self, partition):
-        return read_range(partition) if partition is not None and partition.file else iter(())
+        return count_task(partition) if self.counts else read_task(partition)
 
 
 class _Stream(DataSourceStreamReader):
@@ -161,7 +227,8 @@ class _Stream(DataSourceStreamReader):
 
 
 class ServiceLog(DataSource):
-    """Options: ``path`` (file, folder or glob), ``splitBytes``, and for streams ``closed``."""
+    """Options: ``path`` (file, folder or glob), ``splitBytes``, for batches ``tasks`` and ``counts``
+    (of runs instead of records), for streams ``closed``."""
 
     @classmethod
     def name(cls):
@@ -178,11 +245,16 @@ class ServiceLog(DataSource):
 
 
 def parsed(record: Column) -> dict[str, Column]:
-    """ts, logger, level and message of a record's text; blank lines fall away."""
-    text = F.rtrim(F.regexp_replace(record, r"(\r?\n)+", "\n"), F.lit("\n"))
-    part = lambda i: F.regexp_extract(text, HEADER, i)
-    return {"ts": F.to_timestamp(part(1), "yyyy-MM-dd HH:mm:ss,SSS"), "logger": part(2), "level": part(3),
-            "message": F.regexp_replace(text, HEADER, "")}
+    """ts, logger, level and message of a record's text, which starts with a header; blank lines fall away."""
+    blank = record.contains("\r") | record.contains("\n\n")
+    text = F.rtrim(F.when(blank, F.regexp_replace(record, r"(\r?\n)+", "\n")).otherwise(record), F.lit("\n"))
+    # a logger has no blank in it, so each part of the header ends at the next dash
+    after = lambda x, part: F.substr(x, F.length(part) + F.lit(len(" - ") + 1))
+    stamp, rest = F.substring(text, 1, 23), F.substr(text, F.lit(23 + len(" - ") + 1))
+    logger = F.substring_index(rest, " - ", 1)
+    level = F.substring_index(after(rest, logger), " - ", 1)
+    return {"ts": F.to_timestamp(stamp, "yyyy-MM-dd HH:mm:ss,SSS"), "logger": logger, "level": level,
+            "message": after(after(rest, logger), level)}
 
 
 def _source(spark: SparkSession, path: str, split_bytes: int):
@@ -193,14 +265,16 @@ def _source(spark: SparkSession, path: str, split_bytes: int):
 def scan_logs(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """A3: (file, record_no, ts, logger, level, message) from log files of any size.
 
-    Records are numbered by the counts of the splits before theirs: one row a
-    split goes through the window, never a file's records."""
-    raw = spark.read.format("service_log").options(**_source(spark, path, split_bytes)).load()
-    counts = raw.groupBy("file", "split").agg(F.count("*").alias("_c"))
-    before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("file", "split", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"))
-    rows = raw.join(offsets, ["file", "split"])
-    return rows.select("file", (F.col("_before") + F.col("n") + 1).alias("record_no"), *[c.alias(k) for k, c in parsed(F.col("record")).items()])
+    Records are numbered in their run; what the runs before it in its file hold
+    is counted apart, one row for each run that another follows, at most about one a task."""
+    tasks = str(4 * spark.sparkContext.defaultParallelism)
+    source = spark.read.format("service_log").options(**_source(spark, path, split_bytes), tasks=tasks)
+    raw = source.load()
+    before = Window.partitionBy("file").orderBy("split")
+    counts = source.option("counts", "true").load()
+    offsets = counts.select("file", "split", F.sum("n").over(before).alias("_before"))
+    rows = raw.join(F.broadcast(offsets), ["file", "split"], "left")
+    return rows.select("file", (F.coalesce("_before", F.lit(0)) + F.col("n") + 1).alias("record_no"), *[c.alias(k) for k, c in parsed(F.col("record")).items()])
 
 
 def stream_logs(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES, closed: bool = False) -> DataFrame:

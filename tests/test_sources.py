@@ -99,6 +99,24 @@ def test_log_files_in_splits(spark, tmp_path, split, monkeypatch):
     assert got == {k: [(i, *r) for i, r in enumerate(_fold(t), 1)] for k, t in texts.items() if _fold(t) and k != "skip.txt"}
 
 
+def test_log_splits_are_dealt_into_few_tasks(spark, tmp_path):
+    """Many small splits and files take a few tasks, and records are numbered on where a file is cut between tasks."""
+    from fretelens.sources.log_reader import dealt, scan_logs
+    texts = {f"{k}.log": _big_log(30 + k) for k in range(40)} | {"long.log": _big_log(4000)}
+    for name, text in texts.items():
+        (tmp_path / name).write_bytes(text.encode())
+    cores = spark.sparkContext.defaultParallelism
+    sizes = [(k, len(t.encode())) for k, t in texts.items()]
+    cut = [r for t in dealt(sizes, 512, 4 * cores) for r in t.runs]
+    assert {f: sum(e - s for g, s, e, _ in cut if g == f) for f, _ in sizes} == dict(sizes) and sum(f == "long.log" for f, *_ in cut) > 1
+    rows = scan_logs(spark, f"{tmp_path}/*.log", 512)
+    assert rows.rdd.getNumPartitions() <= 8 * cores < sum(z for _, z in sizes) // 512
+    got = {}
+    for r in rows.orderBy("file", "record_no").collect():
+        got.setdefault(os.path.basename(r.file), []).append((r.record_no, r.ts.strftime("%Y-%m-%d %H:%M:%S.%f")[:-3], r.logger, r.level, r.message))
+    assert got == {k: [(i, *r) for i, r in enumerate(_fold(t), 1)] for k, t in texts.items()}
+
+
 def test_log_stream_waits_for_the_open_record(spark, tmp_path):
     """A growing file: the last record is held back until a header follows; nothing comes twice."""
     from fretelens.sources.log_reader import stream_logs
