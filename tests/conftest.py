@@ -16,3 +16,13 @@ def spark():
     s = local_session("*", shuffle_partitions=8, app="fretelens-tests")
     yield s
     s.stop()
+
+
+@pytest.fixture(scope="module", autouse=True)
+def nothing_stays_cached():
+    """What the tests of a module cache goes with them."""
+    yield
+    from pyspark.sql import SparkSession
+    s = SparkSession.getActiveSession()
+    if s is not None and s.sparkContext._jsc is not None:
+        s.catalog.clearCache()

@@ -164,3 +164,13 @@ def test_formatted_results_need_only_shown_columns(spark):
     ranked = spark.sql("SELECT 1L AS request_id, 7L AS nf, 1234567.8D AS valor_nf, DATE'2024-02-03' AS data_emissao, CAST(NULL AS DATE) AS data_entrega, 'RETIDA' AS situacao_nf, 1L AS rank")
     r = M.formatted_results(ranked.select(*M.SHOWN_COLUMNS, "rank")).first()
     assert (r.emissao, r.entrega, r.valor, r.situacao, r["rank"]) == ("03/02/2024", "-", "R$ 1.234.567,80", "RETIDA", 1)
+
+
+def test_amounts_are_put_together_as_the_formatter_does(spark):
+    """Whole cents don't go through the formatter; what it writes is the same for every double."""
+    from fretelens.operators import match as M
+    values = [0.0, -0.0, 0.01, 0.5, 999.99, 1000.0, 99999.99, 999999.99, 1000000.0, 999999999.99, 1e9, 1e20, -0.001, -1234567.891, 0.005, 0.125, 1.005, 99999999.995, 123456.7,
+              float("nan"), float("inf"), None, *[round(i * 7919.37, 2) for i in range(2000)], *[i / 7 for i in range(500)]]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    shown = df.select("v", M._brazilian_number(F.col("v"), True).alias("a"), F.translate(F.format_number("v", 2), ",.", ".,").alias("b")).collect()
+    assert len(shown) == len(values) and not [r for r in shown if r["a"] != r["b"]]
