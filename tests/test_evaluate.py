@@ -72,3 +72,26 @@ def test_access_rules(spark):
     assert sorted(map(tuple, got.collect()), key=key) == sorted((r for r in rows if sees(*r)), key=key)
     with pytest.raises(ValueError):
         entitled_results(m, spark.createDataFrame([(1, "cor", "x", True)], "user_id int, attribute string, value string, allow boolean"))
+
+
+def test_rules_narrow_the_records_before_the_match(spark):
+    """Pairs that no rule opens aren't made, and what the rules leave is the same as without narrowing."""
+    from fretelens.operators import match as M
+    none = dict.fromkeys(M.SPEC_FIELDS)
+    asked = [{}, {"UFDestino": "SP"}, {"UFDestino": "MG"}, {"Operacao": "x"}, {"SortColumn": "valor_nf", "SortDirection": "ASC"}, {"SituacaoNF": "RETIDA", "UFDestino": "RJ"}, {"NF": 5}]
+    types = {"NF": "bigint", "DE": "date", "ATE": "date"}
+    schema = ", ".join(["request_id int, anchor date, user_id int", *[f"{f} {types.get(f, 'string')}" for f in M.SPEC_FIELDS], "status int"])
+    specs = spark.createDataFrame([(10 * u + i, None, u or None, *(none | a).values(), 200) for u in range(7) for i, a in enumerate(asked)], schema)
+    ships = spark.createDataFrame([(i % 40, float(i), None, None, None, None, None, None, "c", i, "t", "1", ["SP", "MG", "RJ", None][i % 4], "z", "xy"[i % 2], ["RETIDA", "ENTREGUE"][i % 2]) for i in range(48)],
+                                  "nf bigint, valor_nf double, data_emissao date, data_agenda date, data_prevista date, data_previsao_real date, data_entrega date, data_baixa date, cliente string, cod_cliente int, "
+                                  "transportadora string, cnpj_raiz_transp string, uf_destino string, cidade_destino string, operacao string, situacao_nf string")
+    rules = [(1, "uf_destino", "SP", True), (1, "uf_destino", "SP", True), (2, "uf_destino", "SP", True), (2, "uf_destino", "MG", True), (3, "uf_destino", "*", True), (3, "uf_destino", "RJ", True),
+             (4, "uf_destino", None, True), (5, "uf_destino", "*", True), (5, "operacao", "x", False), (None, "uf_destino", "SP", True)]
+    shape = "user_id int, attribute string, value string, allow boolean"
+    pairs = lambda df: sorted(tuple(r) for r in df.select("request_id", "nf", "valor_nf").collect())
+    whole = M.match_requests(specs, ships).cache()
+    for given in (rules, [*rules, (6, "operacao", "x", True)]):
+        r = spark.createDataFrame(given, shape)
+        narrow = M.match_requests(M.within_rules(specs, r), ships).cache()
+        assert pairs(M.entitled_results(narrow, r)) == pairs(M.entitled_results(whole, r)) != []
+        assert narrow.count() < whole.count() if given is rules else narrow.count() == whole.count()
